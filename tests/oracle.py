@@ -53,7 +53,7 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     prefixes = tuple(argv[1:])
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sql = entry.oracle_sql()
@@ -66,7 +66,7 @@ def main(argv):
             got = run(spark, sf_dir).toArrow()
             t1 = time.time()
             if name in sql:
-                want = con.execute(sql[name]).to_arrow_table()
+                want = con.sql(sql[name]).to_arrow_table()
                 problem = compare(got, want)
             else:
                 problem = None if got.num_rows else "no rows"

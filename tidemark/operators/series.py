@@ -144,3 +144,8 @@ def period_total_return(prices: DataFrame, start: str, end: str) -> DataFrame:
         F.when(n >= 2, change).alias("total_return"),
         F.when(n < 2, F.lit(f"Not enough data in [{start}, {end}]")).alias("error"),
     )
+
+
+def momentum_signal() -> Column:
+    """Unfitted baseline: one- plus three-month momentum."""
+    return F.col("mom_21") + F.col("mom_63")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import customer
+from tidemark.plans import customer, market
 from tidemark.plans.registry import Runner
 
-MODULES = [customer]
+MODULES = [customer, market]
 
 
 def queries() -> dict[str, Runner]:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ranking, retail
 from tidemark.plans import views
-from tidemark.plans.registry import Registry, round_all, rounded
+from tidemark.plans.registry import Registry
 from tidemark.plans.views import with_views
+from tidemark.session import materialize
 
 R = Registry()
 CENTS = "CAST(ROUND(CAST({} AS DECIMAL(28,8)), 2) AS DOUBLE)"
@@ -183,7 +184,7 @@ USING (customer_id)""",
     edges="SELECT DISTINCT unnest(quantile_cont(recency_days, [0, 0.25, 0.5, 0.75, 1])) AS e FROM features_v",
     inner_edges="SELECT e FROM edges WHERE e > (SELECT MIN(e) FROM edges) AND e < (SELECT MAX(e) FROM edges)"))
 def value_quartiles(spark, d):
-    features = ranking.materialize(views.features(spark, d).select("customer_id", "recency_days", "monetary_sgd"))
+    features = materialize(views.features(spark, d).select("customer_id", "recency_days", "monetary_sgd"))
     scored = retail.value_quartiles(features, "recency_days", "customer_id", "recency_quartile")
     scored = retail.first_rank_quartiles(scored, "monetary_sgd", "customer_id", "monetary_quartile")
     return scored.select("customer_id", "recency_quartile", "monetary_quartile")
@@ -193,7 +194,7 @@ def value_quartiles(spark, d):
 SELECT customer_id, churn_probability, CAST(RANK() OVER (ORDER BY churn_probability) + (COUNT(*) OVER (PARTITION BY churn_probability) - 1) / 2e0 AS DOUBLE) AS avg_rank,
        ROW_NUMBER() OVER (ORDER BY churn_probability, customer_id) AS first_rank FROM scored_v"""))
 def average_and_first_rank(spark, d):
-    scores = ranking.materialize(views.scored(spark, d).select("customer_id", "churn_probability"))
+    scores = materialize(views.scored(spark, d).select("customer_id", "churn_probability"))
     ranked = ranking.global_row_number(scores, ["churn_probability", "customer_id"], "first_rank")
     return ranking.average_rank(ranked, "churn_probability", "avg_rank")
 
