@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import customer, market
+from tidemark.plans import customer, knowledge, market, valuation
 from tidemark.plans.registry import Runner
 
-MODULES = [customer, market]
+MODULES = [customer, market, valuation, knowledge]
 
 
 def queries() -> dict[str, Runner]:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import retail
+from tidemark.operators import evaluation, retail
 from tidemark.operators.series import align_dates
 from tidemark.session import materialize
 
@@ -177,6 +177,89 @@ def centroids(spark, d) -> DataFrame:
     )
 
 
+def typed_questions(spark, d) -> DataFrame:
+    """Questions with the tool each one is meant for: parts stand for customer ids (some unknown), nations for countries,
+    segments for drivers, suppliers for policy, and user turns of conversations are out of scope."""
+
+    def ask(df, key, category, text, tools, must):
+        return df.select(
+            F.concat(F.lit(f"{category}-"), key).alias("question_id"),
+            F.lit(category).alias("category"),
+            text.alias("question"),
+            F.array(*[F.lit(t) for t in tools]).cast("array<string>").alias("expected_tools"),
+            (F.array(must) if must is not None else F.array().cast("array<string>")).alias("must_contain"),
+        )
+
+    part = table(spark, d, "part").select("p_partkey")
+    code = F.format_string("cust%06d", "p_partkey")
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    segment = table(spark, d, "customer").select("c_mktsegment").distinct()
+    turns = table(spark, d, "conversations").where(F.col("role") == "user")
+    turn_key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return (
+        ask(part, F.col("p_partkey").cast("string"), "customer", F.concat(F.lit("What is the churn risk for customer "), code, F.lit("?")),
+            ["get_customer_churn_risk"], F.format_string("CUST%06d", "p_partkey"))
+        .unionByName(ask(nation, F.col("n_name"), "country", F.concat(F.lit("How is revenue doing in "), F.col("n_name"), F.lit("?")),
+                         ["get_country_kpis"], F.concat("n_name", F.lit(":"))))
+        .unionByName(ask(segment, F.col("c_mktsegment"), "driver", F.concat(F.lit("Which driver matters most for churn in "), F.col("c_mktsegment"), F.lit("?")),
+                         ["get_churn_risk_drivers"], F.lit("drivers")))
+        .unionByName(ask(supplier, F.col("s_suppkey").cast("string"), "policy", F.concat(F.lit("Can I claim the expense of a visit to "), F.col("s_name"), F.lit("?")),
+                         ["ask_hr_it_policy"], None))
+        .unionByName(ask(turns, turn_key, "out_of_scope", F.col("text"), [], None))
+    )
+
+
+def coded_scores(spark, d) -> DataFrame:
+    """Scored customers under the short id used in questions."""
+    return scored(spark, d).withColumn("customer_id", F.format_string("CUST%06d", "customer_id"))
+
+
+NUMERIC_FEATURES = ["tenure_days", "frequency", "monetary_sgd", "avg_basket_sgd", "categories_purchased"]
+
+
+def importance(spark, d) -> DataFrame:
+    """A simple importance per feature: absolute correlation with the churn label."""
+    known = features(spark, d).where(F.col("churned").isNotNull())
+    parts = [F.struct(F.lit(f).alias("feature"), F.round(F.abs(F.corr(f, "churned")), 6).alias("importance")) for f in NUMERIC_FEATURES]
+    return known.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def model_metrics(spark, d) -> DataFrame:
+    """Accuracy and ROC-AUC of the fixed score, one row."""
+    rows = materialize(scored(spark, d).select("churned", "churn_probability"))
+    auc = evaluation.roc_auc(rows, "churned", "churn_probability").select("roc_auc").scalar()
+    return evaluation.accuracy_metrics(rows, "churned", "churn_probability").select(
+        F.round("accuracy", 4).alias("accuracy"), F.round(auc, 4).alias("roc_auc")
+    )
+
+
+def passages(spark, d) -> DataFrame:
+    """Every embedded document: its text, a title from its label and its source as section."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("source").alias("section"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    title = F.concat(F.lit("Label "), F.col("label").cast("string"))
+    return vectors.join(docs, "chunk_id").withColumn("doc_title", title)
+
+
+def vector_questions(spark, d) -> DataFrame:
+    """Two questions per label: its mean vector (in scope), and the opposite direction (out of scope).
+    The wording is the benchmark passage with the question's number."""
+    mean = centroids(spark, d)
+    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    both = mean.select(F.col("query_id").alias("label"), "query_vec", sides)
+    wording = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    inside = F.col("side") == 1
+    return (
+        both.select(
+            (F.col("label") * 2 + F.when(inside, 0).otherwise(1)).cast("long").alias("query_id"),
+            F.transform("query_vec", lambda x: x * F.col("side")).alias("query_vec"),
+            F.when(inside, F.concat(F.lit("Label "), F.col("label").cast("string"))).alias("expected_source"),
+            inside.alias("in_scope"),
+        )
+        .join(wording, "query_id")
+    )
+
+
 SQL = {
     "customers_v": """
 SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, m.signup_date, n.n_name AS country, c.c_mktsegment AS segment, c.c_acctbal
@@ -232,6 +315,30 @@ SELECT curve_id, t, par_yield, CASE WHEN t <= 1 THEN 1 ELSE 2 END AS freq FROM (
 SELECT doc_id, '# Doc ' || CAST(doc_id AS VARCHAR) || chr(10) || replace(text, chr(10), chr(10) || '## Part' || chr(10)) AS body FROM documents""",
     "questions_v": """
 SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations WHERE role = 'user'""",
+    "typed_questions_v": """
+SELECT 'customer-' || p_partkey AS question_id, 'customer' AS category, 'What is the churn risk for customer cust' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '?' AS question,
+       ['get_customer_churn_risk'] AS expected_tools, ['CUST' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')] AS must_contain FROM part
+UNION ALL SELECT 'country-' || n_name, 'country', 'How is revenue doing in ' || n_name || '?', ['get_country_kpis'], [n_name || ':'] FROM nation
+UNION ALL SELECT DISTINCT 'driver-' || c_mktsegment, 'driver', 'Which driver matters most for churn in ' || c_mktsegment || '?', ['get_churn_risk_drivers'], ['drivers'] FROM customer
+UNION ALL SELECT 'policy-' || s_suppkey, 'policy', 'Can I claim the expense of a visit to ' || s_name || '?', ['ask_hr_it_policy'], CAST([] AS VARCHAR[]) FROM supplier
+UNION ALL SELECT 'out_of_scope-' || conv_id || '-' || turn, 'out_of_scope', text, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM conversations WHERE role = 'user'""",
+    "importance_v": """
+SELECT * FROM (
+  SELECT 'tenure_days' AS feature, ROUND(abs(corr(tenure_days, churned)), 6) AS importance FROM features_v WHERE churned IS NOT NULL
+  UNION ALL SELECT 'frequency', ROUND(abs(corr(frequency, churned)), 6) FROM features_v WHERE churned IS NOT NULL
+  UNION ALL SELECT 'monetary_sgd', ROUND(abs(corr(monetary_sgd, churned)), 6) FROM features_v WHERE churned IS NOT NULL
+  UNION ALL SELECT 'avg_basket_sgd', ROUND(abs(corr(avg_basket_sgd, churned)), 6) FROM features_v WHERE churned IS NOT NULL
+  UNION ALL SELECT 'categories_purchased', ROUND(abs(corr(categories_purchased, churned)), 6) FROM features_v WHERE churned IS NOT NULL)""",
+    "metrics_v": """
+SELECT ROUND(AVG(CASE WHEN (churn_probability > 0.5) = (churned = 1) THEN 1 ELSE 0 END), 4) AS accuracy,
+       ROUND((SUM(CASE WHEN churned = 1 THEN rk END) - SUM(churned) * (SUM(churned) + 1) / 2e0) / (SUM(churned) * SUM(1 - churned)), 4) AS roc_auc
+FROM (SELECT *, RANK() OVER (ORDER BY churn_probability) + (COUNT(*) OVER (PARTITION BY churn_probability) - 1) / 2e0 AS rk FROM scored_v WHERE churned IS NOT NULL)""",
+    "passages_v": """
+SELECT vec_id AS chunk_id, embedding, label, text AS chunk_text, source AS section, 'Label ' || label AS doc_title FROM embeddings JOIN documents ON doc_id = vec_id""",
+    "vector_questions_v": """
+SELECT query_id * 2 + CASE WHEN side = 1 THEN 0 ELSE 1 END AS query_id, list_transform(query_vec, lambda x : x * side) AS query_vec,
+       CASE WHEN side = 1 THEN 'Label ' || query_id END AS expected_source, side = 1 AS in_scope, b.text AS question
+FROM centroids_v, (VALUES (1), (-1)) v(side) JOIN benchmark b ON b.item_id = query_id * 2 + CASE WHEN side = 1 THEN 0 ELSE 1 END""",
     "centroids_v": """
 SELECT label AS query_id, list(ROUND(x, 9) ORDER BY pos) AS query_vec FROM (
   SELECT label, pos, AVG(CAST(embedding[pos] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
@@ -245,6 +352,9 @@ NEEDS = {
     "prices_v": ["raw_prices_v"],
     "returns_v": ["prices_v"],
     "portfolio_v": ["returns_v"],
+    "importance_v": ["features_v"],
+    "metrics_v": ["scored_v"],
+    "vector_questions_v": ["centroids_v"],
 }
 
 
