@@ -137,7 +137,7 @@ def _summary(df: DataFrame, contributions: dict[str, Column]) -> DataFrame:
     ]
     rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
     direction = F.when(F.col("mean_signed") > 0, "increases").otherwise("decreases")
-    return rows.select("feature", "mean_abs", direction.alias("direction")).orderBy(F.desc("mean_abs"), "feature")
+    return rows.select("feature", "mean_abs", "mean_signed", direction.alias("direction")).orderBy(F.desc("mean_abs"), "feature")
 
 
 def linear_contributions(df: DataFrame, weights: dict[str, float], background: DataFrame) -> DataFrame:

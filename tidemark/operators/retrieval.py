@@ -208,8 +208,8 @@ def _plain(vector, sparse: bool):
 
 def _blocked(q, c, k, metric, sparse, n_blocks, n_shards, schema) -> DataFrame:
     block, shard = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("corpus_id"), F.lit(n_shards))
-    left = q.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("long"))
-    right = c.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    left = q.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    right = c.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def multiply(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:

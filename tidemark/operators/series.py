@@ -25,21 +25,21 @@ def align_dates(prices: DataFrame) -> DataFrame:
     return prices.join(full, "date", "left_semi")
 
 
-def _by(key: str):
+def by_date(key: str):
     return Window.partitionBy(key).orderBy("date")
 
 
 def pct_change(col: str, n: int, key: str = "ticker") -> Column:
-    return F.col(col) / F.lag(col, n).over(_by(key)) - 1
+    return F.col(col) / F.lag(col, n).over(by_date(key)) - 1
 
 
 def forward_return(col: str, n: int, key: str = "ticker") -> Column:
-    return F.lead(col, n).over(_by(key)) / F.col(col) - 1
+    return F.lead(col, n).over(by_date(key)) / F.col(col) - 1
 
 
 def rolling(agg, col: str, first: int, last: int, key: str = "ticker") -> Column:
     """``agg`` over rows ``first..last`` relative to the current one; NULL until all of them have a value."""
-    frame = _by(key).rowsBetween(first, last)
+    frame = by_date(key).rowsBetween(first, last)
     return F.when(F.count(col).over(frame) == last - first + 1, agg(col).over(frame))
 
 
@@ -121,6 +121,8 @@ def chronological_split(panel: DataFrame, train_frac: float = 0.7) -> tuple[Data
     """Split by distinct date, so all tickers of a day fall on the same side."""
     dates = panel.select("date").distinct()
     n = dates.count()
+    if n == 0:
+        return panel, panel
     rank = int(n * train_frac) + 1
     (cutoff,) = order_statistics(dates, ["date"], [rank])[rank]
     return panel.where(F.col("date") < F.lit(cutoff)), panel.where(F.col("date") >= F.lit(cutoff))
@@ -130,7 +132,7 @@ def position_split(panel: DataFrame, key: str, train_frac: float = 0.7, out: str
     """Mark the first ``floor(n * train_frac)`` rows of each series as train, the rest as test."""
     size = F.count(F.lit(1)).over(Window.partitionBy(key))
     return panel.withColumn(
-        out, F.when(F.row_number().over(_by(key)) <= F.floor(size * train_frac), "train").otherwise("test")
+        out, F.when(F.row_number().over(by_date(key)) <= F.floor(size * train_frac), "train").otherwise("test")
     )
 
 

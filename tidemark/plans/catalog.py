@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import customer, knowledge, market, valuation
+from tidemark.plans import customer, files, knowledge, learning, market, valuation
 from tidemark.plans.registry import Runner
 
-MODULES = [customer, market, valuation, knowledge]
+MODULES = [customer, market, valuation, knowledge, learning, files]
 
 
 def queries() -> dict[str, Runner]:

@@ -129,12 +129,13 @@ def similarity_gate(spark, d):
 
 
 @R.query("n13_text_functions", with_views("questions_v", """
-SELECT question_id, upper(trim(question)) AS upper_text, contains(lower(question), 'tion') AS has_term, length(question) AS n,
+SELECT question_id, lower(trim(question)) AS lower_text, upper('q' || CAST(question_id AS VARCHAR)) AS upper_key, contains(lower(question), 'tion') AS has_term, length(question) AS n,
        NULLIF(regexp_extract(question, '(?i)\\b(th[a-z]{4})\\b', 1), '') AS word FROM questions_v"""))
 def text_functions(spark, d):
     q = F.col("question")
     return views.questions(spark, d).select(
-        "question_id", F.upper(F.trim(q)).alias("upper_text"), text.contains_any(F.lower(q), ["tion"]).alias("has_term"),
+        "question_id", F.lower(F.trim(q)).alias("lower_text"), F.upper(F.concat(F.lit("q"), F.col("question_id").cast("string"))).alias("upper_key"),
+        text.contains_any(F.lower(q), ["tion"]).alias("has_term"),
         F.length(q).cast("long").alias("n"), F.nullif(F.regexp_extract(q, r"(?i)\b(th[a-z]{4})\b", 1), F.lit("")).alias("word"),
     )
 
@@ -302,7 +303,8 @@ def keyword_router(spark, d):
 @R.query("a9_top_drivers", with_views("importance_v metrics_v", """
 SELECT feature, ROUND(importance, 4) AS importance, accuracy AS model_accuracy, roc_auc AS model_roc_auc FROM importance_v, metrics_v ORDER BY importance_v.importance DESC, feature LIMIT 3"""))
 def top_drivers(spark, d):
-    return retail.top_drivers(views.importance(spark, d), views.model_metrics(spark, d), 3)
+    scores = materialize(views.scored(spark, d))
+    return retail.top_drivers(views.importance(scores), views.model_metrics(scores), 3)
 
 
 SCORED_ROWS = "SELECT *, 'CUST' || lpad(CAST(customer_id AS VARCHAR), 6, '0') AS code FROM scored_v"
@@ -333,8 +335,8 @@ def with_routed_answers(body):
 
 
 def dispatched(spark, d, with_policy=False):
-    questions = routed(spark, d)
-    policy = None
+    scores = materialize(views.coded_scores(spark, d))
+    questions = materialize(routing.route_questions(views.typed_questions(spark, d), scores.select("country")))
     if with_policy:
         # One passage per document; the policy questions are answered from them.
         passages = views.table(spark, d, "documents").select(
@@ -349,8 +351,7 @@ def dispatched(spark, d, with_policy=False):
         policy = questions.where(F.col("tool") == routing.POLICY_TOOL).select(
             "question_id", F.lit("").alias("answer"), F.lit(False).alias("grounded"), F.array().cast("array<string>").alias("citations")
         )
-    scores = materialize(views.coded_scores(spark, d))
-    return routing.dispatch(questions, scores, views.importance(spark, d), views.model_metrics(spark, d), policy)
+    return routing.dispatch(questions, scores, views.importance(scores), views.model_metrics(scores), policy)
 
 
 @R.query("f12_answer_text", with_routed_answers("SELECT question_id, answer FROM said"))

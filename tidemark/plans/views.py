@@ -217,18 +217,17 @@ def coded_scores(spark, d) -> DataFrame:
 NUMERIC_FEATURES = ["tenure_days", "frequency", "monetary_sgd", "avg_basket_sgd", "categories_purchased"]
 
 
-def importance(spark, d) -> DataFrame:
+def importance(scores: DataFrame) -> DataFrame:
     """A simple importance per feature: absolute correlation with the churn label."""
-    known = features(spark, d).where(F.col("churned").isNotNull())
+    known = scores.where(F.col("churned").isNotNull())
     parts = [F.struct(F.lit(f).alias("feature"), F.round(F.abs(F.corr(f, "churned")), 6).alias("importance")) for f in NUMERIC_FEATURES]
     return known.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
-def model_metrics(spark, d) -> DataFrame:
+def model_metrics(scores: DataFrame) -> DataFrame:
     """Accuracy and ROC-AUC of the fixed score, one row."""
-    rows = materialize(scored(spark, d).select("churned", "churn_probability"))
-    auc = evaluation.roc_auc(rows, "churned", "churn_probability").select("roc_auc").scalar()
-    return evaluation.accuracy_metrics(rows, "churned", "churn_probability").select(
+    auc = evaluation.roc_auc(scores, "churned", "churn_probability").select("roc_auc").scalar()
+    return evaluation.accuracy_metrics(scores, "churned", "churn_probability").select(
         F.round("accuracy", 4).alias("accuracy"), F.round(auc, 4).alias("roc_auc")
     )
 

@@ -25,19 +25,28 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which every executor can reach.
+
+    A temporary folder stands in for it only in local mode with nothing set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once and read the result back from reliable storage.
 
-    Used where several jobs read the same expensive intermediate table. The files
-    go to the shared folder in ``spark.checkpoint.dir``, so they outlive any
-    executor; a temporary folder is used only in local mode with nothing set.
+    Used where several jobs read the same expensive intermediate table. The files are in the shared folder, so
+    they outlive any executor.
     """
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
