@@ -32,6 +32,10 @@ def cash_flow_sums(ytm: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), periods), start, add)
 
 
+# Below this product of period yield and periods the closed forms lose digits; the cash flows are folded instead.
+SMALL_YIELD = 0.01
+
+
 def bond_price(ytm: Column) -> Column:
     """Annuity form of the price: constant work per bond, inside code generation.
 
@@ -46,16 +50,32 @@ def bond_price(ytm: Column) -> Column:
 
 
 def bond_risk_metrics(bonds: DataFrame) -> DataFrame:
-    """Price, Macaulay and modified duration, and convexity."""
+    """Price, Macaulay and modified duration, and convexity.
+
+    With v the period discount factor, the sums of v^k, k v^k and k^2 v^k have closed forms, so a bond costs the
+    same however long it runs. Tiny yields take the exact fold over the cash flows.
+    """
+    n, y, v = F.col("_n"), F.col("_y"), F.col("_v")
+    coupon = F.col("face") * F.col("coupon_rate") / F.col("freq")
+    sum_1 = F.col("_sum_1")
+    tiny = F.abs(F.col("ytm") / F.col("freq")) * n < SMALL_YIELD
+    fold = F.when(tiny, cash_flow_sums(F.col("ytm")))
+    timed = (coupon * sum_1 + F.col("face") * n * v) / F.col("freq")
+    squared = (coupon * (F.col("_sum_2") + sum_1) + F.col("face") * n * (n + 1) * v) / (F.col("freq") * F.col("freq"))
     growth = 1.0 + F.col("ytm") / F.col("freq")
-    sums = F.col("_sums")
     return (
-        bonds.withColumn("_sums", cash_flow_sums(F.col("ytm")))
-        .withColumn("price", sums["price"])
-        .withColumn("macaulay_duration", sums["timed"] / F.col("price"))
+        bonds.withColumn("_n", F.round(F.col("years") * F.col("freq")))
+        .withColumn("_y", F.nullif(F.col("ytm") / F.col("freq"), F.lit(0.0)))
+        .withColumn("_v", F.exp(-n * F.log1p(y)))
+        .withColumn("_sum_0", -F.expm1(-n * F.log1p(y)) / y)
+        .withColumn("_sum_1", ((1.0 + y) * F.col("_sum_0") - n * v) / y)
+        .withColumn("_sum_2", ((1.0 + y) * (2.0 * sum_1 - F.col("_sum_0")) - n * n * v) / y)
+        .withColumn("_fold", fold)
+        .withColumn("price", bond_price(F.col("ytm")))
+        .withColumn("macaulay_duration", F.coalesce(F.col("_fold.timed"), timed) / F.col("price"))
         .withColumn("modified_duration", F.col("macaulay_duration") / growth)
-        .withColumn("convexity", sums["squared"] / (F.col("price") * growth * growth))
-        .drop("_sums")
+        .withColumn("convexity", F.coalesce(F.col("_fold.squared"), squared) / (F.col("price") * growth * growth))
+        .drop("_n", "_y", "_v", "_sum_0", "_sum_1", "_sum_2", "_fold")
     )
 
 

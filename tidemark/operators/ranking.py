@@ -42,17 +42,19 @@ def _literal_key(df: DataFrame, keys: list[str], values) -> Column:
     return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, values)])
 
 
-def order_bins(df: DataFrame, keys: list[str], rows_per_bin: int = ROWS_PER_BIN, weight: str | None = None) -> Bins:
+def order_bins(
+    df: DataFrame, keys: list[str], rows_per_bin: int = ROWS_PER_BIN, weight: str | None = None, n: int | None = None
+) -> Bins:
     """Cut ``df`` into bins ordered by ``keys``; every bin holds about ``rows_per_bin`` rows.
 
     The driver sees a bounded sample of keys and one count per bin, never rows.
-    ``weight`` sums a column per bin instead of counting rows.
+    ``weight`` sums a column per bin instead of counting rows; ``n`` is the row count where it is known.
     """
     measure = F.sum(weight) if weight else F.count(F.lit(1))
-    n = df.count()
+    n = df.count() if n is None else n
     wanted = math.ceil(n / rows_per_bin)
     if wanted <= 1:
-        total = df.agg(measure).first()[0] or 0
+        total = (df.agg(measure).first()[0] or 0) if weight else n
         return Bins(F.lit(0), [total])
     narrow = df.select(*keys)
     sample = sorted(tuple(r) for r in narrow.sample(min(1.0, SAMPLE_PER_BIN * wanted / n), seed=17).collect())
@@ -78,12 +80,14 @@ def global_row_number(df: DataFrame, keys: list[str], out: str = "rn", rows_per_
     )
 
 
-def order_statistics(df: DataFrame, keys: list[str], ranks: list[int], rows_per_bin: int = ROWS_PER_BIN) -> dict[int, tuple]:
+def order_statistics(
+    df: DataFrame, keys: list[str], ranks: list[int], rows_per_bin: int = ROWS_PER_BIN, n: int | None = None
+) -> dict[int, tuple]:
     """Key tuples at the given 1-based global ranks.
 
     Only the bins that hold a wanted rank are sorted; other rows are counted and left alone.
     """
-    bins = order_bins(df, keys, rows_per_bin)
+    bins = order_bins(df, keys, rows_per_bin, n=n)
     wanted = sorted({r for r in ranks if 1 <= r <= sum(bins.sizes)})
     if not wanted:
         return {}
@@ -111,13 +115,16 @@ def ntile_ends(n: int, buckets: int) -> list[int]:
     return [i * (n // buckets) + min(i, n % buckets) for i in range(1, buckets)]
 
 
-def ntile_column(df: DataFrame, keys: list[str], buckets: int = 4, rows_per_bin: int = ROWS_PER_BIN) -> Column:
+def ntile_column(
+    df: DataFrame, keys: list[str], buckets: int = 4, rows_per_bin: int = ROWS_PER_BIN, n: int | None = None
+) -> Column:
     """``ntile(buckets) over (order by keys)`` as a comparison with ``buckets - 1`` literal keys.
 
     Finding the literals reads the key columns only; the wide rows are never shuffled.
     """
-    ends = ntile_ends(df.count(), buckets)
-    cuts = order_statistics(df, keys, ends, rows_per_bin)
+    n = df.count() if n is None else n
+    ends = ntile_ends(n, buckets)
+    cuts = order_statistics(df, keys, ends, rows_per_bin, n)
     here = F.struct(*[F.col(k) for k in keys])
     tile = F.lit(1)
     for end in ends:
@@ -133,7 +140,7 @@ def exact_quantiles(df: DataFrame, key: str, tiebreak: str, fractions: list[floa
         return [None] * len(fractions)
     spots = [(n - 1) * f for f in fractions]
     ranks = {math.floor(s) + 1 for s in spots} | {math.ceil(s) + 1 for s in spots}
-    found = order_statistics(df, [key, tiebreak], sorted(ranks), rows_per_bin)
+    found = order_statistics(df, [key, tiebreak], sorted(ranks), rows_per_bin, n)
     result = []
     for s in spots:
         low, high = found[math.floor(s) + 1][0], found[math.ceil(s) + 1][0]

@@ -124,7 +124,7 @@ def chronological_split(panel: DataFrame, train_frac: float = 0.7) -> tuple[Data
     if n == 0:
         return panel, panel
     rank = int(n * train_frac) + 1
-    (cutoff,) = order_statistics(dates, ["date"], [rank])[rank]
+    (cutoff,) = order_statistics(dates, ["date"], [rank], n=n)[rank]
     return panel.where(F.col("date") < F.lit(cutoff)), panel.where(F.col("date") >= F.lit(cutoff))
 
 

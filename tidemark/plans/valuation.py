@@ -211,7 +211,8 @@ def par_reprice(spark, d):
 def line_flows(spark, d):
     """Every line item as a cash flow due at its ship date, on its supplier's curve."""
     due = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")) / 365.25
-    return views.table(spark, d, "lineitem").select(
+    items = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return views.spread(items, "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("curve_id"), F.col("l_extendedprice").alias("amount"), due.alias("t")
     )
 

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table that arrives in fewer splits than there are cores (one small file) out over the cores.
+
+    For work that is heavy per row. A large table has more splits than cores already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def customers(spark, d) -> DataFrame:
     first_order = (
         table(spark, d, "orders")
@@ -66,13 +75,9 @@ def scored(spark, d) -> DataFrame:
 def raw_prices(spark, d) -> DataFrame:
     """Mean unit price per ship date and supplier region: one series per region.
 
-    Rows are summed per (supplier, day) before the join, so a busy supplier is small by then.
+    Sums combine map-side to one row per (day, region). Spark broadcasts the supplier side while it is small;
+    beyond that the join shuffles and adaptive execution splits a supplier with a large share of the rows.
     """
-    sums = (
-        table(spark, d, "lineitem")
-        .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
-        .agg(F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("units"))
-    )
     region = (
         table(spark, d, "nation")
         .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -80,9 +85,11 @@ def raw_prices(spark, d) -> DataFrame:
     )
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(region, "s_nationkey")
     return (
-        sums.join(supplier, "l_suppkey")
+        table(spark, d, "lineitem")
+        .select("l_suppkey", F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity")
+        .join(supplier, "l_suppkey")
         .groupBy("date", "ticker")
-        .agg((F.sum("value") / F.sum("units")).alias("price"))
+        .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
     )
 
 
@@ -155,7 +162,8 @@ def curve_quotes(spark, d) -> DataFrame:
 
 def markdown(spark, d) -> DataFrame:
     body = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## Part\n")))
-    return table(spark, d, "documents").select("doc_id", body.alias("body"))
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return spread(documents, "doc_id").select("doc_id", body.alias("body"))
 
 
 def questions(spark, d) -> DataFrame:
