@@ -35,6 +35,7 @@ NOTE_NOT_FOUND = (
 NOTE_HEAD = "Candidate signal ideas from the research notes (mock mode — extractive, no LLM used):\n"
 NOTE_TAIL = "Reminder: these are notes, not verified facts — treat as a starting point for research, not investment advice."
 
+METRICS = ("squared_l2", "unit_l2", "dot")
 HASH_DIMS = 1 << 16
 QUERY_VALUES_LIMIT = 1 << 22  # floats of query vectors that one broadcast may hold, 32 MB
 SHARD_ROWS = 50_000
@@ -108,7 +109,12 @@ class _Queries:
             np.add.at(dots, rows[known], values[known, None] * self.by_dim[spot[known]])
         else:
             dots, squares = data @ self.by_dim, (data * data).sum(axis=1)
-        far = -dots if self.metric == "dot" else squares[:, None] + self.squares[None, :] - 2 * dots
+        if self.metric == "dot":
+            far = -dots
+        elif self.metric == "unit_l2":
+            far = 2 - 2 * dots
+        else:
+            far = squares[:, None] + self.squares[None, :] - 2 * dots
         return np.round(far, SCORE_DIGITS) + 0.0
 
 
@@ -165,8 +171,11 @@ def top_k(
     A query set within ``query_values_limit`` is shipped to the tasks; the corpus is then read once, not shuffled,
     and each task returns k rows per query. A larger set is cut into blocks and the corpus into shards, and each
     (block, shard) group is one bounded matrix product. Both paths finish with a window per query over
-    the partial results. Ids are integers. ``metric`` is ``squared_l2`` (distance) or ``dot`` (similarity).
+    the partial results. Ids are integers. ``metric`` is ``squared_l2`` (distance), ``unit_l2`` (the same
+    for unit vectors, with an all-zero vector at distance 2 from everything) or ``dot`` (similarity).
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     sparse = _is_sparse(corpus, corpus_vec)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("corpus_id"), F.col(corpus_vec).alias("v"))

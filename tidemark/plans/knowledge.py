@@ -250,7 +250,7 @@ def batch_ask_text(spark, d):
     model = retrieval.tfidf_pipeline().fit(table.select("chunk_text"))
     questions = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     asked = retrieval.embed(questions, model, "question", "query_vec")
-    matches = materialize(retrieval.top_k(asked, retrieval.embed(table.select("chunk_id", "chunk_text"), model)))
+    matches = materialize(retrieval.top_k(asked, retrieval.embed(table.select("chunk_id", "chunk_text"), model), metric="unit_l2"))
     return retrieval.answer_questions(questions, matches, table.select("chunk_id", "doc_title", "section", "chunk_text"))
 
 
@@ -345,7 +345,7 @@ def dispatched(spark, d, with_policy=False):
         asked = questions.where(F.col("tool") == routing.POLICY_TOOL).select(F.xxhash64("question_id").alias("query_id"), "question_id", "question")
         model = retrieval.tfidf_pipeline().fit(passages)
         vectors_ = retrieval.embed(passages.select("chunk_id", "chunk_text"), model)
-        matches = materialize(retrieval.top_k(retrieval.embed(asked, model, "question", "query_vec"), vectors_))
+        matches = materialize(retrieval.top_k(retrieval.embed(asked, model, "question", "query_vec"), vectors_, metric="unit_l2"))
         policy = retrieval.answer_questions(asked, matches, passages)
     else:
         policy = questions.where(F.col("tool") == routing.POLICY_TOOL).select(
