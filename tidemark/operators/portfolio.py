@@ -103,8 +103,8 @@ def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0) -> Dat
     """Every long-only, fully invested portfolio whose weights are multiples of ``1 / steps``, with its statistics.
 
     The moments of the universe sit in one row (n tickers, n * n covariances); candidates are generated from that
-    row in two stages, so half of the weights are fixed before the rest fan out. There are
-    C(steps + n - 1, n - 1) candidates: meant for small universes.
+    row in two stages: half of the weights are fixed first, and the partial portfolios are dealt out over the
+    tasks before the rest fan out. There are C(steps + n - 1, n - 1) candidates: meant for small universes.
     """
     means = annual_means(returns).select(F.lit("all").alias("universe"), F.struct("ticker", "mean").alias("m"))
     means = means.groupBy("universe").agg(F.sort_array(F.collect_list("m")).alias("m"))
@@ -130,6 +130,7 @@ def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0) -> Dat
     staged = (
         means.join(cov, "universe")
         .withColumn("head", F.explode(extend(F.array(F.array().cast("array<int>")), half)))
+        .repartition("head")
         .withColumn("body", F.explode(extend(F.array(F.col("head")), free - half)))
         .withColumn("units", F.concat("body", F.array(total - used(F.col("body")))))
     )

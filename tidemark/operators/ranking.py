@@ -18,7 +18,8 @@ from pyspark.sql import Window
 from tidemark.session import materialize
 
 ROWS_PER_BIN = 1_000_000
-SAMPLE_PER_BIN = 50
+MAX_BINS = 4096  # beyond this the bins grow instead; selection then narrows the bin it needs in another round
+SAMPLE_PER_BIN = 20
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,18 @@ def _literal_key(df: DataFrame, keys: list[str], values) -> Column:
     return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, values)])
 
 
+def _bounds_below(bounds: list[Column], key: Column) -> Column:
+    """How many of the sorted bounds are smaller than ``key``: a search over groups of bounds, then inside one group."""
+    if not bounds:
+        return F.lit(0)
+    width = math.ceil(math.sqrt(len(bounds)))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda array: F.size(F.filter(array, lambda b: b < key))
+    group = below(F.array(*[g[-1] for g in groups[:-1]])) if len(groups) > 1 else F.lit(0)
+    inside = F.element_at(F.array(*[F.array(*g) for g in groups]), group + 1)
+    return group * width + below(inside)
+
+
 def order_bins(
     df: DataFrame, keys: list[str], rows_per_bin: int = ROWS_PER_BIN, weight: str | None = None, n: int | None = None
 ) -> Bins:
@@ -56,12 +69,12 @@ def order_bins(
     if wanted <= 1:
         total = (df.agg(measure).first()[0] or 0) if weight else n
         return Bins(F.lit(0), [total])
-    narrow = df.select(*keys)
-    sample = sorted(tuple(r) for r in narrow.sample(min(1.0, SAMPLE_PER_BIN * wanted / n), seed=17).collect())
+    wanted = min(wanted, MAX_BINS)
+    fraction = min(1.0, SAMPLE_PER_BIN * wanted / n)
+    sample = sorted(tuple(r) for r in df.select(*keys).sample(fraction, seed=17).collect())
     cuts = sorted({sample[i * len(sample) // wanted] for i in range(1, wanted)}) if sample else []
     bounds = [_literal_key(df, keys, c) for c in cuts]
-    here = F.struct(*[F.col(k) for k in keys])
-    number = F.size(F.filter(F.array(*bounds), lambda b: b < here)) if bounds else F.lit(0)
+    number = _bounds_below(bounds, F.struct(*[F.col(k) for k in keys]))
     counted = df.groupBy(number.alias("bin")).agg(measure.alias("n")).collect()
     sizes = [0] * (len(bounds) + 1)
     for row in counted:
@@ -85,29 +98,31 @@ def order_statistics(
 ) -> dict[int, tuple]:
     """Key tuples at the given 1-based global ranks.
 
-    Only the bins that hold a wanted rank are sorted; other rows are counted and left alone.
+    Only the bins that hold a wanted rank are sorted; other rows are counted and left alone. A bin that is
+    still too large is cut into bins again.
     """
     bins = order_bins(df, keys, rows_per_bin, n=n)
+    located = df.select(*keys, bins.number.alias("_bin"))
     wanted = sorted({r for r in ranks if 1 <= r <= sum(bins.sizes)})
-    if not wanted:
-        return {}
-    edges, total = [], 0
-    for size in bins.sizes:
-        edges.append((total, total + size))
-        total += size
-    holding = sorted({i for r in wanted for i, (lo, hi) in enumerate(edges) if lo < r <= hi})
     window = Window.partitionBy("_bin").orderBy(*keys)
-    conditions = F.lit(False)
-    for i in holding:
-        inside = [r - edges[i][0] for r in wanted if edges[i][0] < r <= edges[i][1]]
-        conditions = conditions | ((F.col("_bin") == i) & F.col("_rank").isin(inside))
-    rows = (
-        df.select(*keys, bins.number.alias("_bin"))
-        .where(F.col("_bin").isin(holding))
-        .withColumn("_rank", F.row_number().over(window))
-        .where(conditions)
-    )
-    return {edges[r["_bin"]][0] + r["_rank"]: tuple(r[k] for k in keys) for r in rows.collect()}
+    found, conditions, starts, total = {}, F.lit(False), {}, 0
+    for i, size in enumerate(bins.sizes):
+        inside = [r - total for r in wanted if total < r <= total + size]
+        if inside and size > 2 * rows_per_bin and size < sum(bins.sizes):
+            narrowed = order_statistics(located.where(F.col("_bin") == i).select(*keys), keys, inside, rows_per_bin, size)
+            found.update({total + r: key for r, key in narrowed.items()})
+        elif inside:
+            starts[i] = total
+            conditions = conditions | ((F.col("_bin") == i) & F.col("_rank").isin(inside))
+        total += size
+    if starts:
+        rows = (
+            located.where(F.col("_bin").isin(list(starts)))
+            .withColumn("_rank", F.row_number().over(window))
+            .where(conditions)
+        )
+        found.update({starts[r["_bin"]] + r["_rank"]: tuple(r[k] for k in keys) for r in rows.collect()})
+    return found
 
 
 def ntile_ends(n: int, buckets: int) -> list[int]:

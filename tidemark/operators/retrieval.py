@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from tidemark.functions.text import citation, lexically_grounded, significant_words, strip
+from tidemark.session import broadcast_if_small
 
 # Fixed values.
 TOP_K = 4
@@ -257,11 +258,12 @@ def answer_questions(
     """Extractive answers with citations, or the not-found text where either gate fails.
 
     ``questions`` has ``question``; ``matches`` comes from :func:`top_k`; ``passages`` has ``doc_title``, ``section``
-    and ``chunk_text``. A question gathers at most k passages.
+    and ``chunk_text``. A question gathers at most k passages. The matches are few and narrow, so while they
+    fit they are sent to the passages, which are then read without a shuffle.
     """
     item = F.struct("rank", "score", citation(F.col("doc_title"), F.col("section")).alias("cite"), "chunk_text", "_words")
     found = (
-        matches.join(passages.withColumn("_words", F.lit(None).cast("array<string>")), corpus_id)
+        passages.join(broadcast_if_small(matches), corpus_id)
         .withColumn("_words", F.when(F.col("rank") == 1, passage_words()))
         .groupBy(query_id)
         .agg(F.sort_array(F.collect_list(item)).alias("_top"))
@@ -287,7 +289,7 @@ def answer_from_notes(questions: DataFrame, matches: DataFrame, notes: DataFrame
     """Research-note answers: quotes the notes when the best similarity reaches the threshold. ``matches`` uses ``dot``."""
     item = F.struct("rank", "score", corpus_id, "headline", "ticker", "date", "text")
     found = (
-        matches.join(notes, corpus_id).groupBy(query_id).agg(F.sort_array(F.collect_list(item)).alias("_top"))
+        notes.join(broadcast_if_small(matches), corpus_id).groupBy(query_id).agg(F.sort_array(F.collect_list(item)).alias("_top"))
     )
     top = F.col("_top")
     tag = lambda m: F.concat(F.lit("["), m[corpus_id].cast("string"), F.lit("] "), m["headline"])

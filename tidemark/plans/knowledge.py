@@ -57,6 +57,22 @@ def chunks(spark, d):
     return documents.chunks(documents.sections(views.markdown(spark, d)))
 
 
+@R.query("r3_chunk_bounds", with_views("markdown_v", """
+SELECT doc_id, section_no, TRUE AS fits, TRUE AS starts, TRUE AS ends, CASE WHEN length(section_text) < 500 THEN section_text END AS only_chunk
+FROM sections WHERE section_text <> ''""", sections=SECTIONS_SQL))
+def chunk_bounds(spark, d):
+    """Chunks fit the size, the first opens and the last closes its section, and a short section is one chunk."""
+    whole = documents.sections(views.markdown(spark, d))
+    pieces = documents.chunks(whole.withColumn("text", F.col("section_text")), "text")
+    per_section = pieces.groupBy("doc_id", "section_no").agg(
+        (F.max(F.length("chunk_text")) <= documents.CHUNK_SIZE).alias("fits"),
+        F.max_by(F.startswith("section_text", "chunk_text"), -F.col("chunk_no")).alias("starts"),
+        F.max_by(F.endswith("section_text", "chunk_text"), "chunk_no").alias("ends"),
+        F.max(F.when(F.length("section_text") < documents.CHUNK_SIZE, F.col("chunk_text"))).alias("only_chunk"),
+    )
+    return per_section
+
+
 def chunk_table(spark, d):
     """Chunks with an integer id: document number, section and chunk position packed into one long."""
     key = F.col("doc_id") * (1 << 32) + F.col("section_no") * (1 << 16) + F.col("chunk_no")
@@ -265,7 +281,7 @@ def note_answers(spark, d):
         F.lit(views.AS_OF).alias("date"), F.col("chunk_text").alias("text"), "embedding",
     )
     questions = views.centroids(spark, d)
-    matches = retrieval.top_k(questions, notes, k=retrieval.NOTE_TOP_K, metric="dot", corpus_id="note_id")
+    matches = materialize(retrieval.top_k(questions, notes, k=retrieval.NOTE_TOP_K, metric="dot", corpus_id="note_id"))
     found = retrieval.answer_from_notes(questions.select(F.col("query_id").cast("long")), matches, notes.drop("embedding"))
     return found.select("query_id", "grounded", F.array_join("citations", "|").alias("citations"))
 
@@ -364,6 +380,17 @@ def dispatch(spark, d):
     return dispatched(spark, d, with_policy=True).select("question_id", "tool", "handled", F.to_json("tool_calls").alias("trace"), "answer")
 
 
+@R.query("r9_dispatch_trace", with_routed_answers("""
+SELECT question_id, COALESCE(tool, '') AS tools, CAST(CASE WHEN tool IS NULL THEN 0 ELSE 1 END AS INTEGER) AS calls, handled,
+       answer LIKE 'No customer found%' AS failed FROM said"""))
+def dispatch_trace(spark, d):
+    calls = F.col("tool_calls")
+    return dispatched(spark, d).select(
+        "question_id", F.array_join(F.transform(calls, lambda c: c["tool"]), ",").alias("tools"), F.size(calls).alias("calls"), "handled",
+        F.exists(calls, lambda c: F.get_json_object(c["output"], "$.error").isNotNull()).alias("failed"),
+    )
+
+
 def judged_routing(spark, d):
     done = dispatched(spark, d)
     actual = done.select("question_id", F.transform("tool_calls", lambda c: c["tool"]).alias("tools_called"), "answer", "handled")

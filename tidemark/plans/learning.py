@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, models, series
@@ -54,6 +56,34 @@ def r_squared(spark, d):
     return round_all(evaluation.r_squared(forecast, "ret", "p"), "r_squared")
 
 
+@R.query("m1_encoded_features", with_views("features_v", """
+SELECT customer_id, c.i AS country_slot, s.i AS segment_slot, CAST(5 + (SELECT COUNT(DISTINCT country) + COUNT(DISTINCT segment) FROM features_v) AS INTEGER) AS width,
+       ROUND(f.tenure_days + f.frequency + f.monetary_sgd + f.avg_basket_sgd + f.categories_purchased + 2e0, 2) AS total
+FROM features_v f JOIN (SELECT country, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, country) - 1 AS INTEGER) AS i FROM features_v GROUP BY country) c USING (country)
+JOIN (SELECT segment, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, segment) - 1 AS INTEGER) AS i FROM features_v GROUP BY segment) s USING (segment)"""))
+def encoded_features(spark, d):
+    """Where each category sits in its one-hot block, the vector width, and the sum over the whole vector."""
+    features = materialize(views.features(spark, d).select("customer_id", *models.NUMERIC, *CATEGORICAL))
+    encoder = Pipeline(stages=models.churn_pipeline(categorical=CATEGORICAL).getStages()[:-1])
+    encoded = encoder.fit(features).transform(features)
+    vector = vector_to_array("features")
+    slot = lambda c: F.unwrap_udt(f"{c}_onehot")["indices"][0]
+    return encoded.select(
+        "customer_id", slot("country").alias("country_slot"), slot("segment").alias("segment_slot"), F.size(vector).alias("width"),
+        rounded(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 2).alias("total"),
+    )
+
+
+@R.query("m6_label_leakage", with_views("features_v", """
+SELECT ROUND(AVG(CASE WHEN (recency_days > 90) = (churned = 1) THEN 1e0 ELSE 0e0 END), 6) AS label_from_recency FROM features_v WHERE churned IS NOT NULL"""))
+def label_leakage(spark, d):
+    """How often the refused column alone gives the label away: always, which is why the feature list may not hold it."""
+    models.check_no_leakage(models.NUMERIC + CATEGORICAL)
+    known = views.features(spark, d).where(F.col("churned").isNotNull())
+    same = ((F.col("recency_days") > 90) == (F.col("churned") == 1)).cast("double")
+    return known.agg(rounded(F.avg(same)).alias("label_from_recency"))
+
+
 @R.query("m2_stratified_split", with_views("features_v", """
 SELECT customer_id, churned, ROW_NUMBER() OVER (PARTITION BY churned ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'))
   <= floor(COUNT(*) OVER (PARTITION BY churned) * 0.2e0 + 0.5e0) AS is_test FROM features_v WHERE churned IS NOT NULL"""))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BROADCAST_ROWS = 500_000  # rows of a few numbers each: tens of megabytes
 
 # Adaptive execution picks partition counts and splits skewed joins at run time.
 DEFAULTS = {
@@ -50,3 +52,11 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcasting when it has at most ``limit`` rows; a larger one is left to a shuffled join.
+
+    The count stops at the limit. Meant for narrow, already written tables, where counting is cheap.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
