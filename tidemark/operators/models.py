@@ -42,7 +42,8 @@ def churn_pipeline(numeric: list[str] = NUMERIC, categorical: list[str] = CATEGO
             # "keep" puts an unseen value in one extra last slot, which dropLast then leaves all zero.
             StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-            VectorAssembler(inputCols=numeric + encoded, outputCol="features"),
+            # A missing number becomes NaN and takes the right branch of a split, so every row gets a score.
+            VectorAssembler(inputCols=numeric + encoded, outputCol="features", handleInvalid="keep"),
             RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="class_weight", **{**FOREST, **forest}),
         ]
     )

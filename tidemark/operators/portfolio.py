@@ -106,10 +106,8 @@ def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0) -> Dat
     row in two stages: half of the weights are fixed first, and the partial portfolios are dealt out over the
     tasks before the rest fan out. There are C(steps + n - 1, n - 1) candidates: meant for small universes.
     """
-    means = annual_means(returns).select(F.lit("all").alias("universe"), F.struct("ticker", "mean").alias("m"))
-    means = means.groupBy("universe").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    cov = covariance(returns).select(F.lit("all").alias("universe"), F.struct("a", "b", "cov").alias("c"))
-    cov = cov.groupBy("universe").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    means = annual_means(returns).agg(F.sort_array(F.collect_list(F.struct("ticker", "mean"))).alias("m"))
+    cov = covariance(returns).agg(F.sort_array(F.collect_list(F.struct("a", "b", "cov"))).alias("c"))
     total = F.lit(steps)
 
     def used(w):
@@ -128,7 +126,7 @@ def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0) -> Dat
     free = size - 1
     half = F.floor(free / 2).cast("int")
     staged = (
-        means.join(cov, "universe")
+        means.withColumns({"universe": F.lit("all"), "c": cov.scalar()})
         .withColumn("head", F.explode(extend(F.array(F.array().cast("array<int>")), half)))
         .repartition("head")
         .withColumn("body", F.explode(extend(F.array(F.col("head")), free - half)))

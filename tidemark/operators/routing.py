@@ -30,6 +30,7 @@ CUSTOMER_ANSWER = (
     "Recency %s days, frequency %s, monetary SGD %s, tenure %s days."
 )
 COUNTRY_ANSWER = "%s: %s customers, average churn probability %s, %s high-risk, total revenue SGD %s."
+MISSING = "n/a"
 DRIVER_ITEM = "%s (%s)"
 DRIVER_ANSWER = "Top churn drivers: %s. Model accuracy %s%%, ROC-AUC %s."
 
@@ -89,7 +90,7 @@ def route_questions(questions: DataFrame, countries: DataFrame, question: str =
 def customer_answer() -> Column:
     text = F.format_string(
         CUSTOMER_ANSWER, "found_id", "country", "segment", percent(F.col("churn_probability")), "churn_risk_band",
-        "recency_days", "frequency", plain_number(F.col("monetary_sgd")), "tenure_days",
+        "recency_days", "frequency", plain_number(F.col("monetary_sgd")), F.coalesce(F.col("tenure_days").cast("string"), F.lit(MISSING)),
     )
     return F.coalesce(F.col("error"), text)
 

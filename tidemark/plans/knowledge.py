@@ -94,12 +94,13 @@ TOPK_SQL = """
 SELECT query_id, chunk_id, rank, score FROM (
   SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM (
     SELECT query_id, vec_id AS chunk_id, ROUND(list_sum(list_transform(list_zip(embedding, query_vec), lambda p : pow(CAST(p[1] AS DOUBLE) - p[2], 2))), 9) AS score
-    FROM {q}, embeddings)) WHERE rank <= 4"""
+    FROM {q}, {c})) WHERE rank <= 4"""
+PASSAGE_VECTORS = "(SELECT chunk_id AS vec_id, embedding FROM passages_v)"
 SIM_SQL = """
 SELECT query_id, chunk_id, rank, score FROM (
   SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
     SELECT query_id, vec_id AS chunk_id, ROUND(list_sum(list_transform(list_zip(embedding, query_vec), lambda p : CAST(p[1] AS DOUBLE) * p[2])), 9) AS score
-    FROM centroids_v, embeddings)) WHERE rank <= 3"""
+    FROM centroids_v, {c})) WHERE rank <= 3"""
 
 
 def vector_corpus(spark, d):
@@ -110,36 +111,36 @@ def label_matches(spark, d, **kw):
     return retrieval.top_k(views.centroids(spark, d), vector_corpus(spark, d), **kw)
 
 
-@R.query("j5_vector_top_k", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=TOPK_SQL.format(q="centroids_v")))
+@R.query("j5_vector_top_k", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=TOPK_SQL.format(q="centroids_v", c="embeddings")))
 def vector_top_k(spark, d):
     return round_all(label_matches(spark, d), "score")
 
 
-@R.query("j5_vector_top_k_blocked", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=TOPK_SQL.format(q="centroids_v")))
+@R.query("j5_vector_top_k_blocked", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=TOPK_SQL.format(q="centroids_v", c="embeddings")))
 def vector_top_k_blocked(spark, d):
     """The same search on the path for query sets beyond the broadcast limit."""
     return round_all(label_matches(spark, d, query_values_limit=256, shard_rows=200), "score")
 
 
-@R.query("t3_top_k_per_query", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=SIM_SQL))
+@R.query("t3_top_k_per_query", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=SIM_SQL.format(c="embeddings")))
 def top_k_per_query(spark, d):
     return round_all(label_matches(spark, d, k=retrieval.NOTE_TOP_K, metric="dot"), "score")
 
 
-@R.query("t5_best_match", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MIN(score), 6) AS best FROM m GROUP BY query_id", m=TOPK_SQL.format(q="centroids_v")))
+@R.query("t5_best_match", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MIN(score), 6) AS best FROM m GROUP BY query_id", m=TOPK_SQL.format(q="centroids_v", c="embeddings")))
 def best_match(spark, d):
     return label_matches(spark, d).groupBy("query_id").agg(rounded(F.min("score")).alias("best"))
 
 
 @R.query("r5_distance_gate", with_views("vector_questions_v", """
-SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MIN(score), 6) AS best_score, MIN(score) <= 1.05 AS near FROM m GROUP BY query_id""", m=TOPK_SQL.format(q="vector_questions_v")))
+SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MIN(score), 6) AS best_score, MIN(score) <= 1.05 AS near FROM m GROUP BY query_id""", m=TOPK_SQL.format(q="vector_questions_v", c="embeddings")))
 def distance_gate(spark, d):
     matches = retrieval.top_k(views.vector_questions(spark, d), vector_corpus(spark, d))
     return round_all(retrieval.distance_gate(matches), "best_score")
 
 
 @R.query("r5_similarity_gate", with_views("centroids_v", """
-SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MAX(score), 6) AS best_score, MAX(score) >= 0.3 AS near FROM m GROUP BY query_id""", m=SIM_SQL))
+SELECT CAST(query_id AS BIGINT) AS query_id, ROUND(MAX(score), 6) AS best_score, MAX(score) >= 0.3 AS near FROM m GROUP BY query_id""", m=SIM_SQL.format(c="embeddings")))
 def similarity_gate(spark, d):
     return round_all(retrieval.distance_gate(label_matches(spark, d, k=3, metric="dot"), metric="dot"), "best_score")
 
@@ -237,7 +238,7 @@ JOIN vector_questions_v q USING (query_id)"""
 
 
 def with_answers(body):
-    return with_views("passages_v vector_questions_v", body, m=TOPK_SQL.format(q="vector_questions_v"), answers=ANSWERS_SQL)
+    return with_views("passages_v vector_questions_v", body, m=TOPK_SQL.format(q="vector_questions_v", c=PASSAGE_VECTORS), answers=ANSWERS_SQL)
 
 
 def answers(spark, d):
@@ -272,7 +273,7 @@ def batch_ask_text(spark, d):
 
 @R.query("r7_note_answers", with_views("centroids_v passages_v", f"""
 SELECT CAST(query_id AS BIGINT) AS query_id, MAX(score) >= 0.3 AS grounded,
-  CASE WHEN MAX(score) >= 0.3 THEN string_agg('[' || chunk_id || '] ' || doc_title, '|' ORDER BY rank) ELSE '' END AS citations FROM m JOIN passages_v USING (chunk_id) GROUP BY query_id""", m=SIM_SQL))
+  CASE WHEN MAX(score) >= 0.3 THEN string_agg('[' || chunk_id || '] ' || doc_title, '|' ORDER BY rank) ELSE '' END AS citations FROM m JOIN passages_v USING (chunk_id) GROUP BY query_id""", m=SIM_SQL.format(c=PASSAGE_VECTORS)))
 def note_answers(spark, d):
     """The research-note form: similarity threshold and note citations, one question per label."""
     passages = views.passages(spark, d)
@@ -335,7 +336,7 @@ SELECT r.question_id, r.category, r.expected_tools, r.must_contain, r.tool, r.ha
   WHEN r.tool = 'get_customer_churn_risk' AND s.code IS NULL THEN 'No customer found with ID ''' || r.tool_input || '''.'
   WHEN r.tool = 'get_customer_churn_risk' THEN 'Customer ' || s.code || ' (' || s.country || ', ' || s.segment || ' segment): churn probability '
     || CAST(round_even(s.churn_probability * 100, 0) AS INTEGER) || '%, risk band ' || s.churn_risk_band || '. Recency ' || s.recency_days || ' days, frequency '
-    || s.frequency || ', monetary SGD ' || regexp_replace(CAST(CAST(s.monetary_sgd AS DECIMAL(28,2)) AS VARCHAR), '(\\.\\d)0$', '\\1') || ', tenure ' || s.tenure_days || ' days.'
+    || s.frequency || ', monetary SGD ' || regexp_replace(CAST(CAST(s.monetary_sgd AS DECIMAL(28,2)) AS VARCHAR), '(\\.\\d)0$', '\\1') || ', tenure ' || COALESCE(CAST(s.tenure_days AS VARCHAR), 'n/a') || ' days.'
   WHEN r.tool = 'get_country_kpis' THEN c.country || ': ' || c.n || ' customers, average churn probability ' || CAST(round_even(c.p * 100, 0) AS INTEGER) || '%, '
     || c.high || ' high-risk, total revenue SGD ' || format('{{:,.2f}}', c.total) || '.'
   WHEN r.tool = 'get_churn_risk_drivers' THEN (SELECT line FROM driver_text)

@@ -58,11 +58,11 @@ def r_squared(spark, d):
 
 @R.query("m1_encoded_features", with_views("features_v", """
 SELECT customer_id, c.i AS country_slot, s.i AS segment_slot, CAST(5 + (SELECT COUNT(DISTINCT country) + COUNT(DISTINCT segment) FROM features_v) AS INTEGER) AS width,
-       ROUND(f.tenure_days + f.frequency + f.monetary_sgd + f.avg_basket_sgd + f.categories_purchased + 2e0, 2) AS total
+       ROUND(COALESCE(f.tenure_days, 0) + f.frequency + f.monetary_sgd + f.avg_basket_sgd + f.categories_purchased + 2e0, 2) AS total
 FROM features_v f JOIN (SELECT country, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, country) - 1 AS INTEGER) AS i FROM features_v GROUP BY country) c USING (country)
 JOIN (SELECT segment, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, segment) - 1 AS INTEGER) AS i FROM features_v GROUP BY segment) s USING (segment)"""))
 def encoded_features(spark, d):
-    """Where each category sits in its one-hot block, the vector width, and the sum over the whole vector."""
+    """Where each category sits in its one-hot block, the vector width, and the sum over the vector's known values."""
     features = materialize(views.features(spark, d).select("customer_id", *models.NUMERIC, *CATEGORICAL))
     encoder = Pipeline(stages=models.churn_pipeline(categorical=CATEGORICAL).getStages()[:-1])
     encoded = encoder.fit(features).transform(features)
@@ -70,7 +70,7 @@ def encoded_features(spark, d):
     slot = lambda c: F.unwrap_udt(f"{c}_onehot")["indices"][0]
     return encoded.select(
         "customer_id", slot("country").alias("country_slot"), slot("segment").alias("segment_slot"), F.size(vector).alias("width"),
-        rounded(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 2).alias("total"),
+        rounded(F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.nanvl(x, F.lit(0.0))), 2).alias("total"),
     )
 
 

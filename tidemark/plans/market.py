@@ -396,7 +396,7 @@ def daily_spread(spark, d):
 
 
 @R.query("a33_long_short_sharpe", with_factors("""
-SELECT COUNT(*) AS n_days, ROUND(AVG(spread) / stddev_samp(spread) * sqrt(252 / 5e0), 6) AS long_short_sharpe FROM spreads""", spreads=SPREAD_SQL))
+SELECT COUNT(*) AS n_days, CASE WHEN COUNT(*) = 0 THEN 0 ELSE ROUND(AVG(spread) / stddev_samp(spread) * sqrt(252 / 5e0), 6) END AS long_short_sharpe FROM spreads""", spreads=SPREAD_SQL))
 def long_short_sharpe(spark, d):
     panel = factor_panel(spark, d).withColumn("signal", series.momentum_signal())
     return round_all(risk.long_short_sharpe(panel, "signal"), "long_short_sharpe")
