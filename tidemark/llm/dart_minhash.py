@@ -172,7 +172,7 @@ def near_duplicate_classes(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY,
     shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """One row (doc_id, class_id, is_first) per input row.
+    """One row (doc_id, class_id, is_first, text_hash) per input row.
 
     class_id is the smallest id of the class; is_first marks the rows that hold it. Classes are the components of the similarity
     graph. A null text is alone in its class; equal texts, the empty text too, are one class. Texts without words have no
@@ -192,4 +192,4 @@ def near_duplicate_classes(
         ids = named.join(smallest, "label").select("node", F.col("smallest").alias("class_id"))
     out = every.select("doc_id", "node").join(ids, "node", "left")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("is_first"))
+    return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("is_first"), F.col("node").alias("text_hash"))

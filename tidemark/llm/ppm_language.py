@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import byte_view, chunks
@@ -27,8 +28,8 @@ UNKNOWN = "und"
 
 
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with ORDER pad bytes before each text, and each text's first byte position."""
-    data, offsets = byte_view(texts)
+    """Bytes in lower case with ORDER pad bytes before each text, and each text's first byte position."""
+    data, offsets = byte_view(pc.utf8_lower(texts))
     n = len(offsets) - 1
     out = np.full(len(data) + ORDER * n, PAD, np.uint8)
     shift = ORDER * np.repeat(np.arange(1, n + 1), np.diff(offsets))
@@ -169,7 +170,7 @@ def train(rows: DataFrame, train_bytes: int = TRAIN_BYTES, min_context: int = MI
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, train_bytes / max(n, 1)) * 1_000_000))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")])
-    counted = picked.select("lang", F.lower("text").alias("text")).mapInArrow(_count, "lang string, gram long, n long")
+    counted = picked.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     return build(counted, min_context) if counted.num_rows else None
 
@@ -193,8 +194,11 @@ def _score(parts, names: list[str]):
     return run
 
 
-def identify(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """One row (doc_id, held_out, lang_pred, score, bits_per_byte) per input row.
+def identify(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_bytes: int = TRAIN_BYTES, whole_rows: bool = False
+) -> DataFrame:
+    """One row (doc_id, held_out, lang_pred, score, bits_per_byte) per input row; with ``whole_rows`` also the input row as the
+    struct ``row``.
 
     Learns from the labelled documents outside the held-out fold; the label is no input of a prediction. score is the winner's
     posterior under equal priors. Null texts and texts without a letter get ``und``, score 0 and null bits; so does everything
@@ -205,18 +209,19 @@ def identify(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     held = F.coalesce(fold() == HELD_OUT_FOLD, F.lit(False))
     model = train(rows.where(~held), train_bytes)
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    flagged = rows.select("doc_id", held.alias("held_out"), F.when(lettered, F.lower("text")).alias("text"), lettered.alias("lettered"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole_rows else []
+    rows = documents.select(*[F.col(c).alias(n) for c, n in ((id_column, "doc_id"), (text_column, "text"))], *carried)
+    flagged = rows.select("doc_id", held.alias("held_out"), "text", lettered.alias("lettered"), *(["row"] if whole_rows else []))
+    names = [c for c in flagged.columns if c != "text"]
     unknown = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte")]
     if model is None:
-        return flagged.select("doc_id", "held_out", *unknown)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+        return flagged.select("doc_id", "held_out", *unknown, *(["row"] if whole_rows else []))
+    kinds = ", ".join(f"{n} {t}" for n, t in flagged.dtypes if n != "text")
     shared = documents.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.two, model.three, model.cost))
-    names = ["doc_id", "held_out", "lettered"]
-    scored = flagged.select("text", *names).mapInArrow(
-        _score(shared, names), f"doc_id {kind}, held_out boolean, lettered boolean, lang_pred string, score double, bits_per_byte double"
-    )
+    scored = flagged.mapInArrow(_score(shared, names), f"{kinds}, lang_pred string, score double, bits_per_byte double")
     known = F.col("lettered")
     return scored.select(
         "doc_id", "held_out", F.when(known, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(known, F.col("score")).otherwise(0.0).alias("score"), F.when(known, F.col("bits_per_byte")).alias("bits_per_byte"),
+        *(["row"] if whole_rows else []),
     )
