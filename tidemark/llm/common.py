@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,13 +29,27 @@ class Stored:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-        self.names: list[str] = []
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.names)}"
-        self.names.append(path)
+        path = f"{self.folder}/{len(self.tables)}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *dfs: DataFrame) -> None:
+        """Delete tables that no later step reads, and let Spark delete the shuffle files of the steps that are over.
+
+        Spark does the latter once the driver's garbage collector finds the shuffles unused, which it may not do for a long
+        time; by then the files of every step would lie on the executors' disks together.
+        """
+        jvm = self.spark._jvm
+        for df, path in self.tables:
+            if any(df is d for d in dfs):
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

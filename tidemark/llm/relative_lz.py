@@ -121,7 +121,7 @@ def _emit_windows(window: int, seed: int):
 
 
 def _parse(window: int):
-    """Factors and kept words of documents (doc_id, text, elsewhere, within)."""
+    """Factors and kept words of documents (doc_id, text, elsewhere, within, copy)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -134,10 +134,11 @@ def _parse(window: int):
             touched = np.zeros(n, bool)
             touched[elsewhere[0]] = touched[within[0]] = True
             starts, key = words.windows(rolling, window)
-            mine = touched[words.doc[starts]]
+            copy = batch.column("copy").to_numpy(zero_copy_only=False)
+            mine = (touched | copy)[words.doc[starts]]
             starts, key = starts[mine], key[mine]
             doc = words.doc[starts]
-            copied = _within(doc, key, elsewhere)
+            copied = copy[doc] | _within(doc, key, elsewhere)
             local = np.flatnonzero(~copied & _within(doc, key, within))
             first = _unique_pairs(doc[local], key[local])[0]
             repeats = np.ones(len(local), bool)
@@ -197,26 +198,38 @@ def duplicate_spans(documents: DataFrame, id_column: str = "doc_id", text_column
     after all others. Repeated rows are the same document and do not remove each other. Windows are compared by 96 hash bits.
     Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = documents.sparkSession
-    store = Stored(spark)
+    store = Stored(documents.sparkSession)
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"))
-    seeds = rows.select("id", "text").mapInArrow(_emit_seeds(window, seed), "seed long, id long, times byte")
-    seeds = store.keep(seeds)
+    copies = store.keep(later_copies(rows))
+    seeds = store.keep(rows.select("id", "text").mapInArrow(_emit_seeds(window, seed), "seed long, id long, times byte"))
     repeated = seeds.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1").select("seed")
-    # An array of the distinct seeds of one document: no longer than the document.
+    # the distinct repeated seeds of one document: no more than it has words
     open_ = seeds.join(repeated, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds"))
+    open_ = store.keep(open_.join(copies, "id", "left_anti"))
+    store.drop(seeds)
     found = rows.select("id", "text").join(open_, "id").mapInArrow(_emit_windows(window, seed), "window long, check int, id long, again boolean")
     found = store.keep(found)
-    first = found.groupBy("window", "check").agg(F.min("id").alias("reference"), F.max("id").alias("last")).where("reference < last")
-    elsewhere = (
-        found.join(first.select("window", "check", "reference"), ["window", "check"]).where("id > reference")
-        .select("id", "window", F.lit(True).alias("copied"))
-    )
+    store.drop(open_)
+    first = found.groupBy("window", "check").agg(F.min("id").alias("reference"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    elsewhere = found.join(first.drop("n"), ["window", "check"]).where("id > reference").select("id", "window", F.lit(True).alias("copied"))
     factors = elsewhere.union(found.where("again").select("id", "window", F.lit(False).alias("copied")))
     lists = factors.groupBy("id").agg(
         F.collect_set(F.when(F.col("copied"), F.col("window"))).alias("elsewhere"), F.collect_set(F.when(~F.col("copied"), F.col("window"))).alias("within")
     )
-    parsed = rows.join(lists, "id", "left").select("doc_id", "text", "elsewhere", "within")
+    lists = store.keep(lists.join(copies.withColumn("copy", F.lit(True)), "id", "full"))
+    store.drop(found, copies)
+    parsed = rows.join(lists, "id", "left").select("doc_id", "text", "elsewhere", "within", F.coalesce("copy", F.lit(False)).alias("copy"))
     return parsed.mapInArrow(
         _parse(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
     )
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(id) of the documents whose whole text stands in a document with a smaller id: one factor covers them.
+
+    An id that comes with several texts is left to the general way.
+    """
+    texts = rows.where("text is not null").select("id", F.md5("text").alias("key"))
+    one = texts.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other").select("id", "key")
+    first = texts.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    return one.join(first, "key").where("id > first").select("id")
