@@ -25,17 +25,30 @@ CAPACITY = 2048
 END_ID = 0
 GROUPS = 96
 SMALL_SHARE = 8  # pieces up to capacity / SMALL_SHARE are small
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 PIECES_PER_RANK = 1_000_000  # pieces of one length that one task ranks, on average
 
 _CUT = re.compile(r" (?=\S)")
+_COMMON_PAIRS = ("  ", "\n ", "\t ", "\r ")
+_RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n\t\r"]
+
+
+def stretches(text: str) -> list[str]:
+    """The text cut at blanks, so that each stretch but the first stands for a blank and what follows.
+
+    Where no white space stands before a blank, every blank starts its run of white space and any cut is right. Else the cuts
+    are those before a character that is no white space.
+    """
+    if any(p in text for p in _COMMON_PAIRS) or any(c in text for c in _RARE_SPACE):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 class WordIds:
     """Token ids, as little-endian bytes, of the stretches between blanks.
 
-    A blank followed by another character always starts a new token of this byte-level pattern, so a text is the sequence of its
-    stretches, each with its blank. Stretches are kept while there is room; the memory is bounded.
+    A blank at the start of white space, or right before another character, always starts a new token of this byte-level pattern,
+    so a text is the sequence of its stretches, each with its blank. Stretches are kept while there is room; the memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -46,7 +59,7 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) for t in texts]
+        cut = [stretches(t) for t in texts]
         heads = self._encode([c[0] for c in cut])
         known = self.known
         new = {s for c in cut for s in c[1:] if s not in known}
