@@ -133,9 +133,10 @@ def band_rows(texts: DataFrame, shingle: int = SHINGLE, coordinates: int = COORD
 
 
 def led(members: DataFrame) -> DataFrame:
-    """Adds each bucket's leader to the rows (band, node, label, shared): of its largest component, the member in most buckets."""
+    """The rows (band, node, label, shared) of the buckets that hold several components, with the bucket's leader: of its largest
+    component, the member in most buckets."""
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("shared", "node")).alias("top"))
-    first = sizes.groupBy("band").agg(F.max(F.struct("n", "top", "label")).alias("first"))
+    first = sizes.groupBy("band").agg(F.max(F.struct("n", "top", "label")).alias("first"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     return members.join(first.select("band", F.col("first.top.node").alias("leader"), F.col("first.label").alias("leader_label")), "band")
 
 
@@ -163,8 +164,7 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
         labels = components(edges)
         rest = members.where("node <> leader").select("band", "node", "shared").join(labels, "node", "left")
         rest = rest.withColumn("label", F.coalesce("label", "node"))
-        open_ = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        members = materialize(led(rest.join(open_, "band", "left_semi")))
+        members = materialize(led(rest))
     return labels
 
 
