@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import Rolling, chunks, mix
 
-Q = 6
+Q = 8
 EDIT_SHARE = 0.1  # edits allowed per character of the item
 BLOCK_CHARS = 4_000_000  # benchmark text that one pass over the documents carries
 FILTER_BITS = 21
@@ -81,8 +81,10 @@ class Index:
         band = (position - at) // width
         span = len(points) + 2 * int(self.sizes.max(initial=0)) + 4
         key = item * span + band + int(self.sizes.max(initial=0)) + 1
-        found, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band reaches over the next one
-        open_ = found[counts >= self.bound[found // span]]
+        found, counts = np.unique(key, return_counts=True)
+        both = counts.copy()  # a band reaches over the next one
+        both[:-1] += np.where(found[1:] == found[:-1] + 1, counts[1:], 0)
+        open_ = found[both >= self.bound[found // span]]
         if not len(open_):
             return
         cut = np.flatnonzero(np.diff(open_) > 1) + 1
