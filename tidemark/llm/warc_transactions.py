@@ -171,8 +171,10 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     request = part("request", ["record_id", "target_uri", "date"])
     metadata = part("metadata", ["record_id", "fields"])
-    original = records.where(F.col("kind") == "response").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("payload_bytes").alias("original_bytes"))
-    whole = answers.join(request, "record_id", "left").join(metadata, "record_id", "left").join(original, "refers_to", "left")
+    original = records.where(F.col("kind") == "response").groupBy(F.col("record_id").alias("_stored")).agg(F.first("payload_bytes").alias("original_bytes"))
+    # a record that refers to nothing stands for itself, so that its key is its own and not a null shared by all
+    answers = answers.withColumn("_stored", F.coalesce("refers_to", "record_id"))
+    whole = answers.join(request, "record_id", "left").join(metadata, "record_id", "left").join(original, "_stored", "left")
     return whole.select(
         F.col("record_id").alias("capture_id"), "kind", "target_uri", "date", F.coalesce("payload_digest", "declared_digest").alias("payload_digest"),
         F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload", "refers_to", "request", "metadata",
@@ -194,8 +196,10 @@ def round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     whole = assemble(records)
     page = F.col("metadata.fields")["pageId"].cast("long")
     known = whole.select("*", page.alias("page_id"))
-    pages_of = known.where("kind = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("refers_page"))
-    return known.join(pages_of, "refers_to", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"), "capture_id", "target_uri",
+    pages_of = known.where("kind = 'response'").select(F.col("capture_id").alias("_stored"), F.col("page_id").alias("refers_page"))
+    known = known.withColumn("_stored", F.coalesce("refers_to", "capture_id"))
+    return known.join(pages_of, "_stored", "left").select(
+        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        F.when(F.col("kind") == "revisit", F.col("refers_page")).alias("refers_to"), "capture_id", "target_uri",
         F.col("request.record_id").alias("request_id"),
     )
