@@ -184,3 +184,16 @@ def test_flat_ends_and_linear_inside(spark):
     got = curves.discount_flows(flows, curves.curve_nodes(points, "c"), "c").orderBy("t").toPandas()
     want = [0.02, 0.02, 0.02, 0.03, 0.04, 0.045, 0.05, 0.05]
     assert np.allclose(got["zero_rate"], want) and np.allclose(got["discount_factor"], np.exp(-np.array(want) * got["t"]))
+
+
+@pytest.mark.parametrize("price", [lambda d: options.jump_diffusion_price(d, 1.0, -0.1, 0.2), lambda d: options.implied_volatility(d.withColumn("price", F.lit(5.0)))])
+def test_unknown_option_type_is_rejected(spark, price):
+    bad = spark.createDataFrame([(100.0, 100.0, 1.0, 0.05, 0.2, "foo")], "s double, k double, t double, r double, sigma double, option_type string")
+    with pytest.raises(Exception, match="option_type"):
+        price(bad).collect()
+
+
+def test_expired_jump_contract_is_worth_its_intrinsic_value(spark):
+    rows = [(100.0, 90.0, 0.0, 0.05, 0.2, "call"), (100.0, 90.0, 0.0, 0.05, 0.2, "put")]
+    df = spark.createDataFrame(rows, "s double, k double, t double, r double, sigma double, option_type string")
+    assert sorted(r["price"] for r in options.jump_diffusion_price(df, 1.0, -0.1, 0.2).collect()) == [0.0, 10.0]

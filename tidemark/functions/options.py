@@ -113,13 +113,13 @@ def _implied(price, s, k, t, r, call):
 
 
 @F.pandas_udf(DoubleType())
-def _implied_udf(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series(_implied(*(x.to_numpy(float) for x in (price, s, k, t, r)), (kind == "call").to_numpy()))
+def _implied_udf(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, call: pd.Series) -> pd.Series:
+    return pd.Series(_implied(*(x.to_numpy(float) for x in (price, s, k, t, r)), call.to_numpy(bool)))
 
 
 def implied_volatility(quotes: DataFrame, price: str = "price", out: str = "implied_vol") -> DataFrame:
     """Volatility at which the dividend-free closed form gives ``price``; NULL when there is none."""
-    value = _implied_udf(price, "s", "k", "t", "r", "option_type")
+    value = _implied_udf(price, "s", "k", "t", "r", _is_call())
     return quotes.withColumn(out, F.nanvl(value, F.lit(None).cast("double")))
 
 
@@ -136,15 +136,17 @@ def _jump_price(s, k, t, r, sigma, call, intensity, jump_mean, jump_vol):
 
 
 def jump_diffusion_price(contracts: DataFrame, intensity: float, jump_mean: float, jump_vol: float, out: str = "price") -> DataFrame:
-    """Poisson-weighted sum of closed-form prices with lognormal jumps."""
+    """Poisson-weighted sum of closed-form prices with lognormal jumps; the intrinsic value where the contract has expired."""
 
     @F.pandas_udf(DoubleType())
-    def value(s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, sigma: pd.Series, kind: pd.Series) -> pd.Series:
-        numbers = (x.to_numpy(float) for x in (s, k, t, r, sigma))
-        return pd.Series(_jump_price(*numbers, (kind == "call").to_numpy(), intensity, jump_mean, jump_vol))
-
-    checked = contracts.withColumn("_call", _is_call())
-    return checked.withColumn(out, value("s", "k", "t", "r", "sigma", "option_type")).drop("_call")
+    def value(s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, sigma: pd.Series, call: pd.Series) -> pd.Series:
+        s_, k_, t_, r_, sigma_ = (x.to_numpy(float) for x in (s, k, t, r, sigma))
+        side, live = call.to_numpy(bool), t_ > 0
+        expired = np.maximum(np.where(side, s_ - k_, k_ - s_), 0.0)
+        running = _jump_price(s_, k_, np.where(live, t_, 1.0), r_, sigma_, side, intensity, jump_mean, jump_vol)
+        return pd.Series(np.where(live, running, np.where(np.isnan(t_), np.nan, expired)))
+
+    return contracts.withColumn(out, value("s", "k", "t", "r", "sigma", _is_call()))
 
 
 def jump_smile(contracts: DataFrame, moneyness: list[float], intensity: float, jump_mean: float, jump_vol: float) -> DataFrame:

@@ -107,7 +107,7 @@ def model_reload(spark, d):
     """Rows, and rows whose score changes after saving and loading the fitted pipeline (none should)."""
     folder = new_folder(spark)
     features = materialize(views.features(spark, d))
-    model = models.fit_churn(features, categorical=["country", "segment"], numTrees=20)
+    model = models.fit_churn(features, categorical=["country", "segment"])
     sinks.save_model(model, folder)
     before = models.score_customers(model, features).select("customer_id", F.col("churn_probability").alias("p"))
     after = models.score_customers(sinks.load_model(folder), features).select("customer_id", "churn_probability")

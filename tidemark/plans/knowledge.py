@@ -18,7 +18,7 @@ def trim_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-BOILERPLATE_SQL = "[" + ", ".join(f"'{w}'" for w in sorted({text.singular(w) for w in text.BOILERPLATE})) + "]"
+BOILERPLATE_SQL = "[" + ", ".join(f"regexp_replace('{w}', '{text.PLURAL}', '\\1')" for w in text.BOILERPLATE) + "]"
 
 
 def words_sql(x: str) -> str:

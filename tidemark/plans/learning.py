@@ -94,11 +94,11 @@ def stratified_split(spark, d):
 
 
 def churn_run(spark, d):
-    """Split, fit a forest on the training part; a forest of 20 trees keeps the check short, the default is 300."""
+    """Split, fit a forest on the training part."""
     features = materialize(views.features(spark, d))
     known = features.where(F.col("churned").isNotNull())
     train, test = models.stratified_split(known, "churned", "customer_id")
-    return features, test, models.fit_churn(train, categorical=CATEGORICAL, numTrees=20)
+    return features, test, models.fit_churn(train, categorical=CATEGORICAL)
 
 
 @R.query("m3_churn_forest_metrics")
@@ -123,7 +123,7 @@ def churn_scores(spark, d):
 @R.query("m10_return_model")
 def return_model(spark, d):
     train, test = series.chronological_split(materialize(factor_panel(spark, d)))
-    model = models.fit_return_model(materialize(train), maxIter=10)
+    model = models.fit_return_model(materialize(train))
     return model.transform(test).select("date", "ticker", "forward_return_5d", "prediction")
 
 
@@ -131,13 +131,13 @@ def return_model(spark, d):
 def volatility_model(spark, d):
     panel = materialize(series.volatility_panel(views.prices(spark, d), MARKET).withColumn("book", F.lit("equal_weight")))
     sides = materialize(series.position_split(panel, "book"))
-    model = models.fit_volatility_model(sides.where(F.col("side") == "train"), maxIter=10)
+    model = models.fit_volatility_model(sides.where(F.col("side") == "train"))
     return evaluation.r_squared(model.transform(sides.where(F.col("side") == "test")), "forward_vol_21", "prediction")
 
 
 @R.query("m12_compare_signals")
 def compare_signals(spark, d):
-    return models.compare_signals(factor_panel(spark, d), maxIter=10)
+    return models.compare_signals(factor_panel(spark, d))
 
 
 BETAS = {"mom_21": 0.5, "mom_63": -0.25, "vol_21": 0.1, "reversal_5": 0.75, "rel_strength_21": 0.3}
@@ -169,5 +169,5 @@ def linear_direction(spark, d):
 def permutation_contributions(spark, d):
     panel = materialize(factor_panel(spark, d).withColumn("row_id", F.concat_ws(":", F.col("date").cast("string"), F.col("ticker"))))
     train, test = series.chronological_split(panel)
-    model = models.fit_return_model(train, maxIter=10)
+    model = models.fit_return_model(train)
     return models.permutation_contributions(model, test, series.FACTOR_COLUMNS, "row_id")
