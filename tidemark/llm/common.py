@@ -180,6 +180,6 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").join(hop, "label")
         new = F.least("label", "near", "far")
         following = materialize(step.select("node", new.alias("label"), (new < F.col("label")).alias("moved")))
-        if following.where("moved").isEmpty():
+        if not following.agg(F.max("moved")).first()[0]:
             return following.select("node", "label")
         labels = following.select("node", "label")

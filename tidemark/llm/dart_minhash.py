@@ -7,8 +7,8 @@ shingle's weight; it also carries a coordinate. The earliest dart of a coordinat
 documents agree in a coordinate with the probability of their weighted Jaccard similarity. Only the few darts below a rank
 limit are thrown: about k (ln k + 4) for a document of any length; where a coordinate stays empty the limit is doubled.
 
-Documents that share a whole band are candidates. Copies of a text are one node. In a bucket every member is compared with one
-leader at a time; see ``linked``.
+Documents that share a whole band are candidates. Copies of a text are one node. In a bucket every member is compared with a
+few leaders at a time; see ``linked``.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import GOLDEN, Rolling, Stored, batch_of, chunks, components, mix, words_of
-from tidemark.session import materialize
+from tidemark.llm.common import GOLDEN, Rolling, Stored, chunks, components, mix, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -90,17 +89,22 @@ def _bands(rows: int, k: int, size: int):
             found = shingles(words_of(batch.column("text"), rolling), rolling, size)
             ranks = signatures(batch.num_rows, *found, k)
             full = np.flatnonzero(~np.isinf(ranks).any(axis=1))
-            cells = ranks[full].view(np.uint64).reshape(len(full), k // rows, rows)
-            band = np.broadcast_to(np.arange(1, k // rows + 1, dtype=np.uint64), cells.shape[:2]).copy()
-            for r in range(rows):
-                band = mix(band ^ cells[:, :, r]) + np.uint64(GOLDEN)
             nodes = batch.column("node").to_numpy(zero_copy_only=False)[full]
-            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).reshape(-1)), pa.array(np.repeat(nodes, k // rows))], ["band", "node"])
+            found = []
+            for length in (rows, 2 * rows):  # the longer bands part large groups of near copies into closer ones, each with a leader
+                cells = ranks[full].view(np.uint64).reshape(len(full), k // length, length)
+                band = np.broadcast_to(np.arange(length << 32, (length << 32) + k // length, dtype=np.uint64), cells.shape[:2]).copy()
+                for r in range(length):
+                    band = mix(band ^ cells[:, :, r]) + np.uint64(GOLDEN)
+                found.append(band)
+            band = np.concatenate(found, axis=1)
+            columns = [pa.array(band.view(np.int64).reshape(-1)), pa.array(np.repeat(nodes, band.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["band", "node"])
 
     return run
 
 
-def _similar(size: int):
+def _similar(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in chunks(batches):
@@ -114,17 +118,18 @@ def _similar(size: int):
             shared = np.bincount(doc[same], np.minimum(weight[same], weight[same + 1]), n)
             total = np.bincount(doc, weight, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("leader"), pa.array(shared / np.maximum(total - shared, 1))], ["node", "leader", "similarity"]
+                [batch.column(c) for c in names] + [pa.array(shared / np.maximum(total - shared, 1))], [*names, "similarity"]
             )
 
     return run
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Exact weighted Jaccard similarity of the pairs (node, leader)."""
+    """Adds the exact weighted Jaccard similarity to the pairs (node, leader, any other longs)."""
     other = texts.select(F.col("node").alias("leader"), F.col("text").alias("other"))
-    sides = pairs.join(texts, "node").join(other, "leader").select("node", "leader", "text", "other")
-    return sides.mapInArrow(_similar(shingle), "node long, leader long, similarity double")
+    names = pairs.columns
+    sides = pairs.join(texts, "node").join(other, "leader").select(*names, "text", "other")
+    return sides.mapInArrow(_similar(shingle, names), ", ".join(f"{c} long" for c in names) + ", similarity double")
 
 
 def band_rows(texts: DataFrame, shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = BAND_ROWS) -> DataFrame:
@@ -141,30 +146,31 @@ def led(members: DataFrame) -> DataFrame:
 
 
 def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:
-    """(node, label): components of the similarity links among the members of shared bands; None without candidates.
+    """(node, label): components of the similarity links among the members of shared bands; None where nothing is linked.
 
     A round compares in each bucket one leader with all members of other components, so a bucket of n copies gives n pairs and a
     large component is not walked through pair by pair. The leader then leaves the bucket, and buckets whose members are all in
-    one component end. Rounds go on as long as one joins components anywhere; there is no limit to their number.
+    one component end. Rounds go on as long as one joins components anywhere; there is no limit to their number. Each round's
+    links are followed on components, so a round handles as many links as it found and not all that were found before.
     """
     store = Stored(texts.sparkSession)
     groups = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
     shared = store.keep(bands.join(groups, "band").distinct())
-    wanted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    wanted = store.keep(shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")))
     texts = store.keep(texts.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    members = materialize(led(shared.join(wanted, "node").withColumn("label", F.col("node"))))
-    edges = labels = None
+    members = store.keep(led(shared.join(wanted, "node").withColumn("label", F.col("node"))))
+    labels = None
     while not members.isEmpty():
-        pairs = members.where("label <> leader_label").select("node", "leader").distinct()
+        met = members.where("label <> leader_label").groupBy("node", "leader")
+        pairs = met.agg(F.first("label").alias("label"), F.first("leader_label").alias("leader_label"))
         checked = store.keep(similarities(pairs, texts, shingle))
-        found = checked.where(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        found = checked.where(F.col("similarity") >= similarity).select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
         if found.isEmpty():
             break
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        rest = members.where("node <> leader").select("band", "node", "shared").join(labels, "node", "left")
-        rest = rest.withColumn("label", F.coalesce("label", "node"))
-        members = materialize(led(rest))
+        moved = components(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        follow = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        labels = store.keep(follow(wanted.select("node", F.col("node").alias("label")) if labels is None else labels))
+        members = store.keep(led(follow(members.where("node <> leader").select("band", "node", "label", "shared"))))
     return labels
 
 
