@@ -90,14 +90,10 @@ def _bands(rows: int, k: int, size: int):
             ranks = signatures(batch.num_rows, *found, k)
             full = np.flatnonzero(~np.isinf(ranks).any(axis=1))
             nodes = batch.column("node").to_numpy(zero_copy_only=False)[full]
-            found = []
-            for length in (rows, 2 * rows):  # the longer bands part large groups of near copies into closer ones, each with a leader
-                cells = ranks[full].view(np.uint64).reshape(len(full), k // length, length)
-                band = np.broadcast_to(np.arange(length << 32, (length << 32) + k // length, dtype=np.uint64), cells.shape[:2]).copy()
-                for r in range(length):
-                    band = mix(band ^ cells[:, :, r]) + np.uint64(GOLDEN)
-                found.append(band)
-            band = np.concatenate(found, axis=1)
+            cells = ranks[full].view(np.uint64).reshape(len(full), k // rows, rows)
+            band = np.broadcast_to(np.arange(k // rows, dtype=np.uint64), cells.shape[:2]).copy()
+            for r in range(rows):
+                band = mix(band ^ cells[:, :, r]) + np.uint64(GOLDEN)
             columns = [pa.array(band.view(np.int64).reshape(-1)), pa.array(np.repeat(nodes, band.shape[1]))]
             yield pa.RecordBatch.from_arrays(columns, ["band", "node"])
 
