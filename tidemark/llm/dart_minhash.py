@@ -134,40 +134,51 @@ def band_rows(texts: DataFrame, shingle: int = SHINGLE, coordinates: int = COORD
 
 
 def led(members: DataFrame) -> DataFrame:
-    """The rows (band, node, label, shared) of the buckets that hold several components, with the bucket's leader: of its largest
-    component, the member in most buckets."""
-    sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("shared", "node")).alias("top"))
-    first = sizes.groupBy("band").agg(F.max(F.struct("n", "top", "label")).alias("first"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return members.join(first.select("band", F.col("first.top.node").alias("leader"), F.col("first.label").alias("leader_label")), "band")
+    """The rows (band, node, shared, label, weight) of the buckets that hold several groups, with the bucket's leader: of the
+    group with the greatest (weight, label), the member in most buckets."""
+    tops = members.groupBy("band", "weight", "label").agg(F.max(F.struct("shared", "node")).alias("top"))
+    first = tops.groupBy("band").agg(F.max(F.struct("weight", "label", "top")).alias("first"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    leaders = first.select("band", F.col("first.top.node").alias("leader"), F.col("first.label").alias("leader_label"), F.col("first.weight").alias("leader_weight"))
+    return members.join(leaders, "band")
+
+
+def _hooks(found: DataFrame) -> DataFrame:
+    """(label, to_weight, to): the group that each group of the links joins. It joins the greatest leader it is linked to, or the
+    one which that leader's group joins in turn. Leaders are greater than those they are compared with, so there are no circles."""
+    hook = found.groupBy("label").agg(F.max(F.struct(F.col("leader_weight").alias("weight"), F.col("leader_label").alias("label"))).alias("to"))
+    further = hook.select(F.col("label").alias("via"), F.col("to").alias("further"))
+    to = F.coalesce("further", "to")
+    return hook.join(further, F.col("to.label") == F.col("via"), "left").select("label", to["weight"].alias("to_weight"), to["label"].alias("to"))
 
 
 def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:
     """(node, label): components of the similarity links among the members of shared bands; None where nothing is linked.
 
-    A round compares in each bucket one leader with all members of other components, so a bucket of n copies gives n pairs and a
-    large component is not walked through pair by pair. The leader then leaves the bucket, and buckets whose members are all in
-    one component end. Rounds go on as long as one joins components anywhere; there is no limit to their number. Each round's
-    links are followed on components, so a round handles as many links as it found and not all that were found before.
+    A round compares in each bucket one leader with all members of other groups, so a bucket of n copies gives n pairs and a
+    large group is not walked through pair by pair. The leader then leaves the bucket, and buckets whose members are all in one
+    group end. Rounds go on as long as one finds a link between groups anywhere; there is no limit to their number. A group is
+    named by one of its members and follows the links of a round two steps far, which takes one pass; groups that are linked
+    in longer ways meet again in a later round or stay apart, and the components of all links, taken once at the end, join them.
     """
     store = Stored(texts.sparkSession)
     groups = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
     shared = store.keep(bands.join(groups, "band").distinct())
     wanted = store.keep(shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")))
     texts = store.keep(texts.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    members = store.keep(led(shared.join(wanted, "node").withColumn("label", F.col("node"))))
-    labels = None
+    members = store.keep(led(shared.join(wanted, "node").withColumns({"label": F.col("node"), "weight": F.col("shared")})))
+    links = None
     while not members.isEmpty():
         met = members.where("label <> leader_label").groupBy("node", "leader")
-        pairs = met.agg(F.first("label").alias("label"), F.first("leader_label").alias("leader_label"))
-        checked = store.keep(similarities(pairs, texts, shingle))
-        found = checked.where(F.col("similarity") >= similarity).select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
+        pairs = met.agg(*[F.first(c).alias(c) for c in ("label", "leader_label", "leader_weight")])
+        found = store.keep(similarities(pairs, texts, shingle).where(F.col("similarity") >= similarity).select("label", "leader_label", "leader_weight").distinct())
         if found.isEmpty():
             break
-        moved = components(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        follow = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        labels = store.keep(follow(wanted.select("node", F.col("node").alias("label")) if labels is None else labels))
-        members = store.keep(led(follow(members.where("node <> leader").select("band", "node", "label", "shared"))))
-    return labels
+        edges = found.select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
+        links = edges if links is None else links.union(edges)
+        rest = members.where("node <> leader").select("band", "node", "shared", "label", "weight").join(_hooks(found), "label", "left")
+        members = store.keep(led(rest.select(
+            "band", "node", "shared", F.coalesce("to", "label").alias("label"), F.coalesce("to_weight", "weight").alias("weight"))))
+    return None if links is None else components(links)
 
 
 def near_duplicate_classes(
