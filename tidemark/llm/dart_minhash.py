@@ -124,7 +124,8 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) ->
     """Adds the exact weighted Jaccard similarity to the pairs (node, leader, any other longs)."""
     other = texts.select(F.col("node").alias("leader"), F.col("text").alias("other"))
     names = pairs.columns
-    sides = pairs.join(texts, "node").join(other, "leader").select(*names, "text", "other")
+    # a leader of many pairs is a hot key, split in a join of Spark's own; the nodes deal the pairs evenly to the Python tasks
+    sides = pairs.join(other, "leader").join(texts, "node").select(*names, "text", "other")
     return sides.mapInArrow(_similar(shingle, names), ", ".join(f"{c} long" for c in names) + ", similarity double")
 
 
@@ -136,9 +137,9 @@ def band_rows(texts: DataFrame, shingle: int = SHINGLE, coordinates: int = COORD
 def led(members: DataFrame) -> DataFrame:
     """The rows (band, node, shared, label, weight) of the buckets that hold several groups, with the bucket's leader: of the
     group with the greatest (weight, label), the member in most buckets."""
-    tops = members.groupBy("band", "weight", "label").agg(F.max(F.struct("shared", "node")).alias("top"))
-    first = tops.groupBy("band").agg(F.max(F.struct("weight", "label", "top")).alias("first"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    leaders = first.select("band", F.col("first.top.node").alias("leader"), F.col("first.label").alias("leader_label"), F.col("first.weight").alias("leader_weight"))
+    greatest = F.max(F.struct("weight", "label", "shared", "node")).alias("first")
+    first = members.groupBy("band").agg(greatest, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    leaders = first.select("band", F.col("first.node").alias("leader"), F.col("first.label").alias("leader_label"), F.col("first.weight").alias("leader_weight"))
     return members.join(leaders, "band")
 
 
@@ -170,7 +171,7 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
     while not members.isEmpty():
         met = members.where("label <> leader_label").groupBy("node", "leader")
         pairs = met.agg(*[F.first(c).alias(c) for c in ("label", "leader_label", "leader_weight")])
-        found = store.keep(similarities(pairs, texts, shingle).where(F.col("similarity") >= similarity).select("label", "leader_label", "leader_weight").distinct())
+        found = store.keep(similarities(pairs, texts, shingle).where(F.col("similarity") >= similarity).select("label", "leader_label", "leader_weight"))
         if found.isEmpty():
             break
         edges = found.select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
