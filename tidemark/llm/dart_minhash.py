@@ -25,6 +25,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 144  # 24 bands of 6: a pair at 0.8 is missed with probability 0.0007
 BAND_ROWS = 6
+LEADERS = 3  # of a bucket in a round; more make more pairs and fewer rounds
 
 
 def shingles(words, rolling: Rolling, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,18 +136,27 @@ def band_rows(texts: DataFrame, shingle: int = SHINGLE, coordinates: int = COORD
 
 
 def led(members: DataFrame) -> DataFrame:
-    """The rows (band, node, shared, label, weight) of the buckets that hold several groups, with the bucket's leader: of the
-    group with the greatest (weight, label), the member in most buckets."""
-    greatest = F.max(F.struct("weight", "label", "shared", "node")).alias("first")
-    first = members.groupBy("band").agg(greatest, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    leaders = first.select("band", F.col("first.node").alias("leader"), F.col("first.label").alias("leader_label"), F.col("first.weight").alias("leader_weight"))
-    return members.join(leaders, "band")
+    """The rows (band, node, shared, label, weight) of the buckets that hold several groups, with the bucket's leaders: of each
+    LEADERS-th of the nodes the greatest by weight and label of its group and by the number of buckets it is in."""
+    part = F.pmod("node", F.lit(LEADERS))
+    tops = [F.max(F.when(part == i, F.struct("weight", "label", "shared", "node"))) for i in range(LEADERS)]
+    several = members.groupBy("band").agg(F.array_compact(F.array(*tops)).alias("leaders"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return members.join(several.select("band", "leaders"), "band")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """(node, leader, label, weight, leader_label, leader_weight), once for each node and leader of other groups that share a bucket."""
+    met = members.select("node", "label", "weight", F.explode("leaders").alias("top")).where("label <> top.label")
+    met = met.select("node", "label", "weight", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label"), F.col("top.weight").alias("leader_weight"))
+    rest = ("label", "weight", "leader_label", "leader_weight")
+    return met.groupBy("node", "leader").agg(*[F.first(c).alias(c) for c in rest])
 
 
 def _hooks(found: DataFrame) -> DataFrame:
-    """(label, to_weight, to): the group that each group of the links joins. It joins the greatest leader it is linked to, or the
-    one which that leader's group joins in turn. Leaders are greater than those they are compared with, so there are no circles."""
-    hook = found.groupBy("label").agg(F.max(F.struct(F.col("leader_weight").alias("weight"), F.col("leader_label").alias("label"))).alias("to"))
+    """(label, to_weight, to): the group that each group of the links joins. Of two linked groups the lesser by (weight, label)
+    joins the greater, so there are no circles; it joins the greatest of them, or the one which that group joins in turn."""
+    sides = F.struct("weight", "label"), F.struct(F.col("leader_weight").alias("weight"), F.col("leader_label").alias("label"))
+    hook = found.select(F.least(*sides)["label"].alias("label"), F.greatest(*sides).alias("to")).groupBy("label").agg(F.max("to").alias("to"))
     further = hook.select(F.col("label").alias("via"), F.col("to").alias("further"))
     to = F.coalesce("further", "to")
     return hook.join(further, F.col("to.label") == F.col("via"), "left").select("label", to["weight"].alias("to_weight"), to["label"].alias("to"))
@@ -155,8 +165,8 @@ def _hooks(found: DataFrame) -> DataFrame:
 def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:
     """(node, label): components of the similarity links among the members of shared bands; None where nothing is linked.
 
-    A round compares in each bucket one leader with all members of other groups, so a bucket of n copies gives n pairs and a
-    large group is not walked through pair by pair. The leader then leaves the bucket, and buckets whose members are all in one
+    A round compares in each bucket LEADERS leaders with all members of other groups, so a bucket of n copies gives a few n pairs
+    and a large group is not walked through pair by pair. The leaders then leave the bucket, and buckets whose members are all in one
     group end. Rounds go on as long as one finds a link between groups anywhere; there is no limit to their number. A group is
     named by one of its members and follows the links of a round two steps far, which takes one pass; groups that are linked
     in longer ways meet again in a later round or stay apart, and the components of all links, taken once at the end, join them.
@@ -169,14 +179,13 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
     members = store.keep(led(shared.join(wanted, "node").withColumns({"label": F.col("node"), "weight": F.col("shared")})))
     links = None
     while not members.isEmpty():
-        met = members.where("label <> leader_label").groupBy("node", "leader")
-        pairs = met.agg(*[F.first(c).alias(c) for c in ("label", "leader_label", "leader_weight")])
-        found = store.keep(similarities(pairs, texts, shingle).where(F.col("similarity") >= similarity).select("label", "leader_label", "leader_weight"))
+        close = similarities(_meetings(members), texts, shingle).where(F.col("similarity") >= similarity)
+        found = store.keep(close.select("label", "weight", "leader_label", "leader_weight"))
         if found.isEmpty():
             break
         edges = found.select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
         links = edges if links is None else links.union(edges)
-        rest = members.where("node <> leader").select("band", "node", "shared", "label", "weight").join(_hooks(found), "label", "left")
+        rest = members.where("not exists(leaders, l -> l.node = node)").select("band", "node", "shared", "label", "weight").join(_hooks(found), "label", "left")
         members = store.keep(led(rest.select(
             "band", "node", "shared", F.coalesce("to", "label").alias("label"), F.coalesce("to_weight", "weight").alias("weight"))))
     return None if links is None else components(links)
