@@ -25,8 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; a document with no other line is nothing but boilerplate and
-    goes. n_chars follows the text."""
-    out = site_lines.drop_site_lines(docs.select(*docs.columns), "source").where((F.col("n_lines") > F.col("n_dropped")) | (F.col("n_dropped") == 0))
+    goes. n_chars follows the text. Exact and near copies count as one document, so copies alone make no line boilerplate and a
+    group of them is left to near_dedup."""
+    found = dart_minhash.near_duplicate_classes(docs).where("text_hash is not null")
+    classes = Stored(spark).keep(found.groupBy("text_hash").agg(F.min("class_id").alias("class")))
+    out = site_lines.drop_site_lines(docs.select(*docs.columns), "source", classes=classes).where((F.col("n_lines") > F.col("n_dropped")) | (F.col("n_dropped") == 0))
     return out.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

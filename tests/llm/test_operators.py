@@ -374,3 +374,18 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     assert {r["text"] for r in kept[3]} == {t for t in texts if corpus[9][1] not in " ".join(t.split())}
     assert {r["doc_id"] for r in kept[4]} == {r["doc_id"] for r in kept[3]}
     assert corpus_pipeline.run(spark, path).count() == len(kept[4])
+
+
+def test_copies_are_no_boilerplate(spark):
+    """A third of a source are copies of one text and a third near copies of another: a document of each stays whole."""
+    rng = random.Random(12)
+    body = lambda: [sentence(rng, 12) for _ in range(12)]
+    copied, near = body(), body()
+    texts = ["\n".join(copied)] * 15 + ["\n".join([*near[:-1], f"{near[-1]} n{i}"]) for i in range(15)] + ["\n".join(["site menu line", *body()]) for _ in range(15)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    cleaned = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "")
+    kept = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert all(kept[i] == texts[i] for i in range(30))
+    assert all(kept[i] == texts[i].removeprefix("site menu line\n") for i in range(30, 45))
+    first = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, cleaned, "").collect()}
+    assert first == {0, 15, *range(30, 45)}

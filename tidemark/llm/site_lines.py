@@ -25,32 +25,47 @@ def _hashes(lines: Column) -> Column:
     return F.transform(F.filter(lines, lambda l: F.trim(l) != ""), lambda l: F.xxhash64(F.trim(l)))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def _works(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct rows with ``work``, the class of the text or, where it is in none, the text itself."""
+    known = classes.select(F.col("text_hash").alias("hash"), "class")
+    return rows.distinct().join(known, "hash", "left").withColumn("work", F.struct("class", F.when(F.col("class").isNull(), F.col("hash")).alias("hash")))
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, classes: DataFrame | None = None) -> DataFrame:
     """(site, line hash) of pages (site, text) for the lines on more than ``ratio`` of a site's pages.
 
-    Lines are counted once per page and combine before the shuffle, so a line on every page costs a task one row.
+    Lines are counted once per page and combine before the shuffle, so a line on every page costs a task one row. With
+    ``classes`` (text_hash, class; one row per text_hash) the copies of a text and the texts of a class count as one page, of
+    the lines and of the site.
     """
-    lines = pages.select("site", F.explode(F.array_distinct(_hashes(F.split("text", "\n")))).alias("line"))
-    holding = lines.groupBy("site", "line").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") >= least_pages)
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
+    every = F.explode(F.array_distinct(_hashes(F.split("text", "\n")))).alias("line")
+    if classes is None:
+        lines, number, whole = pages.select("site", every), F.count(F.lit(1)), pages
+    else:
+        hashed = pages.select("site", F.xxhash64("text").alias("hash"), "text")
+        lines, number = _works(hashed.select("site", "hash", every), classes), F.count_distinct("work")
+        whole = _works(hashed.select("site", "hash"), classes)
+    holding = lines.groupBy("site", "line").agg(number.alias("holding")).where(F.col("holding") >= least_pages)
+    totals = whole.groupBy("site").agg(number.alias("total"))
     return holding.join(totals, "site").where(F.col("holding") > ratio * F.col("total")).select("site", "line")
 
 
 def drop_site_lines(
-    pages: DataFrame, site: Column | str = "source", text_column: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    pages: DataFrame, site: Column | str = "source", text_column: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """The input rows with ``text_column`` without its site's boilerplate, and n_lines, n_dropped (lines that are not blank).
 
     Lines are compared without blanks at their ends, by a 64-bit hash. A text that loses nothing stays as it is; one that loses
     all its lines becomes empty. A null text stays null with no lines, but counts as a page of its site. Rows without a site are
-    one site. Repeated rows count as pages of their own. Other columns stay; an empty table stays empty.
+    one site. Repeated rows count as pages of their own, unless ``classes`` makes them one (see ``boilerplate``). Other columns stay; an empty table stays empty.
 
     A site's list is short: no more lines than a page's mean number of lines divided by the ratio. Pages meet it by site and a
     salt, so the pages of a large site are spread.
     """
     key = F.coalesce(F.col(site) if isinstance(site, str) else site, F.lit(""))
     keyed = pages.withColumns({"_site": key, "_text": F.col(text_column)})
-    found = boilerplate(keyed.select(F.col("_site").alias("site"), F.col("_text").alias("text")), ratio, least_pages)
+    found = boilerplate(keyed.select(F.col("_site").alias("site"), F.col("_text").alias("text")), ratio, least_pages, classes)
     lists = found.groupBy("site").agg(F.collect_set("line").alias("_boilerplate"))
     salted = lists.select(F.col("site").alias("_site"), "_boilerplate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salt = F.floor(F.rand(7) * SALTS).cast("int")  # any draw gives the same result
