@@ -389,3 +389,24 @@ def test_copies_are_no_boilerplate(spark):
     assert all(kept[i] == texts[i].removeprefix("site menu line\n") for i in range(30, 45))
     first = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, cleaned, "").collect()}
     assert first == {0, 15, *range(30, 45)}
+
+
+def test_pairs_inside_a_template_family(spark):
+    """Texts that share a template are not near duplicates by it; the planted pairs among them are found."""
+    rng = random.Random(21)
+    template = sentence(rng, 176)
+    rows = []
+    for i in range(200):
+        own = [f"w{i}x{k}" for k in range(28)]
+        rows.append((i, f"{template} {' '.join(own)}"))
+        if i < 12:
+            rows.append((1000 + i, f"{template} {' '.join([*own[:12], *[f'v{i}x{k}' for k in range(16)]])}"))
+    bags = {i: shingle_bag(t) for i, t in rows}
+    assert all(similarity(bags[i], bags[1000 + i]) >= 0.8 for i in range(12)) and similarity(bags[0], bags[1]) < 0.8
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicate_classes(texts).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    nodes = texts.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    met = dart_minhash.overlapping(nodes, texts.select(F.col("doc_id").alias("node"), "text"))
+    pairs = {tuple(sorted((r["node"], r["leader"]))) for r in met.collect()}
+    assert pairs == {(i, 1000 + i) for i in range(12)}

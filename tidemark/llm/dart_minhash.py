@@ -8,7 +8,7 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 limit are thrown: about k (ln k + 4) for a document of any length; where a coordinate stays empty the limit is doubled.
 
 Documents that share a whole band are candidates. Copies of a text are one node. In a bucket every member is compared with a
-few leaders at a time; see ``linked``.
+few leaders at a time; what is left when that finds nothing more is compared by an exact shingle join; see ``linked``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import GOLDEN, Rolling, Stored, chunks, components, mix, words_of
 
@@ -162,6 +162,49 @@ def _hooks(found: DataFrame) -> DataFrame:
     return hook.join(further, F.col("to.label") == F.col("via"), "left").select("label", to["weight"].alias("to_weight"), to["label"].alias("to"))
 
 
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in chunks(batches):
+            doc, key, weight = shingles(words_of(batch.column("text"), rolling), rolling, size)
+            total = np.bincount(doc, weight, batch.num_rows).astype(np.int64)
+            row = np.repeat(np.arange(len(doc)), weight)
+            time = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
+            element = mix(key[row] ^ mix((time + 1).astype(np.uint64)))  # an occurrence of a shingle is an element of its own
+            nodes, labels = (batch.column(c).to_numpy(zero_copy_only=False)[doc[row]] for c in ("node", "label"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(labels), pa.array(total[doc[row]]), pa.array(element.view(np.int64))], ["node", "label", "size", "element"]
+            )
+
+    return run
+
+
+def overlapping(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(node, leader, label, leader_label): every pair of nodes (node, label) of different labels that can reach the similarity.
+
+    Two texts of a and b shingles at the similarity t share o = t / (1 + t) (a + b) of them at least, so they meet among the
+    a - o + 1 rarest of the one and the b - o + 1 rarest of the other. What a template gives to texts that are too far apart by it
+    alone lies behind these, so such texts do not meet through it.
+    """
+    counted = nodes.join(texts, "node").mapInArrow(_elements(shingle), "node long, label long, size long, element long")
+    store = Stored(texts.sparkSession)
+    counted = store.keep(counted)
+    several = counted.groupBy("element").agg(F.count(F.lit(1)).alias("holders"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "element"))
+    placed = counted.join(several, "element").withColumn("place", place).where("holders > 1")
+    longest = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-6) + 1
+    placed = store.keep(placed.where(F.col("place") <= longest).select("node", "label", "size", "element", "place"))
+    share = similarity / (1 + similarity)
+    least = F.ceil(F.lit(share) * (F.col("size") + F.col("other_size")) - 1e-6)
+    less = placed.where(F.col("place") <= F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - 1e-6) + 1)
+    more = placed.select("element", *[F.col(c).alias(n) for c, n in (("node", "leader"), ("label", "leader_label"), ("size", "other_size"), ("place", "other_place"))])
+    met = less.join(more, "element").where(
+        (F.col("label") != F.col("leader_label")) & (F.struct("size", "node") < F.struct(F.col("other_size"), F.col("leader")))
+        & (F.col("size") - F.col("place") + 1 >= least) & (F.col("other_size") - F.col("other_place") + 1 >= least)
+    )
+    return met.select("node", "leader", "label", "leader_label").distinct()
+
+
 def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:
     """(node, label): components of the similarity links among the members of shared bands; None where nothing is linked.
 
@@ -182,6 +225,11 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
         close = similarities(_meetings(members), texts, shingle).where(F.col("similarity") >= similarity)
         found = store.keep(close.select("label", "weight", "leader_label", "leader_weight"))
         if found.isEmpty():
+            left = members.select("node", "label").distinct()
+            close = similarities(overlapping(left, texts, similarity, shingle), texts, shingle).where(F.col("similarity") >= similarity)
+            edges = store.keep(close.select(F.col("label").alias("a"), F.col("leader_label").alias("b")))
+            if not edges.isEmpty():
+                links = edges if links is None else links.union(edges)
             break
         edges = found.select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
         links = edges if links is None else links.union(edges)
