@@ -410,3 +410,12 @@ def test_pairs_inside_a_template_family(spark):
     met = dart_minhash.overlapping(nodes, texts.select(F.col("doc_id").alias("node"), "text"))
     pairs = {tuple(sorted((r["node"], r["leader"]))) for r in met.collect()}
     assert pairs == {(i, 1000 + i) for i in range(12)}
+
+
+def test_partial_quotes_and_mail_without_threads(spark):
+    rows = [("a", 0, "One line\nand two\n\nsecond part\n\nthird part\n\nfourth"), ("a", 1, "x\n> second part\n>\n> third\n> part"), ("b", 2, "y\n> and two"),
+            (None, 3, "z\n> second part\n> third part\n> fourth"), ("a", 4, "w\n> third part\n> second part"), ("a", 5, "v\n> y")]
+    mail = spark.createDataFrame(rows, "thread string, position long, text string")
+    parents = lambda out: {r["position"]: r["parent"] for r in out.collect()}
+    assert parents(quotation_links.conversations(mail)) == {0: None, 1: 0, 2: None, 3: None, 4: None, 5: None}
+    assert parents(quotation_links.conversations(mail, None)) == {0: None, 1: 0, 2: 0, 3: 0, 4: None, 5: 2}

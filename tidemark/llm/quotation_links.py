@@ -19,6 +19,7 @@ from tidemark.session import materialize
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"\s*On .{1,200} wrote:\s*$")
+_GAP = re.compile(r"\n[ \t]*\n")
 BUCKET = 4096  # positions of a thread in which one task looks for the last message with a text
 
 
@@ -55,6 +56,11 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own), [(level, "\n".join(lines)) for level, lines in passages]
 
 
+def units(text: str) -> tuple[list[str], list[str]]:
+    """The lines and the paragraphs of a text that are not blank."""
+    return tuple([u for u in parts if u.strip()] for parts in (text.split("\n"), _GAP.split(text)))
+
+
 def _parse(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,18 +69,46 @@ def _parse(names: list[str]):
                 mine, passages = split_quotes(text or "")
                 own.append(mine)
                 # the whole text, and each of its paragraphs if there are several
-                parts = {passage_hash(p) for p in [mine, *re.split(r"\n[ \t]*\n", mine)]}
+                parts = {passage_hash(p) for p in [mine, *_GAP.split(mine)]}
                 hashes.append(sorted(h for h in parts if h is not None))
-                quotes.append([{"level": level, "hash": h} for level, t in passages if (h := passage_hash(t)) is not None])
+                found = [(level, h, *map(len, units(t))) for level, t in passages if (h := passage_hash(t)) is not None]
+                quotes.append([dict(zip(("level", "hash", "lines", "paragraphs"), q)) for q in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
-                + [pa.array(own, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])))],
+                + [pa.array(own, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("lines", pa.int32()), ("paragraphs", pa.int32())])))],
                 names + ["own_text", "own_hashes", "quotes"],
             )
 
     return run
 
 
+def _runs(lengths: list[list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, hashes = [], []
+            for i, text in enumerate(batch.column("own_text").to_pylist()):
+                mine = set()
+                for parts, wanted in zip(units(text), lengths):
+                    for n in wanted:
+                        mine.update(passage_hash("\n".join(parts[k : k + n])) for k in range(len(parts) - n + 1))
+                row.extend([i] * len(mine))
+                hashes.extend(mine)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("thread").take(at), batch.column("position").take(at), pa.array(hashes, pa.int64())], ["thread", "position", "hash"]
+            )
+
+    return run
+
+
+def own_runs(placed: DataFrame) -> DataFrame:
+    """(thread, position, hash): runs of lines and of paragraphs of the own texts, of the lengths that some passage has."""
+    quoted = placed.select(F.explode("quotes").alias("q"))
+    lengths = [sorted(r[0] for r in quoted.select(f"q.{c}").distinct().toLocalIterator()) for c in ("lines", "paragraphs")]
+    kind = placed.schema["thread"].dataType.simpleString()
+    return placed.select("thread", "position", "own_text").mapInArrow(_runs(lengths), f"thread {kind}, position long, hash long")
+
+
 def last_before(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Adds ``found``: the largest position in ``known`` (thread, hash, position) below the position of ``wanted`` (thread, hash, position).
 
@@ -106,11 +140,12 @@ def roots(parents: DataFrame) -> DataFrame:
     return state.select("thread", "position", "root", "depth")
 
 
-def conversations(messages: DataFrame, thread: str = "thread", position: str = "position", text: str = "text") -> DataFrame:
+def conversations(messages: DataFrame, thread: str | None = "thread", position: str = "position", text: str = "text") -> DataFrame:
     """One row per input row: its columns, own_text, n_quotes, parent, root and depth.
 
-    A message's parent is the last earlier message of the same thread whose own text, or a paragraph of it, is the shallowest
-    quoted passage that any message has. Ordering by (thread, root, depth, position) gives the conversations in reply order;
+    A message's parent is the last earlier message of the same thread whose own text, or a run of its lines or paragraphs, is the
+    shallowest quoted passage that any message has. For mail without thread ids ``thread`` is None: all messages are searched, in
+    the order of ``position``, which then tells messages apart. Ordering by (thread, root, depth, position) gives the conversations in reply order;
     root and parent are positions. A message without a found quote starts a conversation. Null or empty texts have no own text
     and quote nothing. Repeated rows and rows that share a position get the same parent each (of different texts, the
     shallowest and then the latest). Rows with a null thread or position stay alone, with null root and depth 0.
@@ -119,20 +154,21 @@ def conversations(messages: DataFrame, thread: str = "thread", position: str = "
     names = [c for c in messages.columns if c != text and c not in reserved]
     kinds = ", ".join(f"`{n}` {t}" for n, t in messages.select(*names).dtypes)
     rows = messages.select(*names, F.col(text).alias("text")).mapInArrow(
-        _parse(names), f"{kinds}, own_text string, own_hashes array<long>, quotes array<struct<level:int,hash:long>>"
+        _parse(names), f"{kinds}, own_text string, own_hashes array<long>, quotes array<struct<level:int,hash:long,lines:int,paragraphs:int>>"
     )
-    placed = rows.where(F.col(thread).isNotNull() & F.col(position).isNotNull()).select(
-        F.col(thread).alias("thread"), F.col(position).cast("long").alias("position"), "own_hashes", "quotes"
+    key = F.lit(0) if thread is None else F.col(thread)
+    placed = rows.where(key.isNotNull() & F.col(position).isNotNull()).select(
+        key.alias("thread"), F.col(position).cast("long").alias("position"), "own_text", "own_hashes", "quotes"
     )
     placed = materialize(placed)
-    known = placed.select("thread", "position", F.explode("own_hashes").alias("hash"))
+    known = placed.select("thread", "position", F.explode("own_hashes").alias("hash")).union(own_runs(placed))
     wanted = placed.select("thread", "position", F.explode("quotes").alias("q")).select("thread", "position", "q.level", "q.hash").distinct()
     linked = last_before(wanted, known).where("found is not null")
     best = linked.groupBy("thread", "position").agg(F.min(F.struct("level", (-F.col("found")).alias("minus"))).alias("best"))
     parents = placed.select("thread", "position").distinct().join(best, ["thread", "position"], "left")
     parents = materialize(parents.select("thread", "position", (-F.col("best.minus")).alias("parent")))
     out = roots(parents).join(parents, ["thread", "position"]).select(F.col("thread").alias("_t"), F.col("position").alias("_p"), "parent", "root", "depth")
-    joined = rows.join(out, (F.col(thread) == F.col("_t")) & (F.col(position).cast("long") == F.col("_p")), "left")
+    joined = rows.join(out, (key == F.col("_t")) & (F.col(position).cast("long") == F.col("_p")), "left")
     return joined.select(*names, "own_text", F.size("quotes").cast("long").alias("n_quotes"), "parent", "root", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
 
