@@ -1,12 +1,12 @@
-"""Duplicate substrings by relative Lempel-Ziv parsing against an index of the corpus itself.
+"""Duplicate substrings by looking up windows in an index of the corpus itself, in place of a relative Lempel-Ziv parse.
 
 The reference is the whole corpus. Its index is cut into blocks by seed hash (the partitions of the shuffles). A seed is the
 smallest hash among the five-word stretches of a window, so equal windows hold equal seeds wherever they stand. Only seeds
 that occur twice can start a factor of window length; the others are dropped after one count. Documents are then matched
 against every block that holds one of their seeds: each window around a repeated seed is looked up in its block, which answers
-with the first document that holds it. A document is parsed from left to right: a factor starts at a window that has an earlier
-occurrence and is extended while the next window continues in the same reference; where it ends, the windows across the
-boundary are looked up like all others. The factors of window length or more are the duplicate spans.
+with the first document that holds it. There is no greedy parse: a window with an earlier occurrence is marked, wherever that
+lies, and the unions of marked windows are the duplicate spans. They are the stretches that factors of window length or more
+could cover together, without the places where one factor would end and the next begin.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _emit_windows(window: int, seed: int):
 
 
 def _parse(window: int):
-    """Factors and kept words of documents (doc_id, text, elsewhere, within, copy)."""
+    """Duplicate spans and kept words of documents (doc_id, text, elsewhere, within, copy)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
