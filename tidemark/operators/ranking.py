@@ -1,10 +1,12 @@
 """Global ranks, order statistics and cumulative counts without a single-task window.
 
-A window without ``partitionBy`` sends every row to one task. Here the order keys are
-cut into bins by literal bounds, bins are counted with an ordinary aggregate, and a row's
-global position is its position inside its bin plus the rows in earlier bins. The bounds
-come from a sample and decide only how even the bins are; results are exact for any bounds.
-All order keys are compared together, so a heavily repeated first key is split by the next.
+A window without ``partitionBy`` sends every row to one task. For ranks the rows are dealt out by
+range, sorted inside their partition, and a row's global position is its position there plus the
+rows of earlier partitions; there is one number per partition and no limit to their count. For a few
+order statistics the keys are cut into bins by literal bounds and the bins counted; a bin that holds a
+wanted rank and is still large is cut again. Bounds come from a sample and decide only how even
+the parts are; results are exact for any bounds. All order keys are compared together, so a
+heavily repeated first key is split by the next.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
-from tidemark.session import materialize
+from tidemark.session import broadcast_if_small, materialize
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 4096  # beyond this the bins grow instead; selection then narrows the bin it needs in another round
 SAMPLE_PER_BIN = 20
+HOT_ROWS = 100_000  # a value with more rows is joined apart from the others
+HELD_ROWS = 10_000  # values of a group that are sorted in one state
+BINS = 1024  # of a group's range, counted at a time
+ROW_BITS = 33  # of the row number that Spark's increasing ids hold beside the partition number
 
 
 @dataclass(frozen=True)
@@ -82,15 +88,29 @@ def order_bins(
     return Bins(number, sizes)
 
 
+def _ranged(df: DataFrame, keys: list[str], rows_per_bin: int) -> DataFrame:
+    """``df`` dealt out by ranges of the keys, with the partition and the 1-based position in it, written so that both stay."""
+    parts = max(1, math.ceil(df.count() / rows_per_bin))
+    ids = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    place = {"_part": F.shiftright("_id", ROW_BITS), "_at": F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1}
+    return materialize(ids.withColumns(place).drop("_id"))
+
+
+def _offsets(ranged: DataFrame, measure: Column) -> DataFrame:
+    """(_part, _before): what the partitions before each one hold. The driver sees one number per partition."""
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").agg(measure.alias("n")).collect())
+    rows, total = [], 0
+    for part, n in sizes:
+        rows.append((part, total))
+        total += n
+    return F.broadcast(ranged.sparkSession.createDataFrame(rows, "_part long, _before long"))
+
+
 def global_row_number(df: DataFrame, keys: list[str], out: str = "rn", rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Exact ``row_number() over (order by keys)``; ``keys`` ascending, not null and unique together."""
-    bins = order_bins(df, keys, rows_per_bin)
-    window = Window.partitionBy("_bin").orderBy(*keys)
-    return (
-        df.withColumn("_bin", bins.number)
-        .withColumn(out, F.row_number().over(window) + bins.before)
-        .drop("_bin")
-    )
+    ranged = _ranged(df, keys, rows_per_bin)
+    numbered = ranged.join(_offsets(ranged, F.count(F.lit(1))), "_part")
+    return numbered.withColumn(out, F.col("_at") + F.col("_before")).select(*df.columns, out)
 
 
 def order_statistics(
@@ -169,18 +189,72 @@ def cumulative_counts(df: DataFrame, key: str, rows_per_bin: int = ROWS_PER_BIN,
     Repeated values are aggregated first, so a value that fills a third of the table is one row here.
     """
     values = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[m.alias(a) for a, m in measures.items()])
-    values = materialize(values)
-    bins = order_bins(values, [key], rows_per_bin, weight="n")
-    running = Window.partitionBy("_bin").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        values.withColumn("_bin", bins.number)
-        .withColumn("n_before", F.coalesce(F.sum("n").over(running), F.lit(0)) + bins.before)
-        .drop("_bin")
-    )
+    ranged = _ranged(materialize(values), [key], rows_per_bin)
+    running = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.withColumn("_own", F.coalesce(F.sum("n").over(running), F.lit(0))).join(_offsets(ranged, F.sum("n")), "_part")
+    return before.withColumn("n_before", F.col("_own") + F.col("_before")).drop("_part", "_at", "_own", "_before")
 
 
-def average_rank(df: DataFrame, key: str, out: str, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
-    """Add the tie-averaged rank of ``key`` to every row."""
+def average_rank(df: DataFrame, key: str, out: str, rows_per_bin: int = ROWS_PER_BIN, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the tie-averaged rank of ``key`` to every row; rows with a null key go.
+
+    The rows of a value that has more than ``hot_rows`` are not brought together: there are few such values, and they go to the rows.
+    """
     ranks = cumulative_counts(df.select(key), key, rows_per_bin)
-    ranks = ranks.select(key, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
-    return df.join(ranks, key)
+    ranks = materialize(ranks.select(key, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)))
+    hot = ranks.where(F.col("n") > hot_rows).select(key, out)
+    if hot.isEmpty():
+        return df.join(ranks.drop("n"), key)
+    hot = broadcast_if_small(hot)
+    rest = df.join(hot.select(key), key, "left_anti").join(ranks.where(F.col("n") <= hot_rows).select(key, out), key)
+    return df.join(hot, key).unionByName(rest)
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, group: str, value: str, bins: int) -> DataFrame:
+    """The next state: histograms of all groups in one pass, and in each the bins that hold the wanted ranks."""
+    wide = F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
+    place = F.coalesce((F.col(value) / 2 - F.col("lo") / 2) / wide, (F.col(value) - F.col("lo")).cast("boolean").cast("double"))
+    inside = rows.join(broadcast_if_small(state), group).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    number = F.least(F.floor(place * bins), F.lit(bins - 1)).alias("bin")
+    counted = inside.groupBy(group, number).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    running = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of a group
+    known = state.select(group, "below", "first", "second", "spot")
+    spans = counted.withColumn("own", F.coalesce(F.sum("n").over(running), F.lit(0))).join(broadcast_if_small(known), group)
+    spans = spans.withColumn("start", F.col("below") + F.col("own")).withColumn("end", F.col("start") + F.col("n"))
+    holds = lambda rank: (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("end"))
+    low, high = holds("first"), holds("second")
+    return spans.groupBy(group).agg(
+        F.max(F.when(low, F.col("least"))).alias("lo"), F.max(F.when(high, F.col("most"))).alias("hi"), F.max(F.when(low, F.col("start"))).alias("below"),
+        (F.max(F.when(high, F.col("end"))) - F.max(F.when(low, F.col("start")))).alias("n"), *[F.first(c).alias(c) for c in ("first", "second", "spot")],
+    )
+
+
+def grouped_quantile(df: DataFrame, group: str, value: str, fraction: float, out: str = "quantile", held_rows: int = HELD_ROWS, bins: int = BINS) -> DataFrame:
+    """(group, out): the linearly interpolated quantile of every group, of any size; null values are left out.
+
+    A group with more than ``held_rows`` values has its range cut into ``bins`` equal parts, which are counted with partial sums,
+    and the part with the wanted ranks is cut again, until it holds no more than that or one value alone. All large groups
+    go through a level together. Values are finite doubles.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    spot = (F.col("n") - 1) * F.lit(float(fraction))
+    state = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    state = state.withColumns({"below": F.lit(0).cast("long"), "first": F.floor(spot), "second": F.ceil(spot), "spot": spot})
+    names = [group, "lo", "hi", "below", "n", "first", "second", "spot"]
+    state = materialize(state.select(*names))
+    done = None
+    while True:
+        large = (F.col("n") > held_rows) & (F.col("lo") < F.col("hi"))
+        ready, state = state.where(~large), state.where(large)
+        done = ready if done is None else done.unionByName(ready)
+        if state.isEmpty():
+            break
+        state = materialize(_narrowed(rows, state, group, value, bins).select(*names))
+    many = done.where("lo < hi")
+    held = rows.join(broadcast_if_small(many.select(group, "lo", "hi")), group).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    held = held.groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("_values"))
+    both = done.join(held, group, "left")
+    at = lambda rank: F.coalesce(F.get("_values", (F.col(rank) - F.col("below")).cast("int")), F.col("lo"))
+    low, high = at("first"), at("second")
+    between = (F.col("second") - F.col("spot")) * low + (F.col("spot") - F.col("first")) * high
+    return both.select(group, F.when(F.col("first") == F.col("second"), low).otherwise(between).alias(out))

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from statistics import NormalDist
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from tidemark.functions.normal import chi2_1_upper_tail, norm_cdf
-from tidemark.operators.ranking import average_rank
+from tidemark.operators.ranking import HELD_ROWS, ROWS_PER_BIN, average_rank, grouped_quantile
 from tidemark.operators.series import TRADING_DAYS
+from tidemark.session import broadcast_if_small, materialize
 
 NORMAL = NormalDist()
 HOLDING_DAYS = 5
-
-
-def quantile_loss(col: str, confidence: float) -> Column:
-    """Negated, linearly interpolated quantile. A group of daily returns is bounded by the calendar."""
-    return -F.percentile(col, F.lit(1 - confidence))
+BLOCK_ROWS = 4096  # of a series that one task works out
+BUCKET_DAYS = 4096  # in which the rows of a series are numbered
 
 
 def normal_loss(col: str, confidence: float) -> Column:
@@ -26,8 +26,10 @@ def normal_loss(col: str, confidence: float) -> Column:
     return -(F.avg(col) + F.stddev_samp(col) * z)
 
 
-def historical_var(returns: DataFrame, confidence: float = 0.95, key: str = "ticker") -> DataFrame:
-    return returns.groupBy(key).agg(quantile_loss("ret", confidence).alias("var"))
+def historical_var(returns: DataFrame, confidence: float = 0.95, key: str = "ticker", held_rows: int = HELD_ROWS) -> DataFrame:
+    """Negated, linearly interpolated quantile of each group, which may have any number of rows."""
+    quantiles = grouped_quantile(returns, key, "ret", 1 - confidence, "_quantile", held_rows)
+    return quantiles.select(key, (-F.col("_quantile")).alias("var"))
 
 
 def parametric_var(returns: DataFrame, confidence: float = 0.95, key: str = "ticker") -> DataFrame:
@@ -43,14 +45,14 @@ def book_returns(returns: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def scenario_var(returns: DataFrame, positions: DataFrame, confidence: float = 0.95) -> DataFrame:
+def scenario_var(returns: DataFrame, positions: DataFrame, confidence: float = 0.95, held_rows: int = HELD_ROWS) -> DataFrame:
     """VaR of each book over a scenario table; here one scenario per historical date."""
-    return historical_var(book_returns(returns, positions), confidence, "book")
+    return historical_var(materialize(book_returns(returns, positions)), confidence, "book", held_rows)
 
 
-def historical_cvar(returns: DataFrame, confidence: float = 0.95, key: str = "ticker") -> DataFrame:
+def historical_cvar(returns: DataFrame, confidence: float = 0.95, key: str = "ticker", held_rows: int = HELD_ROWS) -> DataFrame:
     """Mean loss at or beyond the VaR; the VaR itself when nothing lies beyond."""
-    var = historical_var(returns, confidence, key)
+    var = broadcast_if_small(historical_var(returns, confidence, key, held_rows))
     tail = F.when(F.col("ret") <= -F.col("var"), F.col("ret"))
     return returns.join(var, key).groupBy(key).agg(F.coalesce(-F.avg(tail), F.first("var")).alias("cvar"))
 
@@ -60,21 +62,72 @@ def parametric_cvar(returns: DataFrame, confidence: float = 0.95, key: str = "ti
     return returns.groupBy(key).agg((F.stddev_samp("ret") * scale - F.avg("ret")).alias("cvar"))
 
 
+def _windowed_quantile(window: int, fraction: float, names: list[str]):
+    """Quantile of the ``window`` rows before each row of a block: a sorted list that loses one value and gains one per row."""
+    spot = (window - 1) * fraction
+    low, high = math.floor(spot), math.ceil(spot)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        values = table.column("ret").to_pylist()
+        first = table.column("_pos")[0].as_py()
+        own = table.column("_carried").to_numpy(zero_copy_only=False) == 0
+        held, missing, out = [], 0, []
+        for i, value in enumerate(values):
+            if i > window:
+                gone = values[i - 1 - window]
+                if gone is None:
+                    missing -= 1
+                else:
+                    del held[bisect_left(held, gone)]
+            if i:
+                if values[i - 1] is None:
+                    missing += 1
+                else:
+                    insort(held, values[i - 1])
+            whole = own[i] and first + i >= window and not missing
+            out.append(None if not whole else held[low] if low == high else (high - spot) * held[low] + (spot - low) * held[high])
+        return table.select(names).append_column("_quantile", pa.array(out, pa.float64())).filter(pa.array(own))
+
+    return run
+
+
+def rolling_quantile(series: DataFrame, window: int, fraction: float, key: str, block_rows: int = BLOCK_ROWS, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """``series`` (key, date, ret) with ``_quantile``, the interpolated quantile of the ``window`` rows before each; null with fewer or a null.
+
+    Rows are numbered inside buckets of days whose counts are summed up, so no task sorts a whole series. Blocks of ``block_rows``
+    rows also get the ``window`` rows before them and are worked out one by one.
+    """
+    if block_rows < window:
+        raise ValueError(f"a block of {block_rows} rows is shorter than the window of {window}")
+    bucket = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / bucket_days)
+    rows = materialize(series.select(key, "date", F.col("ret").cast("double").alias("ret"), bucket.alias("_bucket")))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # buckets of a series
+    counts = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy("date")) - 1
+    placed = rows.withColumn("_at", inside).join(counts, [key, "_bucket"]).withColumn("_pos", F.col("_at") + F.col("_before"))
+    own = F.floor(F.col("_pos") / block_rows)
+    late = F.col("_pos") % block_rows >= block_rows - window  # also the last rows before the next block
+    copies = F.when(late, F.array(F.struct(F.lit(0).alias("c"), own.alias("b")), F.struct(F.lit(1).alias("c"), (own + 1).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("c"), own.alias("b"))))
+    dealt = placed.select(key, "date", "ret", "_pos", F.explode(copies).alias("_copy")).select(key, "date", "ret", "_pos", F.col("_copy.c").alias("_carried"), F.col("_copy.b").alias("_block"))
+    kind = dealt.schema[key].dataType.simpleString()
+    return dealt.groupBy(key, "_block").applyInArrow(_windowed_quantile(window, fraction, [key, "date", "ret"]), f"`{key}` {kind}, date date, ret double, _quantile double")
+
+
 def rolling_var_backtest(
-    returns: DataFrame, method: str, window: int = 250, confidence: float = 0.95, key: str = "ticker"
+    returns: DataFrame, method: str, window: int = 250, confidence: float = 0.95, key: str = "ticker", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """VaR from the ``window`` rows before each day, and whether that day's loss exceeded it."""
-    frame = Window.partitionBy(key).orderBy("date").rowsBetween(-window, -1)
     if method == "historical":
-        value = -F.percentile("ret", F.lit(1 - confidence)).over(frame)
+        valued = rolling_quantile(returns, window, 1 - confidence, key, max(block_rows, window)).withColumn("var_estimate", -F.col("_quantile"))
     elif method == "parametric":
+        frame = Window.partitionBy(key).orderBy("date").rowsBetween(-window, -1)
         value = -(F.avg("ret").over(frame) + F.stddev_samp("ret").over(frame) * NORMAL.inv_cdf(1 - confidence))
+        valued = returns.withColumn("var_estimate", F.when(F.count("ret").over(frame) == window, value))
     else:
         raise ValueError(f"unknown method {method!r}")
-    return (
-        returns.withColumn("var_estimate", F.when(F.count("ret").over(frame) == window, value))
-        .where(F.col("var_estimate").isNotNull())
-        .select(key, "date", "var_estimate", F.col("ret").alias("actual_return"), (-F.col("ret") > F.col("var_estimate")).alias("breached"))
+    return valued.where(F.col("var_estimate").isNotNull()).select(
+        key, "date", "var_estimate", F.col("ret").alias("actual_return"), (-F.col("ret") > F.col("var_estimate")).alias("breached")
     )
 
 
@@ -126,10 +179,10 @@ def annualized_stats(returns: DataFrame, key: str = "ticker") -> DataFrame:
     )
 
 
-def information_coefficient(panel: DataFrame, signal: str, target: str) -> DataFrame:
+def information_coefficient(panel: DataFrame, signal: str, target: str, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Pooled Spearman correlation with tie-averaged ranks; two-sided p-value from the normal limit of t."""
     pairs = panel.select(signal, target)
-    ranked = average_rank(average_rank(pairs, signal, "_rs"), target, "_rt")
+    ranked = average_rank(average_rank(pairs, signal, "_rs", rows_per_bin), target, "_rt", rows_per_bin)
     n, rho = F.col("n"), F.col("ic")
     return (
         ranked.agg(F.corr("_rs", "_rt").alias("ic"), F.count(F.lit(1)).alias("n"))

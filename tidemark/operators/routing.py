@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import contains_any, customer_id, percent, plain_number
 from tidemark.operators.retail import lookup_country_kpis, lookup_customers, top_drivers
+from tidemark.operators.terms import TERM_CHARS, first_term
 
 # Fixed values.
 CUSTOMER_TOOL = "get_customer_churn_risk"
@@ -33,57 +34,35 @@ MISSING = "n/a"
 DRIVER_ITEM = "%s (%s)"
 DRIVER_ANSWER = "Top churn drivers: %s. Model accuracy %s%%, ROC-AUC %s."
 
-RULE_LIMIT = 10_000  # rules one row may carry; they are tested against every question
+def term_routes(questions: DataFrame, terms: DataFrame, question: str = "question", term_chars: int = TERM_CHARS) -> DataFrame:
+    """Route of the smallest-priority term that occurs in the question, else NULL; the dictionary may have any size."""
+    best = first_term(questions, terms, ["priority", "route", "term"], question, "_best", term_chars=term_chars)
+    return best.withColumn("route", F.col("_best.route")).drop("_best")
 
 
-def _rule_array(rules: DataFrame, *cols: str) -> Column:
-    """A small rule table as one sorted array, computed once; too many rules fail the job."""
-    n = F.count(F.lit(1))
-    too_many = F.raise_error(F.lit(f"more than {RULE_LIMIT} rules")).cast("boolean")
-    item = F.struct(*cols) if len(cols) > 1 else F.col(cols[0])
-    rows = rules.agg(F.sort_array(F.collect_list(item)).alias("rules"), n.alias("n"))
-    return rows.select(F.when((F.col("n") <= RULE_LIMIT) | too_many, F.col("rules"))).scalar()
-
-
-def term_routes(questions: DataFrame, terms: DataFrame, question: str = "question") -> DataFrame:
-    """Route of the smallest-priority term that occurs in the question, else NULL.
-
-    Terms are tested inside the row, so no (question, term) pair is ever produced.
-    """
+def all_routes(questions: DataFrame, countries: DataFrame, question: str = "question", term_chars: int = TERM_CHARS) -> DataFrame:
+    """Every tool that a question calls for, in ``calls`` (tool, tool_input), in this order: customer id, country with an analytics
+    word, driver words, policy words. A question of several parts has several calls; one that calls for nothing is not handled."""
     text = F.lower(question)
-    hits = F.filter(F.col("_rules"), lambda r: F.contains(text, r["term"]))
-    return (
-        questions.withColumn("_rules", _rule_array(terms, "priority", "route", "term"))
-        .withColumn("route", F.get(hits, F.lit(0))["route"])
-        .drop("_rules")
-    )
-
-
-def route_questions(questions: DataFrame, countries: DataFrame, question: str = "question") -> DataFrame:
+    names = countries.select("country", F.lower("country").alias("term"))
+    country = F.when(contains_any(text, ANALYTICS_TERMS), F.col("_named.country"))
+    customer = customer_id(F.col(question))
+    call = lambda found, tool, value: F.when(found, F.struct(F.lit(tool).alias("tool"), value.cast("string").alias("tool_input")))
+    calls = F.array_compact(F.array(
+        call(customer.isNotNull(), CUSTOMER_TOOL, customer),
+        call(country.isNotNull(), COUNTRY_TOOL, country),
+        call(contains_any(text, DRIVER_TERMS), DRIVER_TOOL, F.lit(None)),
+        call(contains_any(text, POLICY_TERMS), POLICY_TOOL, F.col(question)),
+    ))
+    named = first_term(questions, names, ["country", "term"], question, "_named", term_chars=term_chars)
+    return named.withColumn("calls", calls).withColumn("handled", F.size("calls") > 0).drop("_named")
+
+
+def route_questions(questions: DataFrame, countries: DataFrame, question: str = "question", term_chars: int = TERM_CHARS) -> DataFrame:
     """First match wins: customer id, country with an analytics word, driver words, policy words, else unhandled."""
-    text = F.lower(question)
-    named = F.filter(F.col("_countries"), lambda c: F.contains(text, F.lower(c)))
-    country = F.when(contains_any(text, ANALYTICS_TERMS), F.get(named, F.lit(0)))
-    tool = (
-        F.when(F.col("_customer").isNotNull(), CUSTOMER_TOOL)
-        .when(F.col("_country").isNotNull(), COUNTRY_TOOL)
-        .when(contains_any(text, DRIVER_TERMS), DRIVER_TOOL)
-        .when(contains_any(text, POLICY_TERMS), POLICY_TOOL)
-    )
-    return (
-        questions.withColumn("_countries", _rule_array(countries.select("country").distinct(), "country"))
-        .withColumn("_customer", customer_id(F.col(question)))
-        .withColumn("_country", country)
-        .withColumn("tool", tool)
-        .withColumn(
-            "tool_input",
-            F.when(F.col("tool") == CUSTOMER_TOOL, F.col("_customer"))
-            .when(F.col("tool") == COUNTRY_TOOL, F.col("_country"))
-            .when(F.col("tool") == POLICY_TOOL, F.col(question)),
-        )
-        .withColumn("handled", F.col("tool").isNotNull())
-        .drop("_countries", "_customer", "_country")
-    )
+    first = F.get("calls", F.lit(0))
+    routed = all_routes(questions, countries, question, term_chars)
+    return routed.withColumns({"tool": first["tool"], "tool_input": first["tool_input"]}).drop("calls").select(*questions.columns, "tool", "tool_input", "handled")
 
 
 def customer_answer() -> Column:
@@ -171,3 +150,25 @@ def dispatch(
         *keep, F.array().cast(calls).alias("tool_calls"), F.lit(NOT_HANDLED).alias("answer")
     )
     return result.unionByName(rest)
+
+
+def dispatch_all(
+    routed: DataFrame, scored: DataFrame, importance: DataFrame, metrics: DataFrame, policy_answers: DataFrame | None = None,
+    question_id: str = "question_id", id_col: str = "customer_id",
+) -> DataFrame:
+    """Answer every call of the questions from :func:`all_routes`: fan out to one row per call, dispatch, fan in.
+
+    ``tool_calls`` holds the trace in the order of the calls and ``answer`` their answers, one below the other. Question ids are unique.
+    """
+    rest = [c for c in routed.columns if c not in (question_id, "calls")]
+    fanned = routed.select(question_id, *rest, F.posexplode_outer("calls").alias("_step", "_call"))
+    fanned = fanned.select(question_id, *rest, "_step", F.col("_call.tool").alias("tool"), F.col("_call.tool_input").alias("tool_input"))
+    done = dispatch(fanned, scored, importance, metrics, policy_answers, question_id, id_col)
+    step = F.struct("_step", F.col("tool_calls").alias("trace"), F.col("answer").alias("said"))
+    # four steps at most; the map input of a call can't be ordered, the step number alone is
+    ordered = F.array_sort(F.collect_list(step), lambda a, b: F.coalesce(a["_step"] - b["_step"], F.lit(0)))
+    whole = done.groupBy(question_id).agg(*[F.first(c).alias(c) for c in rest], ordered.alias("_steps"))
+    return whole.select(
+        question_id, *rest, F.flatten(F.transform("_steps", lambda s: s["trace"])).alias("tool_calls"),
+        F.array_join(F.transform("_steps", lambda s: s["said"]), "\n\n").alias("answer"),
+    )

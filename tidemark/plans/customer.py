@@ -190,15 +190,26 @@ def value_quartiles(spark, d):
     return scored.select("customer_id", "recency_quartile", "monetary_quartile")
 
 
-@R.query("w11_average_and_first_rank", with_views("scored_v", """
+AVERAGE_AND_FIRST_RANK_SQL = with_views("scored_v", """
 SELECT customer_id, churn_probability, CAST(RANK() OVER (ORDER BY churn_probability) + (COUNT(*) OVER (PARTITION BY churn_probability) - 1) / 2e0 AS DOUBLE) AS avg_rank,
-       ROW_NUMBER() OVER (ORDER BY churn_probability, customer_id) AS first_rank FROM scored_v"""))
+       ROW_NUMBER() OVER (ORDER BY churn_probability, customer_id) AS first_rank FROM scored_v""")
+
+
+@R.query("w11_average_and_first_rank", AVERAGE_AND_FIRST_RANK_SQL)
 def average_and_first_rank(spark, d):
     scores = materialize(views.scored(spark, d).select("customer_id", "churn_probability"))
     ranked = ranking.global_row_number(scores, ["churn_probability", "customer_id"], "first_rank")
     return ranking.average_rank(ranked, "churn_probability", "avg_rank")
 
 
+@R.query("w11_ranks_in_many_parts", AVERAGE_AND_FIRST_RANK_SQL)
+def ranks_in_many_parts(spark, d):
+    """The same ranks from parts of 100 rows, with the values of more than 20 rows joined apart."""
+    scores = materialize(views.scored(spark, d).select("customer_id", "churn_probability"))
+    ranked = ranking.global_row_number(scores, ["churn_probability", "customer_id"], "first_rank", 100)
+    return ranking.average_rank(ranked, "churn_probability", "avg_rank", 100, 20)
+
+
 @R.query("t1_total_sort", with_views("features_v", """
 SELECT customer_id, country, monetary_sgd FROM features_v ORDER BY country, monetary_sgd DESC, customer_id"""))
 def total_sort(spark, d):

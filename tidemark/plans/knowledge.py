@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, vectors
-from tidemark.operators import documents, evaluation, retail, retrieval, routing
+from tidemark.operators import documents, evaluation, lsh, ranking, retail, retrieval, routing
+from tidemark.operators.postings import PostingIndex
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, round_all, rounded
 from tidemark.plans.views import with_views
-from tidemark.session import materialize
+from tidemark.session import materialize, shared_folder
 
 R = Registry()
 
@@ -74,9 +77,8 @@ def chunk_bounds(spark, d):
 
 
 def chunk_table(spark, d):
-    """Chunks with an integer id: document number, section and chunk position packed into one long."""
-    key = F.col("doc_id") * (1 << 32) + F.col("section_no") * (1 << 16) + F.col("chunk_no")
-    return chunks(spark, d).withColumn("chunk_id", key.cast("long"))
+    """Chunks with a long id: their number in the order of document, section and chunk, for tables of any size."""
+    return ranking.global_row_number(materialize(chunks(spark, d)), ["doc_id", "section_no", "chunk_no"], "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 @R.query("r4_tfidf_vectors")
@@ -90,6 +92,51 @@ def tfidf_vectors(spark, d):
     )
 
 
+def search_sql(asked: str) -> dict[str, str]:
+    """CTEs that compare all documents with the questions (query_id, question) of ``asked`` by TF-IDF; ``found`` has the best four."""
+    counted = "SELECT id, term, COUNT(*) AS tf FROM (SELECT {id} AS id, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM {table}) WHERE term <> '' GROUP BY id, term"
+    return {
+        "tf": counted.format(id="doc_id", text="text", table="documents"),
+        "df": "SELECT term, COUNT(*) AS df FROM tf GROUP BY term",
+        "size": "SELECT COUNT(*) AS n FROM documents",
+        "doc_weights": """SELECT id, term, df, raw / sqrt(SUM(raw * raw) OVER (PARTITION BY id)) AS w
+FROM (SELECT id, term, df, tf * ln((n + 1e0) / (df + 1)) AS raw FROM tf JOIN df USING (term), size) WHERE raw > 0""",
+        "asked_tf": counted.format(id="query_id", text="question", table=asked),
+        "asked_weights": """SELECT query_id, term, raw / sqrt(SUM(raw * raw) OVER (PARTITION BY query_id)) AS w
+FROM (SELECT id AS query_id, term, tf * ln((n + 1e0) / (COALESCE(df, 0) + 1)) AS raw FROM asked_tf LEFT JOIN df USING (term), size) WHERE raw > 0""",
+        "found": """SELECT query_id, chunk_id, rank, ROUND(2 - 2 * dot, 9) AS score FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dot DESC, chunk_id) AS INTEGER) AS rank FROM (
+    SELECT query_id, d.id AS chunk_id, ROUND(SUM(q.w * d.w), 9) AS dot FROM asked_weights q JOIN doc_weights d USING (term) GROUP BY query_id, d.id)) WHERE rank <= 4""",
+    }
+
+
+def document_index(spark, d):
+    """An index of whole documents, written to the shared folder, and the passages it was made from."""
+    passages = views.table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("source").alias("section"), F.col("lang").alias("doc_title")
+    )
+    return PostingIndex.build(passages, f"{shared_folder(spark).rstrip('/')}/tidemark-index-{uuid.uuid4().hex}"), passages
+
+
+BENCHMARK_QUESTIONS = "SELECT item_id AS query_id, text AS question FROM benchmark"
+
+
+@R.query("r4_index_search", with_views([], "SELECT query_id, chunk_id, rank, ROUND(score, 6) AS score FROM found", asked=BENCHMARK_QUESTIONS, **search_sql("asked")))
+def index_search(spark, d):
+    """Every benchmark passage asked of the persisted index of all documents."""
+    questions = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return round_all(document_index(spark, d)[0].search(questions), "score")
+
+
+@R.query("r4_index_lists", with_views([], """
+SELECT term, COUNT(*) AS postings, ROUND(MAX(w), 6) AS max_weight, ROUND(SUM(w), 6) AS total_weight FROM doc_weights GROUP BY term""", **{k: v for k, v in search_sql("asked").items() if k in ("tf", "df", "size", "doc_weights")}))
+def index_lists(spark, d):
+    """What the index has written, list by list."""
+    lists = document_index(spark, d)[0].read("lists").select("term", F.explode("postings").alias("p"))
+    return lists.groupBy("term").agg(
+        F.count(F.lit(1)).alias("postings"), rounded(F.max("p.weight")).alias("max_weight"), rounded(F.sum("p.weight")).alias("total_weight"))
+
+
 TOPK_SQL = """
 SELECT query_id, chunk_id, rank, score FROM (
   SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM (
@@ -122,6 +169,61 @@ def vector_top_k_blocked(spark, d):
     return round_all(label_matches(spark, d, query_values_limit=256, shard_rows=200), "score")
 
 
+# Every benchmark question, and every hundredth row of the table, by negative numbers.
+LSH_QUERIES_SQL = """SELECT query_id, CAST(query_vec AS DOUBLE[]) AS query_vec FROM vector_questions_v
+UNION ALL SELECT -1 - vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 100 = 0"""
+HASHED_SQL = f"""
+SELECT kind, id, t, SUM(CASE WHEN s > 0 THEN 1 << b ELSE 0 END) AS code FROM (
+  SELECT kind, id, t, b, SUM(x * (CAST('0x' || substr(md5(t || ':' || b || ':' || pos), 1, 8) AS BIGINT) / 4294967296e0 - 0.5e0)) AS s
+  FROM (SELECT kind, id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM (
+    SELECT 'q' AS kind, query_id AS id, query_vec AS v FROM asked UNION ALL SELECT 'c', vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings)),
+    range({lsh.TABLES}) AS a(t), range({lsh.BITS}) AS c(b)
+  GROUP BY kind, id, t, b) GROUP BY kind, id, t"""
+LSH_SQL = """
+SELECT query_id, chunk_id, rank, ROUND(score, 6) AS score FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank FROM (
+    SELECT query_id, vec_id AS chunk_id, ROUND(list_sum(list_transform(list_zip(embedding, query_vec), lambda p : pow(CAST(p[1] AS DOUBLE) - p[2], 2))), 9) AS score
+    FROM (SELECT DISTINCT q.id AS query_id, c.id AS vec_id FROM hashed q JOIN hashed c USING (t, code) WHERE q.kind = 'q' AND c.kind = 'c')
+    JOIN asked USING (query_id) JOIN embeddings USING (vec_id))) WHERE rank <= 4"""
+
+
+def with_hashing(body):
+    return with_views("vector_questions_v", body, asked=LSH_QUERIES_SQL, hashed=HASHED_SQL)
+
+
+def lsh_queries(spark, d):
+    rows = views.table(spark, d, "embeddings").where(F.col("vec_id") % 100 == 0)
+    asked = views.vector_questions(spark, d).select("query_id", "query_vec")
+    return asked.unionByName(rows.select((-1 - F.col("vec_id")).alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vec")))
+
+
+def vector_width(corpus):
+    """Numbers in a vector of the table."""
+    return corpus.agg(F.max(F.size("embedding"))).first()[0] or 1
+
+
+@R.query("j5_vector_lsh", with_hashing(LSH_SQL))
+def vector_lsh(spark, d):
+    """Hash tables of random projections: all benchmark questions and every hundredth row against all rows."""
+    corpus = vector_corpus(spark, d)
+    return round_all(lsh.lsh_top_k(lsh_queries(spark, d), corpus, lsh.Hashing(vector_width(corpus))), "score")
+
+
+@R.query("j5_vector_lsh_buckets", with_hashing(LSH_SQL))
+def vector_lsh_buckets(spark, d):
+    """The same search with both sides dealt by bucket, as for more questions than can be shipped."""
+    corpus = vector_corpus(spark, d)
+    return round_all(lsh.lsh_top_k(lsh_queries(spark, d), corpus, lsh.Hashing(vector_width(corpus)), query_values_limit=0), "score")
+
+
+@R.query("j5_vector_lsh_recall", with_views("vector_questions_v", "SELECT COUNT(*) AS queries, TRUE AS reached FROM asked", asked=LSH_QUERIES_SQL))
+def vector_lsh_recall(spark, d):
+    """Recall of the fitted tables against the exact search: nine tenths at least."""
+    corpus, asked = vector_corpus(spark, d), lsh_queries(spark, d)
+    found = lsh.lsh_top_k(asked, corpus, lsh.fit_hashing(corpus))
+    return lsh.recall(found, retrieval.top_k(asked, corpus)).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @R.query("t3_top_k_per_query", with_views("centroids_v", "SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, rank, ROUND(score, 6) AS score FROM m", m=SIM_SQL.format(c="embeddings")))
 def top_k_per_query(spark, d):
     return round_all(label_matches(spark, d, k=retrieval.NOTE_TOP_K, metric="dot"), "score")
@@ -297,6 +399,41 @@ def term_routes(spark, d):
     return routing.term_routes(views.questions(spark, d), terms).select("question_id", "route")
 
 
+# Words of the documents and names of parts and suppliers; the longest term that a turn holds wins.
+DICTIONARY_SQL = """
+SELECT -length(term) AS priority, term AS route, term FROM (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{3,}')) AS term FROM documents
+  UNION SELECT lower(p_name) FROM part UNION SELECT lower(s_name) FROM supplier UNION SELECT lower(p_type) FROM part UNION SELECT lower(p_brand) FROM part)"""
+DICTIONARY_ROUTES_SQL = """
+SELECT conv_id, turn, MIN({'priority': priority, 'route': route}).route AS route FROM conversations LEFT JOIN terms ON contains(lower(text), term) GROUP BY conv_id, turn"""
+
+
+def dictionary(spark, d):
+    part, supplier = views.table(spark, d, "part"), views.table(spark, d, "supplier")
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    terms = views.table(spark, d, "documents").select(words.alias("term"))
+    for df, name in ((part, "p_name"), (supplier, "s_name"), (part, "p_type"), (part, "p_brand")):
+        terms = terms.union(df.select(F.lower(name)))
+    return terms.distinct().select((-F.length("term")).alias("priority"), F.col("term").alias("route"), "term")
+
+
+def dictionary_routes(spark, d, **limit):
+    turns = views.table(spark, d, "conversations")
+    return routing.term_routes(turns, dictionary(spark, d), "text", **limit).select("conv_id", "turn", "route")
+
+
+@R.query("j7_term_dictionary", with_views([], DICTIONARY_ROUTES_SQL, terms=DICTIONARY_SQL))
+def term_dictionary(spark, d):
+    """Every word of the documents looked for in every turn."""
+    return dictionary_routes(spark, d)
+
+
+@R.query("j7_term_dictionary_shuffled", with_views([], DICTIONARY_ROUTES_SQL, terms=DICTIONARY_SQL))
+def term_dictionary_shuffled(spark, d):
+    """The same on the path for dictionaries that no task can hold."""
+    return dictionary_routes(spark, d, term_chars=0)
+
+
 ROUTED_SQL = f"""
 SELECT question_id, category, question, expected_tools, must_contain, tool, handled,
   CASE tool WHEN 'get_customer_churn_risk' THEN cust WHEN 'get_country_kpis' THEN country WHEN 'ask_hr_it_policy' THEN question END AS tool_input
@@ -331,8 +468,28 @@ DRIVER_TEXT = """SELECT 'Top churn drivers: ' || string_agg(feature || ' (' || C
   || '. Model accuracy ' || printf('%.1f', ANY_VALUE(round_even(accuracy * 100, 1))) || '%, ROC-AUC ' || printf('%.2f', ANY_VALUE(round_even(roc_auc, 2))) || '.' AS line
 FROM (SELECT * FROM importance_v ORDER BY importance DESC, feature LIMIT 5), metrics_v"""
 NOT_HANDLED_SQL = routing.NOT_HANDLED.replace("'", "''")
+# Every call of a question, in the order of the tools.
+CALLS_SQL = f"""
+SELECT question_id, category, question, expected_tools, must_contain, CAST(unnest(range(1, len(calls) + 1)) AS INTEGER) AS step, unnest(calls).tool AS tool, unnest(calls).tool_input AS tool_input
+FROM (SELECT *, CASE WHEN len(found) = 0 THEN [{{'tool': NULL, 'tool_input': NULL}}] ELSE found END AS calls FROM (
+  SELECT *, list_filter([
+    CASE WHEN cust IS NOT NULL THEN {{'tool': 'get_customer_churn_risk', 'tool_input': cust}} END,
+    CASE WHEN country IS NOT NULL AND {any_sql('q', routing.ANALYTICS_TERMS)} THEN {{'tool': 'get_country_kpis', 'tool_input': country}} END,
+    CASE WHEN {any_sql('q', routing.DRIVER_TERMS)} THEN {{'tool': 'get_churn_risk_drivers', 'tool_input': CAST(NULL AS VARCHAR)}} END,
+    CASE WHEN {any_sql('q', routing.POLICY_TERMS)} THEN {{'tool': 'ask_hr_it_policy', 'tool_input': question}} END], lambda c : c IS NOT NULL) AS found
+  FROM (SELECT t.*, lower(question) AS q, NULLIF(upper(regexp_extract(question, '(?i)\\b(CUST\\d{{6}})\\b', 1)), '') AS cust,
+          (SELECT MIN(n_name) FROM nation WHERE contains(lower(t.question), lower(n_name))) AS country FROM typed_questions_v t)))"""
+POLICY_SQL = f"""
+SELECT a.query_id AS question_id, CASE WHEN best <= 1.05 AND (len(qw) = 0 OR list_has_any(qw, pw)) THEN '{HEAD}' || chr(10) || quotes ELSE '{LOST}' END AS policy_answer
+FROM (SELECT *, {words_sql('question')} AS qw FROM policy_asked) a LEFT JOIN (
+  SELECT query_id, MIN(score) AS best,
+    string_agg(CASE WHEN rank <= 3 THEN '**' || lang || ' > ' || source || '**' || chr(10) || {trim_sql('text')} || chr(10) END, chr(10) ORDER BY rank) AS quotes,
+    ANY_VALUE(CASE WHEN rank = 1 THEN {words_sql("lang || ' ' || source || ' ' || text")} END) AS pw
+  FROM found JOIN documents ON doc_id = chunk_id GROUP BY query_id) f ON f.query_id = a.query_id"""
 ANSWER_TEXT_SQL = f"""
-SELECT r.question_id, r.category, r.expected_tools, r.must_contain, r.tool, r.handled, CASE
+SELECT question_id, ANY_VALUE(category) AS category, ANY_VALUE(expected_tools) AS expected_tools, ANY_VALUE(must_contain) AS must_contain, COUNT(tool) > 0 AS handled,
+  COALESCE(list(tool ORDER BY step) FILTER (WHERE tool IS NOT NULL), []) AS tools, string_agg(line, chr(10) || chr(10) ORDER BY step) AS answer FROM (
+SELECT r.*, CASE
   WHEN r.tool = 'get_customer_churn_risk' AND s.code IS NULL THEN 'No customer found with ID ''' || r.tool_input || '''.'
   WHEN r.tool = 'get_customer_churn_risk' THEN 'Customer ' || s.code || ' (' || s.country || ', ' || s.segment || ' segment): churn probability '
     || CAST(round_even(s.churn_probability * 100, 0) AS INTEGER) || '%, risk band ' || s.churn_risk_band || '. Recency ' || s.recency_days || ' days, frequency '
@@ -340,35 +497,28 @@ SELECT r.question_id, r.category, r.expected_tools, r.must_contain, r.tool, r.ha
   WHEN r.tool = 'get_country_kpis' THEN c.country || ': ' || c.n || ' customers, average churn probability ' || CAST(round_even(c.p * 100, 0) AS INTEGER) || '%, '
     || c.high || ' high-risk, total revenue SGD ' || format('{{:,.2f}}', c.total) || '.'
   WHEN r.tool = 'get_churn_risk_drivers' THEN (SELECT line FROM driver_text)
-  WHEN r.tool IS NULL THEN '{NOT_HANDLED_SQL}' ELSE '' END AS answer
-FROM routed r LEFT JOIN scored_rows s ON s.code = r.tool_input LEFT JOIN country_rows c ON c.country = r.tool_input"""
+  WHEN r.tool IS NULL THEN '{NOT_HANDLED_SQL}' ELSE p.policy_answer END AS line
+FROM calls r LEFT JOIN scored_rows s ON r.tool = 'get_customer_churn_risk' AND s.code = r.tool_input LEFT JOIN country_rows c ON r.tool = 'get_country_kpis' AND c.country = r.tool_input
+LEFT JOIN policy_answers p ON p.question_id = r.question_id) GROUP BY question_id"""
 
 
 def with_routed_answers(body):
     return with_views(
-        "typed_questions_v scored_v importance_v metrics_v", body, routed=ROUTED_SQL, scored_rows=SCORED_ROWS, country_rows=COUNTRY_ROWS,
-        driver_text=DRIVER_TEXT, said=ANSWER_TEXT_SQL,
+        "typed_questions_v scored_v importance_v metrics_v", body, calls=CALLS_SQL, scored_rows=SCORED_ROWS, country_rows=COUNTRY_ROWS, driver_text=DRIVER_TEXT,
+        policy_asked="SELECT question_id AS query_id, question FROM calls WHERE tool = 'ask_hr_it_policy'", **search_sql("policy_asked"), policy_answers=POLICY_SQL,
+        said=ANSWER_TEXT_SQL,
     )
 
 
-def dispatched(spark, d, with_policy=False):
+def dispatched(spark, d):
+    """Every question sent to all tools it calls for; the documents answer the policy questions."""
     scores = materialize(views.coded_scores(spark, d))
-    questions = materialize(routing.route_questions(views.typed_questions(spark, d), scores.select("country")))
-    if with_policy:
-        # One passage per document; the policy questions are answered from them.
-        passages = views.table(spark, d, "documents").select(
-            F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("source").alias("section"), F.col("lang").alias("doc_title")
-        )
-        asked = questions.where(F.col("tool") == routing.POLICY_TOOL).select(F.xxhash64("question_id").alias("query_id"), "question_id", "question")
-        model = retrieval.tfidf_pipeline().fit(passages)
-        vectors_ = retrieval.embed(passages.select("chunk_id", "chunk_text"), model)
-        matches = materialize(retrieval.top_k(retrieval.embed(asked, model, "question", "query_vec"), vectors_, metric="unit_l2"))
-        policy = retrieval.answer_questions(asked, matches, passages)
-    else:
-        policy = questions.where(F.col("tool") == routing.POLICY_TOOL).select(
-            "question_id", F.lit("").alias("answer"), F.lit(False).alias("grounded"), F.array().cast("array<string>").alias("citations")
-        )
-    return routing.dispatch(questions, scores, views.importance(scores), views.model_metrics(scores), policy)
+    questions = materialize(routing.all_routes(views.typed_questions(spark, d), scores.select("country")))
+    asked = questions.where(F.exists("calls", lambda c: c["tool"] == routing.POLICY_TOOL)).select("question_id", "question")
+    index, passages = document_index(spark, d)
+    matches = materialize(index.search(asked, query_id="question_id"))
+    policy = retrieval.answer_questions(asked, matches, passages, "question_id")
+    return routing.dispatch_all(questions, scores, views.importance(scores), views.model_metrics(scores), policy)
 
 
 @R.query("f12_answer_text", with_routed_answers("SELECT question_id, answer FROM said"))
@@ -376,31 +526,33 @@ def answer_text(spark, d):
     return dispatched(spark, d).select("question_id", "answer")
 
 
+def tools_called():
+    return F.transform("tool_calls", lambda c: c["tool"])
+
+
 @R.query("r9_dispatch")
 def dispatch(spark, d):
-    return dispatched(spark, d, with_policy=True).select("question_id", "tool", "handled", F.to_json("tool_calls").alias("trace"), "answer")
+    return dispatched(spark, d).select("question_id", F.array_join(tools_called(), ",").alias("tools"), "handled", F.to_json("tool_calls").alias("trace"), "answer")
 
 
 @R.query("r9_dispatch_trace", with_routed_answers("""
-SELECT question_id, COALESCE(tool, '') AS tools, CAST(CASE WHEN tool IS NULL THEN 0 ELSE 1 END AS INTEGER) AS calls, handled,
-       answer LIKE 'No customer found%' AS failed FROM said"""))
+SELECT question_id, array_to_string(tools, ',') AS tools, CAST(len(tools) AS INTEGER) AS calls, handled, contains(answer, 'No customer found') AS failed FROM said"""))
 def dispatch_trace(spark, d):
-    calls = F.col("tool_calls")
     return dispatched(spark, d).select(
-        "question_id", F.array_join(F.transform(calls, lambda c: c["tool"]), ",").alias("tools"), F.size(calls).alias("calls"), "handled",
-        F.exists(calls, lambda c: F.get_json_object(c["output"], "$.error").isNotNull()).alias("failed"),
+        "question_id", F.array_join(tools_called(), ",").alias("tools"), F.size("tool_calls").alias("calls"), "handled",
+        F.exists("tool_calls", lambda c: F.get_json_object(c["output"], "$.error").isNotNull()).alias("failed"),
     )
 
 
 def judged_routing(spark, d):
     done = dispatched(spark, d)
-    actual = done.select("question_id", F.transform("tool_calls", lambda c: c["tool"]).alias("tools_called"), "answer", "handled")
+    actual = done.select("question_id", tools_called().alias("tools_called"), "answer", "handled")
     expected = views.typed_questions(spark, d).withColumn("must_not_contain", F.array(F.lit("No customer found"))).drop("question")
     return evaluation.judge_routing(expected, actual)
 
 
 JUDGED_SQL = """
-SELECT *, list_sort(CASE WHEN tool IS NULL THEN CAST([] AS VARCHAR[]) ELSE [tool] END) = list_sort(expected_tools) AS routing_correct,
+SELECT *, list_sort(list_distinct(tools)) = list_sort(list_distinct(expected_tools)) AS routing_correct,
   CASE WHEN len(must_contain) > 0 THEN len(list_filter(must_contain, lambda w : contains(lower(answer), lower(w)))) = len(must_contain) END AS keyword_hit,
   contains(lower(answer), 'no customer found') AS hallucination_flag FROM said"""
 
@@ -418,7 +570,7 @@ def set_equality(spark, d):
 @R.query("a11_routing_eval", with_routed_answers(f"""
 SELECT COUNT(*) AS total_questions, ROUND(AVG(CAST(routing_correct AS INTEGER)), 6) AS routing_accuracy, ROUND(AVG(CAST(keyword_hit AS INTEGER)), 6) AS keyword_grounding_accuracy,
   CAST(SUM(CAST(hallucination_flag AS INTEGER)) AS BIGINT) AS hallucination_flags,
-  ROUND(AVG(CASE WHEN category = 'out_of_scope' THEN CASE WHEN tool IS NULL THEN 1 ELSE 0 END END), 6) AS correct_refusal_rate,
+  ROUND(AVG(CASE WHEN category = 'out_of_scope' THEN CASE WHEN len(tools) = 0 THEN 1 ELSE 0 END END), 6) AS correct_refusal_rate,
   ROUND(COALESCE(AVG(CASE WHEN category = 'compound' THEN CAST(routing_correct AS INTEGER) END), 0), 6) AS compound_full_success_rate FROM ({JUDGED_SQL})"""))
 def routing_eval(spark, d):
     return round_all(

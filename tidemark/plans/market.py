@@ -173,6 +173,12 @@ def rolling_var_historical(spark, d):
     return round_all(risk.rolling_var_backtest(returns(spark, d), "historical"), "var_estimate", "actual_return")
 
 
+@R.query("w10_rolling_var_blocks", with_views("returns_v", BACKTEST_OUT, backtest=HIST_BACKTEST))
+def rolling_var_blocks(spark, d):
+    """The same backtest with every series cut into blocks of 300 rows."""
+    return round_all(risk.rolling_var_backtest(returns(spark, d), "historical", block_rows=300), "var_estimate", "actual_return")
+
+
 @R.query("w10_rolling_var_parametric", with_views("returns_v", BACKTEST_OUT, backtest=PARAM_BACKTEST))
 def rolling_var_parametric(spark, d):
     return round_all(risk.rolling_var_backtest(returns(spark, d), "parametric"), "var_estimate", "actual_return")
@@ -274,6 +280,12 @@ def scenario_var(spark, d):
     return round_all(risk.scenario_var(returns(spark, d), views.positions(spark, d)), "var")
 
 
+@R.query("a25_scenario_var_narrowed", with_views("returns_v positions_v", "SELECT book, ROUND(-quantile_cont(ret, 1 - 0.95), 6) AS var FROM book_v GROUP BY book", book_v=BOOK_SQL))
+def scenario_var_narrowed(spark, d):
+    """The same when a task may hold two values of a book: all books are narrowed level by level."""
+    return round_all(risk.scenario_var(returns(spark, d), views.positions(spark, d), held_rows=2), "var")
+
+
 @R.query("a26_historical_cvar", with_views("returns_v", """
 SELECT ticker, ROUND(COALESCE(-AVG(CASE WHEN ret <= q THEN ret END), -MIN(q)), 6) AS cvar
 FROM returns_v JOIN (SELECT ticker, quantile_cont(ret, 1 - 0.95) AS q FROM returns_v GROUP BY ticker) USING (ticker) GROUP BY ticker"""))

@@ -187,7 +187,8 @@ def centroids(spark, d) -> DataFrame:
 
 def typed_questions(spark, d) -> DataFrame:
     """Questions with the tool each one is meant for: parts stand for customer ids (some unknown), nations for countries,
-    segments for drivers, suppliers for policy, and user turns of conversations are out of scope."""
+    segments for drivers, suppliers for policy, and user turns of conversations are out of scope. Nations and regions give compound
+    questions, for two or three tools each."""
 
     def ask(df, key, category, text, tools, must):
         return df.select(
@@ -195,25 +196,35 @@ def typed_questions(spark, d) -> DataFrame:
             F.lit(category).alias("category"),
             text.alias("question"),
             F.array(*[F.lit(t) for t in tools]).cast("array<string>").alias("expected_tools"),
-            (F.array(must) if must is not None else F.array().cast("array<string>")).alias("must_contain"),
+            (must if must is not None else F.array().cast("array<string>")).alias("must_contain"),
         )
 
     part = table(spark, d, "part").select("p_partkey")
     code = F.format_string("cust%06d", "p_partkey")
-    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    nation, region, supplier = table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "supplier")
+    own = F.format_string("cust%06d", "n_nationkey")
     segment = table(spark, d, "customer").select("c_mktsegment").distinct()
     turns = table(spark, d, "conversations").where(F.col("role") == "user")
     turn_key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return (
         ask(part, F.col("p_partkey").cast("string"), "customer", F.concat(F.lit("What is the churn risk for customer "), code, F.lit("?")),
-            ["get_customer_churn_risk"], F.format_string("CUST%06d", "p_partkey"))
+            ["get_customer_churn_risk"], F.array(F.format_string("CUST%06d", "p_partkey")))
         .unionByName(ask(nation, F.col("n_name"), "country", F.concat(F.lit("How is revenue doing in "), F.col("n_name"), F.lit("?")),
-                         ["get_country_kpis"], F.concat("n_name", F.lit(":"))))
+                         ["get_country_kpis"], F.array(F.concat("n_name", F.lit(":")))))
         .unionByName(ask(segment, F.col("c_mktsegment"), "driver", F.concat(F.lit("Which driver matters most for churn in "), F.col("c_mktsegment"), F.lit("?")),
-                         ["get_churn_risk_drivers"], F.lit("drivers")))
+                         ["get_churn_risk_drivers"], F.array(F.lit("drivers"))))
         .unionByName(ask(supplier, F.col("s_suppkey").cast("string"), "policy", F.concat(F.lit("Can I claim the expense of a visit to "), F.col("s_name"), F.lit("?")),
                          ["ask_hr_it_policy"], None))
         .unionByName(ask(turns, turn_key, "out_of_scope", F.col("text"), [], None))
+        .unionByName(ask(nation, F.concat(F.lit("pair-"), F.col("n_name")), "compound",
+                         F.concat(F.lit("What is the churn risk for customer "), own, F.lit(" and how is revenue doing in "), F.col("n_name"), F.lit("?")),
+                         ["get_customer_churn_risk", "get_country_kpis"], F.array(F.upper(own), F.concat("n_name", F.lit(":")))))
+        .unionByName(ask(nation, F.concat(F.lit("triple-"), F.col("n_name")), "compound",
+                         F.concat(F.lit("How is revenue doing in "), F.col("n_name"), F.lit(", which driver matters, and how much leave do people get there?")),
+                         ["get_country_kpis", "get_churn_risk_drivers", "ask_hr_it_policy"], F.array(F.concat("n_name", F.lit(":")), F.lit("drivers"))))
+        .unionByName(ask(region, F.concat(F.lit("policy-"), F.col("r_name")), "compound",
+                         F.concat(F.lit("Which driver matters most, and can I claim the expense of a visit to "), F.col("r_name"), F.lit("?")),
+                         ["get_churn_risk_drivers", "ask_hr_it_policy"], F.array(F.lit("drivers"))))
     )
 
 
@@ -249,21 +260,17 @@ def passages(spark, d) -> DataFrame:
 
 
 def vector_questions(spark, d) -> DataFrame:
-    """Two questions per label: its mean vector (in scope), and the opposite direction (out of scope).
-    The wording is the benchmark passage with the question's number."""
-    mean = centroids(spark, d)
-    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
-    both = mean.select(F.col("query_id").alias("label"), "query_vec", sides)
-    wording = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    inside = F.col("side") == 1
-    return (
-        both.select(
-            (F.col("label") * 2 + F.when(inside, 0).otherwise(1)).cast("long").alias("query_id"),
-            F.transform("query_vec", lambda x: x * F.col("side")).alias("query_vec"),
-            F.when(inside, F.concat(F.lit("Label "), F.col("label").cast("string"))).alias("expected_source"),
-            inside.alias("in_scope"),
-        )
-        .join(wording, "query_id")
+    """Every benchmark passage as a question with a vector: the items take turns over the labels; even items point the way of their label's
+    mean (in scope), odd ones the opposite way, and every further turn a tenth farther."""
+    means = centroids(spark, d).agg(F.sort_array(F.collect_list(F.struct("query_id", "query_vec"))).alias("means"))  # one per label
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    pair = F.floor(F.col("query_id") / 2)
+    mean = F.element_at("means", (F.pmod(pair, F.size("means")) + 1).cast("int"))
+    inside = F.col("query_id") % 2 == 0
+    way = F.when(inside, 1).otherwise(-1) * (1 + F.floor(pair / F.size("means")) / 10)
+    return items.withColumn("means", means.scalar()).select(
+        "query_id", F.transform(mean["query_vec"], lambda x: F.round(x * way, 9)).alias("query_vec"),
+        F.when(inside, F.concat(F.lit("Label "), mean["query_id"].cast("string"))).alias("expected_source"), inside.alias("in_scope"), "question",
     )
 
 
@@ -328,7 +335,13 @@ SELECT 'customer-' || p_partkey AS question_id, 'customer' AS category, 'What is
 UNION ALL SELECT 'country-' || n_name, 'country', 'How is revenue doing in ' || n_name || '?', ['get_country_kpis'], [n_name || ':'] FROM nation
 UNION ALL SELECT DISTINCT 'driver-' || c_mktsegment, 'driver', 'Which driver matters most for churn in ' || c_mktsegment || '?', ['get_churn_risk_drivers'], ['drivers'] FROM customer
 UNION ALL SELECT 'policy-' || s_suppkey, 'policy', 'Can I claim the expense of a visit to ' || s_name || '?', ['ask_hr_it_policy'], CAST([] AS VARCHAR[]) FROM supplier
-UNION ALL SELECT 'out_of_scope-' || conv_id || '-' || turn, 'out_of_scope', text, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM conversations WHERE role = 'user'""",
+UNION ALL SELECT 'out_of_scope-' || conv_id || '-' || turn, 'out_of_scope', text, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'compound-pair-' || n_name, 'compound', 'What is the churn risk for customer cust' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || ' and how is revenue doing in ' || n_name || '?',
+  ['get_customer_churn_risk', 'get_country_kpis'], ['CUST' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0'), n_name || ':'] FROM nation
+UNION ALL SELECT 'compound-triple-' || n_name, 'compound', 'How is revenue doing in ' || n_name || ', which driver matters, and how much leave do people get there?',
+  ['get_country_kpis', 'get_churn_risk_drivers', 'ask_hr_it_policy'], [n_name || ':', 'drivers'] FROM nation
+UNION ALL SELECT 'compound-policy-' || r_name, 'compound', 'Which driver matters most, and can I claim the expense of a visit to ' || r_name || '?',
+  ['get_churn_risk_drivers', 'ask_hr_it_policy'], ['drivers'] FROM region""",
     "importance_v": """
 SELECT * FROM (
   SELECT 'tenure_days' AS feature, ROUND(abs(corr(tenure_days, churned)), 6) AS importance FROM features_v WHERE churned IS NOT NULL
@@ -343,9 +356,9 @@ FROM (SELECT *, RANK() OVER (ORDER BY churn_probability) + (COUNT(*) OVER (PARTI
     "passages_v": """
 SELECT vec_id AS chunk_id, embedding, label, text AS chunk_text, source AS section, 'Label ' || label AS doc_title FROM embeddings JOIN documents ON doc_id = vec_id""",
     "vector_questions_v": """
-SELECT query_id * 2 + CASE WHEN side = 1 THEN 0 ELSE 1 END AS query_id, list_transform(query_vec, lambda x : x * side) AS query_vec,
-       CASE WHEN side = 1 THEN 'Label ' || query_id END AS expected_source, side = 1 AS in_scope, b.text AS question
-FROM centroids_v, (VALUES (1), (-1)) v(side) JOIN benchmark b ON b.item_id = query_id * 2 + CASE WHEN side = 1 THEN 0 ELSE 1 END""",
+SELECT item_id AS query_id, list_transform(m.query_vec, lambda x : ROUND(x * (CASE WHEN item_id % 2 = 0 THEN 1 ELSE -1 END) * (1 + (item_id // 2 // n) / 1e1), 9)) AS query_vec,
+       CASE WHEN item_id % 2 = 0 THEN 'Label ' || m.query_id END AS expected_source, item_id % 2 = 0 AS in_scope, text AS question
+FROM benchmark JOIN (SELECT *, ROW_NUMBER() OVER (ORDER BY query_id) - 1 AS place, COUNT(*) OVER () AS n FROM centroids_v) m ON (item_id // 2) % n = place""",
     "centroids_v": """
 SELECT label AS query_id, list(ROUND(x, 9) ORDER BY pos) AS query_vec FROM (
   SELECT label, pos, AVG(CAST(embedding[pos] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
