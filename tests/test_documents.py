@@ -173,12 +173,35 @@ def test_router_order(spark):
     assert [r.handled for r in got] == [t is not None for _, t, _ in asked]
 
 
-def test_too_many_rules_fail(spark, monkeypatch):
-    monkeypatch.setattr(routing, "RULE_LIMIT", 1)
-    countries = spark.createDataFrame([("A",), ("B",)], "country string")
-    df = spark.createDataFrame([(1, "x")], "question_id long, question string")
-    with pytest.raises(Exception, match="more than 1 rules"):
-        routing.route_questions(df, countries).collect()
+def test_router_with_more_names_than_a_task_holds(spark):
+    countries = spark.createDataFrame([(f"Land{i}x",) for i in range(500)] + [(None,)], "country string")
+    df = spark.createDataFrame([(1, "sales in land77x and LAND5X"), (2, "sales in land"), (3, None)], "question_id long, question string")
+    for limit in (0, 1 << 20):
+        got = {r.question_id: r.tool_input for r in routing.route_questions(df, countries, term_chars=limit).collect()}
+        assert got == {1: "Land5x", 2: None, 3: None}
+
+
+def test_compound_questions(spark):
+    asked = spark.createDataFrame(
+        [(1, "Is cust000001 at risk, what drives sales in Singapore, a top driver, and how much leave?"), (2, "leave and revenue in Malaysia"), (3, "hi"), (4, "risk of CUST999999 and main driver")],
+        "question_id long, question string")
+    routed = routing.all_routes(asked, spark.createDataFrame([("Singapore",), ("Malaysia",)], "country string"))
+    calls = {r.question_id: [c.tool for c in r.calls] for r in routed.collect()}
+    order = [routing.CUSTOMER_TOOL, routing.COUNTRY_TOOL, routing.DRIVER_TOOL, routing.POLICY_TOOL]
+    assert calls == {1: order, 2: [order[1], order[3]], 3: [], 4: [order[0], order[2]]}
+    scored = spark.createDataFrame(
+        [("CUST000001", "Singapore", "S", 0.125, "Low", 10, 2, 1.5, 100)],
+        "customer_id string, country string, segment string, churn_probability double, churn_risk_band string, recency_days int, frequency long, monetary_sgd double, tenure_days int")
+    importance = spark.createDataFrame([("f", 0.5)], "feature string, importance double")
+    metrics = spark.createDataFrame([(0.7, 0.8)], "accuracy double, roc_auc double")
+    policy = spark.createDataFrame([(1, "18 days", True, ["Leave"]), (2, "none", False, [])], "question_id long, answer string, grounded boolean, citations array<string>")
+    rows = {r.question_id: r for r in routing.dispatch_all(routed, scored, importance, metrics, policy).collect()}
+    assert [c.tool for c in rows[1].tool_calls] == order and rows[1].handled
+    parts = rows[1].answer.split("\n\n")
+    assert [p.split(" ")[0] for p in parts] == ["Customer", "Singapore:", "Top", "18"]
+    assert rows[2].answer == "No data for country 'Malaysia'. Valid markets: Singapore.\n\nnone"
+    assert rows[3].tool_calls == [] and rows[3].answer == routing.NOT_HANDLED and not rows[3].handled
+    assert "error" in rows[4].tool_calls[0].output and rows[4].answer.startswith("No customer found")
 
 
 def test_retrieval_scoring(spark):

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -86,3 +88,30 @@ def test_value_quartiles_merge_equal_edges(spark):
     edges = sorted(set(np.quantile([5.0] * 8 + [8.0, 9.0, 10.0, 11.0], [0, 0.25, 0.5, 0.75, 1])))
     want = [1 + sum(x > e for e in edges[1:-1]) for x in [5.0] * 8 + [8.0, 9.0, 10.0, 11.0]]
     assert got == want
+
+
+@pytest.mark.parametrize("hot", [10, 100_000])
+def test_hot_values_are_joined_apart(skewed, hot):
+    pdf, df = skewed
+    got = ranking.average_rank(df, "value", "r", 60, hot).toPandas().sort_values("id")
+    assert np.allclose(got["r"], pdf["value"].rank())
+
+
+@pytest.mark.parametrize("held", [10_000, 1])
+@pytest.mark.parametrize("fraction", [0.0, 0.37, 1.0])
+def test_grouped_quantile(spark, held, fraction):
+    rng = np.random.default_rng(2)
+    groups = {
+        "hot": np.concatenate([rng.normal(0, 1, 700), np.full(400, 0.25)]), "wide": np.array([1e308, -1e308, 0.0, 5e-324, 1e-300, 3.0]), "same": np.full(50, 2.0),
+        "one": np.array([1.5]), "two": np.array([1.0, 2.0]), "skewed": 2.0 ** -np.arange(60.0),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["quantile"] for r in ranking.grouped_quantile(df, "g", "v", fraction, held_rows=held).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        x = np.sort(x)
+        spot = (len(x) - 1) * fraction
+        low, high = x[math.floor(spot)], x[math.ceil(spot)]
+        want = low if math.floor(spot) == math.ceil(spot) else (math.ceil(spot) - spot) * low + (spot - math.floor(spot)) * high
+        assert got[g] == pytest.approx(want, rel=1e-12, abs=0)

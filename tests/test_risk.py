@@ -217,3 +217,24 @@ def test_estimators(spark):
     assert merged["mean"] == pytest.approx(y.mean()) and merged.std_error == pytest.approx(y.std() / np.sqrt(500))
     constant = spark.createDataFrame([("a", 1, 0.1)] * 10, "g string, shard int, y double")
     assert risk.merge_moments(risk.partial_moments(constant, ["g", "shard"], "y"), "g").first().std_error == pytest.approx(0.0, abs=1e-8)
+
+
+@pytest.mark.parametrize("block, bucket", [(20, 7), (64, 4096), (4096, 4096)])
+def test_rolling_quantile_in_blocks(spark, block, bucket):
+    rng = np.random.default_rng(5)
+    parts, want = [], {}
+    for name, n in (("a", 700), ("b", 21), ("c", 20), ("d", 3)):
+        values = [None if name == "a" and i in (100, 101, 400) else round(float(v), 2) for i, v in enumerate(rng.normal(0, 1, n))]
+        days = pd.bdate_range("1969-10-01", periods=n).date
+        parts += [(d, name, v) for d, v in zip(days, values)]
+        for i in range(20, n):
+            before = values[i - 20 : i]
+            if None not in before:
+                want[name, days[i]] = float(np.quantile(before, 0.05))
+    df = spark.createDataFrame(parts, "date date, ticker string, ret double").repartition(4)
+    rows = risk.rolling_quantile(df, 20, 0.05, "ticker", block, bucket).collect()
+    assert len(rows) == len(parts)
+    got = {(r["ticker"], r["date"]): r["_quantile"] for r in rows if r["_quantile"] is not None}
+    assert got == pytest.approx(want, abs=1e-12)
+    with pytest.raises(ValueError):
+        risk.rolling_quantile(df, 20, 0.05, "ticker", 19)

@@ -24,7 +24,7 @@ MAX_BINS = 4096  # beyond this the bins grow instead; selection then narrows the
 SAMPLE_PER_BIN = 20
 HOT_ROWS = 100_000  # a value with more rows is joined apart from the others
 HELD_ROWS = 10_000  # values of a group that are sorted in one state
-BINS = 1024  # of a group's range, counted at a time
+PIVOTS = 256  # evenly spaced ranks that a sketch of a large group knows
 ROW_BITS = 33  # of the row number that Spark's increasing ids hold beside the partition number
 
 
@@ -210,51 +210,62 @@ def average_rank(df: DataFrame, key: str, out: str, rows_per_bin: int = ROWS_PER
     return df.join(hot, key).unionByName(rest)
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, group: str, value: str, bins: int) -> DataFrame:
-    """The next state: histograms of all groups in one pass, and in each the bins that hold the wanted ranks."""
-    wide = F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
-    place = F.coalesce((F.col(value) / 2 - F.col("lo") / 2) / wide, (F.col(value) - F.col("lo")).cast("boolean").cast("double"))
-    inside = rows.join(broadcast_if_small(state), group).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    number = F.least(F.floor(place * bins), F.lit(bins - 1)).alias("bin")
-    counted = inside.groupBy(group, number).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
-    running = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins of a group
-    known = state.select(group, "below", "first", "second", "spot")
-    spans = counted.withColumn("own", F.coalesce(F.sum("n").over(running), F.lit(0))).join(broadcast_if_small(known), group)
-    spans = spans.withColumn("start", F.col("below") + F.col("own")).withColumn("end", F.col("start") + F.col("n"))
-    holds = lambda rank: (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("end"))
-    low, high = holds("first"), holds("second")
-    return spans.groupBy(group).agg(
-        F.max(F.when(low, F.col("least"))).alias("lo"), F.max(F.when(high, F.col("most"))).alias("hi"), F.max(F.when(low, F.col("start"))).alias("below"),
-        (F.max(F.when(high, F.col("end"))) - F.max(F.when(low, F.col("start")))).alias("n"), *[F.first(c).alias(c) for c in ("first", "second", "spot")],
+def _inside(rows: DataFrame, state: DataFrame, group: str, value: str) -> DataFrame:
+    above = F.col("lo").isNull() | (F.col(value) > F.col("lo"))
+    below = F.col("hi").isNull() | (F.col(value) < F.col("hi"))
+    return rows.join(broadcast_if_small(state), group).where(above & below)
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, group: str, value: str) -> DataFrame:
+    """The next state: in two passes for all groups, two values beside the wanted ranks and how many rows lie below them.
+
+    The values come from a mergeable sketch, so they part the rows by number however the values are spread.
+    """
+    grid = [i / PIVOTS for i in range(PIVOTS + 1)]
+    sketch = _inside(rows, state, group, value).groupBy(group).agg(F.percentile_approx(value, grid, 10 * PIVOTS).alias("p"))
+    first, second = F.col("first") - F.col("upto_lo"), F.col("second") - F.col("upto_lo")  # ranks among the rows inside
+    spot = lambda rank, shift: F.greatest(F.lit(1), F.least(F.lit(PIVOTS + 1), F.floor(rank / F.col("n") * PIVOTS) + shift)).cast("int")
+    ends = {"a": F.element_at("p", spot(first, 0)), "b": F.element_at("p", spot(second, 3))}
+    tried = materialize(state.join(sketch, group).withColumns(ends).drop("p"))
+    v, number = F.col(value), lambda met: F.count_if(met)
+    counts = _inside(rows, tried, group, value).groupBy(group).agg(
+        number(v < F.col("a")).alias("under_a"), number(v <= F.col("a")).alias("upto_a"), number(v < F.col("b")).alias("under_b"), number(v <= F.col("b")).alias("upto_b"))
+    low = lambda b, a, old: F.when(F.col("under_b") <= first, b).when(F.col("under_a") <= first, a).otherwise(old)
+    high = lambda a, b, old: F.when(F.col("upto_a") > second, a).when(F.col("upto_b") > second, b).otherwise(old)
+    gone = low(F.col("upto_b"), F.col("upto_a"), F.lit(0))
+    return tried.join(counts, group).select(
+        group, low(F.col("b"), F.col("a"), F.col("lo")).alias("lo"), high(F.col("a"), F.col("b"), F.col("hi")).alias("hi"), (F.col("upto_lo") + gone).alias("upto_lo"),
+        F.greatest(F.lit(0), high(F.col("under_a"), F.col("under_b"), F.col("n")) - gone).alias("n"), "first", "second", "spot",
     )
 
 
-def grouped_quantile(df: DataFrame, group: str, value: str, fraction: float, out: str = "quantile", held_rows: int = HELD_ROWS, bins: int = BINS) -> DataFrame:
+def grouped_quantile(df: DataFrame, group: str, value: str, fraction: float, out: str = "quantile", held_rows: int = HELD_ROWS) -> DataFrame:
     """(group, out): the linearly interpolated quantile of every group, of any size; null values are left out.
 
-    A group with more than ``held_rows`` values has its range cut into ``bins`` equal parts, which are counted with partial sums,
-    and the part with the wanted ranks is cut again, until it holds no more than that or one value alone. All large groups
-    go through a level together. Values are finite doubles.
+    A group with more than ``held_rows`` values is narrowed to the values strictly between two of its own, near the wanted ranks, and
+    that again, until so few are left that they can be sorted in one state. All large groups go through a level together.
+    Values are finite doubles.
     """
     rows = df.select(group, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     spot = (F.col("n") - 1) * F.lit(float(fraction))
-    state = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    state = state.withColumns({"below": F.lit(0).cast("long"), "first": F.floor(spot), "second": F.ceil(spot), "spot": spot})
-    names = [group, "lo", "hi", "below", "n", "first", "second", "spot"]
-    state = materialize(state.select(*names))
-    done = None
+    nothing = F.lit(None).cast("double")
+    state = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).select(
+        group, nothing.alias("lo"), nothing.alias("hi"), F.lit(0).cast("long").alias("upto_lo"), "n", F.floor(spot).alias("first"), F.ceil(spot).alias("second"), spot.alias("spot"))
+    state, done = materialize(state), None
     while True:
-        large = (F.col("n") > held_rows) & (F.col("lo") < F.col("hi"))
+        large = F.col("n") > held_rows
         ready, state = state.where(~large), state.where(large)
         done = ready if done is None else done.unionByName(ready)
         if state.isEmpty():
             break
-        state = materialize(_narrowed(rows, state, group, value, bins).select(*names))
-    many = done.where("lo < hi")
-    held = rows.join(broadcast_if_small(many.select(group, "lo", "hi")), group).where(F.col(value).between(F.col("lo"), F.col("hi")))
-    held = held.groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("_values"))
+        state = materialize(_narrowed(rows, state, group, value))
+    held = _inside(rows, done.select(group, "lo", "hi"), group, value).groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("_values"))
     both = done.join(held, group, "left")
-    at = lambda rank: F.coalesce(F.get("_values", (F.col(rank) - F.col("below")).cast("int")), F.col("lo"))
+
+    def at(rank):
+        inside = F.get("_values", (F.col(rank) - F.col("upto_lo")).cast("int"))
+        return F.when(F.col(rank) < F.col("upto_lo"), F.col("lo")).when(F.col(rank) >= F.col("upto_lo") + F.col("n"), F.col("hi")).otherwise(inside)
+
     low, high = at("first"), at("second")
     between = (F.col("second") - F.col("spot")) * low + (F.col("spot") - F.col("first")) * high
     return both.select(group, F.when(F.col("first") == F.col("second"), low).otherwise(between).alias(out))

@@ -102,11 +102,12 @@ def search_sql(asked: str) -> dict[str, str]:
         "doc_weights": """SELECT id, term, df, raw / sqrt(SUM(raw * raw) OVER (PARTITION BY id)) AS w
 FROM (SELECT id, term, df, tf * ln((n + 1e0) / (df + 1)) AS raw FROM tf JOIN df USING (term), size) WHERE raw > 0""",
         "asked_tf": counted.format(id="query_id", text="question", table=asked),
-        "asked_weights": """SELECT query_id, term, raw / sqrt(SUM(raw * raw) OVER (PARTITION BY query_id)) AS w
-FROM (SELECT id AS query_id, term, tf * ln((n + 1e0) / (COALESCE(df, 0) + 1)) AS raw FROM asked_tf LEFT JOIN df USING (term), size) WHERE raw > 0""",
-        "found": """SELECT query_id, chunk_id, rank, ROUND(2 - 2 * dot, 9) AS score FROM (
+        "asked_weights": """SELECT query_id, term, raw / sqrt(known) AS w, sqrt(known / whole) AS share FROM (
+  SELECT *, SUM(raw * raw) OVER (PARTITION BY query_id) AS whole, SUM(CASE WHEN df IS NOT NULL THEN raw * raw END) OVER (PARTITION BY query_id) AS known
+  FROM (SELECT id AS query_id, term, df, tf * ln((n + 1e0) / (COALESCE(df, 0) + 1)) AS raw FROM asked_tf LEFT JOIN df USING (term), size) WHERE raw > 0) WHERE df IS NOT NULL""",
+        "found": """SELECT query_id, chunk_id, rank, ROUND(2 - 2 * dot * share, 9) AS score FROM (
   SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dot DESC, chunk_id) AS INTEGER) AS rank FROM (
-    SELECT query_id, d.id AS chunk_id, ROUND(SUM(q.w * d.w), 9) AS dot FROM asked_weights q JOIN doc_weights d USING (term) GROUP BY query_id, d.id)) WHERE rank <= 4""",
+    SELECT query_id, ANY_VALUE(share) AS share, d.id AS chunk_id, ROUND(SUM(q.w * d.w), 9) AS dot FROM asked_weights q JOIN doc_weights d USING (term) GROUP BY query_id, d.id)) WHERE rank <= 4""",
     }
 
 
@@ -115,7 +116,7 @@ def document_index(spark, d):
     passages = views.table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("source").alias("section"), F.col("lang").alias("doc_title")
     )
-    return PostingIndex.build(passages, f"{shared_folder(spark).rstrip('/')}/tidemark-index-{uuid.uuid4().hex}"), passages
+    return PostingIndex.build(views.spread(passages, "chunk_id"), f"{shared_folder(spark).rstrip('/')}/tidemark-index-{uuid.uuid4().hex}"), passages
 
 
 BENCHMARK_QUESTIONS = "SELECT item_id AS query_id, text AS question FROM benchmark"
