@@ -10,45 +10,41 @@ finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import Stored, chunks
+from tidemark.llm.common import SPACE, Stored, byte_view, chunks
 
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 96
 SMALL_SHARE = 8  # pieces up to capacity / SMALL_SHARE are small
-CACHED_WORDS = 1_000_000
 PIECES_PER_RANK = 1_000_000  # pieces of one length that one task ranks, on average
 
-_CUT = re.compile(r" (?=\S)")
-_COMMON_PAIRS = ("  ", "\n ", "\t ", "\r ")
-_RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n\t\r"]
+# Fixed value: how byte-level tokenizers cut a text into words.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_RUN = 500  # bytes without change between white space and other text; longer runs go to the tokenizer
 
 
-def stretches(text: str) -> list[str]:
-    """The text cut at blanks, so that each stretch but the first stands for a blank and what follows.
-
-    Where no white space stands before a blank, every blank starts its run of white space and any cut is right. Else the cuts
-    are those before a character that is no white space.
-    """
-    if any(p in text for p in _COMMON_PAIRS) or any(c in text for c in _RARE_SPACE):
-        return _CUT.split(text)
-    return text.split(" ")
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own where it prints, else the next beyond 255."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class WordIds:
-    """Token ids, as little-endian bytes, of the stretches between blanks.
+class TextIds:
+    """Token ids of whole texts.
 
-    A blank at the start of white space, or right before another character, always starts a new token of this byte-level pattern,
-    so a text is the sequence of its stretches, each with its blank. Stretches are kept while there is room; the memory is bounded.
+    A byte-level vocabulary whose ids follow its merges is handed to the ranked byte-pair encoder, which gives the same ids several
+    times faster; texts with a very long run of letters or white space, and any other tokenizer, go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -56,45 +52,54 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [stretches(t) for t in texts]
-        heads = self._encode([c[0] for c in cut])
-        known = self.known
-        new = {s for c in cut for s in c[1:] if s not in known}
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = {s for c in cut for s in c[1:]}
-            new = list(new)
-            known.update(zip(new, self._encode([" " + s for s in new])))
-        get = known.__getitem__
-        return [head + b"".join(map(get, c[1:])) for head, c in zip(heads, cut)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.array([i for e in done for i in e.ids], "<u4").tobytes()
-        ends = np.cumsum([0] + [len(e) for e in done]) * 4
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        with open(path, encoding="utf-8") as file:
+            self.ranked = self._ranked(json.load(file))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        regular = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if model.get("type") != "BPE" or spec.get("normalizer") or not regular or model.get("dropout"):
+            return None
+        letters, vocabulary = _byte_letters(), model["vocab"]
+        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        order = [vocabulary.get(m.replace(" ", "", 1)) for m in merged]
+        if any(set(word) - set(letters) for word in vocabulary) or None in order or order != sorted(set(order)) or len(order) + 256 != len(vocabulary):
+            return None
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items()}
+        return tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = byte_view(texts)
+        gap, turn = SPACE[data], np.ones(len(data), bool)
+        turn[1:] = gap[1:] != gap[:-1]
+        turn[offsets[:-1][offsets[:-1] < len(data)]] = True
+        edges = np.append(np.flatnonzero(turn), len(data))  # where runs of white space, runs of other bytes and texts begin
+        slow = np.zeros(len(texts), bool)
+        slow[np.searchsorted(offsets, edges[:-1][np.diff(edges) > LONG_RUN], side="right") - 1] = True
+        lines = pc.fill_null(texts, "").to_pylist()
+        if self.ranked is None:
+            slow[:] = True
+        encode = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return [encode(t) if hard else np.array(self.ranked.encode_ordinary(t), np.uint32) for t, hard in zip(lines, slow)]
 
 
 def _tokenize(path: str, capacity: int, end_id: int, names: list[str]):
-    end = int(end_id).to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(path)
+        encoder = TextIds(path)
         for batch in chunks(batches):
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(words.texts([t or "" for t in batch.column("text").to_pylist()])):
-                ids += end
-                n = len(ids) // 4
+            for row, ids in enumerate(encoder.texts(batch.column("text"))):
+                ids = np.append(ids, end_id).astype("<u4")
+                n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    rows.append(row), piece.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+                    rows.append(row), piece.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b]))
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(rows) for c in names]
