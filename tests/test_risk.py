@@ -122,10 +122,39 @@ def test_portfolios(universe, spark):
     least = portfolio.min_variance(candidates).first()
     assert least.volatility == pytest.approx(pdf["volatility"].min()) and least.volatility <= np.sqrt(np.diag(cov)).min() + 1e-12
     assert portfolio.max_sharpe(candidates).first().sharpe_ratio == pytest.approx(pdf["sharpe_ratio"].max())
+    for best, pick in (("volatility", portfolio.min_variance), ("sharpe_ratio", portfolio.max_sharpe), ("frontier", lambda c: portfolio.efficient_frontier(c, 10))):
+        few = portfolio.grid_portfolios(returns, steps=20, best=best, n_points=10)
+        assert few.count() < len(pdf) and sorted(map(tuple, pick(few).collect())) == sorted(map(tuple, pick(candidates).collect()))
     frontier = portfolio.efficient_frontier(candidates, 10).toPandas()
     assert frontier["bucket"].between(1, 10).all() and frontier["bucket"].is_unique
 
 
+@pytest.mark.parametrize(("steps", "n"), [(4, 1), (0, 3), (7, 2), (5, 4), (10, 5)])
+def test_every_portfolio_has_a_number(steps, n):
+    count = math.comb(steps + n - 1, n - 1)
+    units = portfolio._unranked(np.arange(count), steps, n)
+    assert (units >= 0).all() and (units.sum(axis=1) == steps).all()
+    rows = [tuple(u) for u in units.tolist()]
+    assert rows == sorted(set(rows)) and len(rows) == count
+
+
+def test_wide_grid_is_never_listed(spark):
+    """Twenty assets in fifths: 42,504 portfolios, and the numbers of a grid of twenty in tenths."""
+    rng = np.random.default_rng(1)
+    values = rng.normal(0.0005, 0.01, (60, 20)) * np.linspace(0.5, 2, 20)
+    wide = pd.DataFrame(values, columns=[f"T{i:02d}" for i in range(20)])
+    wide["date"] = pd.bdate_range("2020-01-01", periods=60).date
+    returns = spark.createDataFrame(wide.melt("date", var_name="ticker", value_name="ret"))
+    best = portfolio.min_variance(portfolio.grid_portfolios(returns, steps=5, best="volatility")).first()
+    cov = np.cov(values.T) * 252
+    g = portfolio._unranked(np.arange(math.comb(24, 19)), 5, 20) / 5
+    assert best.volatility == pytest.approx(math.sqrt((((g @ cov) * g).sum(axis=1)).min()))
+    last = math.comb(29, 19) - 1
+    assert portfolio._unranked(np.array([0, last]), 10, 20)[:, [0, -1]].tolist() == [[0, 10], [10, 0]]
+    with pytest.raises(ValueError):
+        portfolio.grid_portfolios(returns, steps=100)
+
+
 def prices_frame(spark, n=160):
     rng = np.random.default_rng(11)
     steps = rng.normal(0.0003, 0.01, (n, 4))

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import bonds, curves, options
+from tidemark.operators import interpolation
 
 BASE = {"s": 100.0, "k": 100.0, "t": 1.0, "r": 0.05, "sigma": 0.2, "q": 0.0, "option_type": "call"}
 
@@ -197,3 +198,20 @@ def test_expired_jump_contract_is_worth_its_intrinsic_value(spark):
     rows = [(100.0, 90.0, 0.0, 0.05, 0.2, "call"), (100.0, 90.0, 0.0, 0.05, 0.2, "put")]
     df = spark.createDataFrame(rows, "s double, k double, t double, r double, sigma double, option_type string")
     assert sorted(r["price"] for r in options.jump_diffusion_price(df, 1.0, -0.1, 0.2).collect()) == [0.0, 10.0]
+
+
+@pytest.mark.parametrize("rows_per_bin", [10, 1_000_000])
+def test_interpolation_on_curves_of_any_size(spark, rows_per_bin):
+    rng = np.random.default_rng(9)
+    curves_ = {"long": np.sort(rng.uniform(0, 50, 300)), "short": np.array([1.0, 2.0]), "one": np.array([3.0])}
+    rates = {k: rng.normal(0.03, 0.01, len(t)) for k, t in curves_.items()}
+    points = spark.createDataFrame([(k, float(t), float(z)) for k in curves_ for t, z in zip(curves_[k], rates[k])], "c string, t double, z double").repartition(4)
+    flows = [(i, k, float(t)) for k in curves_ for i, t in enumerate(np.concatenate([rng.uniform(-5, 60, 80), np.full(60, 7.5), curves_[k][:3]]))]
+    flows += [(900, "unknown", 1.0), (901, None, 1.0), (902, "long", None)]
+    out = interpolation.interpolated_rates(spark.createDataFrame(flows, "i long, c string, t double").repartition(3), points, "c", rows_per_bin=rows_per_bin).collect()
+    assert len(out) == len(flows)
+    for r in out:
+        if r["c"] in curves_ and r["t"] is not None:
+            assert r["rate"] == pytest.approx(np.interp(r["t"], curves_[r["c"]], rates[r["c"]]), abs=1e-12)
+        else:
+            assert r["rate"] is None

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.risk import book_returns
@@ -13,6 +15,11 @@ from tidemark.operators.series import TRADING_DAYS
 
 TICKERS_PER_BLOCK = 512
 DAYS_PER_BUCKET = 1024
+FRONTIER_POINTS = 40
+MOST_ASSETS = 64  # of a weight grid
+MOST_CANDIDATES = 1 << 40
+CANDIDATES_PER_TASK = 500_000
+CLOSE = 2e-9  # portfolios whose measure differs by less may be equal after rounding
 
 
 def annual_means(returns: DataFrame) -> DataFrame:
@@ -99,60 +106,77 @@ def portfolio_stats(returns: DataFrame, positions: DataFrame, rf: float = 0.0) -
     return stats.withColumn("sharpe_ratio", _sharpe(F.col("expected_return"), F.col("volatility"), rf))
 
 
-def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0) -> DataFrame:
-    """Every long-only, fully invested portfolio whose weights are multiples of ``1 / steps``, with its statistics.
-
-    The moments of the universe sit in one row (n tickers, n * n covariances); candidates are generated from that
-    row in two stages: half of the weights are fixed first, and the partial portfolios are dealt out over the
-    tasks before the rest fan out. There are C(steps + n - 1, n - 1) candidates: meant for small universes.
+def _unranked(numbers: np.ndarray, steps: int, n: int) -> np.ndarray:
+    """The weights, in steps, of the candidates with the given numbers: all ways to deal ``steps`` to ``n`` assets, in order."""
+    units = np.zeros((len(numbers), n), np.int64)
+    rest, left = numbers.copy(), np.full(len(numbers), steps)
+    for asset in range(n - 1):
+        others = n - asset - 1
+        ways = np.array([[math.comb(r - x + others - 1, others - 1) if x <= r else 0 for x in range(steps + 1)] for r in range(steps + 1)])
+        before = np.cumsum(ways, axis=1) - ways  # candidates with a smaller weight of this asset, by what is left
+        units[:, asset] = np.minimum((before[left] <= rest[:, None]).sum(axis=1) - 1, left)
+        rest -= before[left, units[:, asset]]
+        left -= units[:, asset]
+    if n:
+        units[:, n - 1] = left
+    return units
+
+
+def _candidates(means: np.ndarray, cov: np.ndarray, steps: int, rf: float, best: str | None, n_points: int):
+    low, high = means.min(), means.max()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = _unranked(batch.column("id").to_numpy(), steps, len(means))
+            w = units / steps
+            ret = w @ means
+            vol = np.sqrt(np.maximum(((w @ cov) * w).sum(axis=1), 0.0))
+            ratio = np.divide(ret - rf, vol, out=np.zeros(len(vol)), where=vol > 0)
+            keep = np.arange(len(w))
+            if best == "volatility":
+                keep = keep[vol <= vol.min(initial=np.inf) + CLOSE]
+            elif best == "sharpe_ratio":
+                keep = keep[ratio >= ratio.max(initial=-np.inf) - CLOSE]
+            elif best == "frontier":
+                bucket = np.zeros(len(ret), int) if high == low else np.clip(np.floor((ret - low) / (high - low) * n_points), 0, n_points - 1).astype(int)
+                least = np.full(n_points, np.inf)
+                np.minimum.at(least, bucket, vol)
+                keep = keep[vol <= least[bucket] + CLOSE]
+            names = ["/".join(map(str, u)) for u in units[keep].tolist()]
+            yield pa.RecordBatch.from_pydict({
+                "universe": ["all"] * len(keep), "weights": names, "expected_return": ret[keep], "volatility": vol[keep], "sharpe_ratio": ratio[keep],
+                "low_return": np.full(len(keep), low), "high_return": np.full(len(keep), high),
+            })
+
+    return run
+
+
+def grid_portfolios(returns: DataFrame, steps: int = 10, rf: float = 0.0, best: str | None = None, n_points: int = FRONTIER_POINTS) -> DataFrame:
+    """The long-only, fully invested portfolios whose weights are multiples of ``1 / steps``, with their statistics.
+
+    There are C(steps + n - 1, n - 1) of them, numbered in order of their weights. The numbers are dealt out as ranges and a task makes
+    the weights of its own, so no row holds a list of portfolios: 20 assets in tenths are 20 million numbers. With ``best`` (``volatility``,
+    ``sharpe_ratio``, or ``frontier`` for each of ``n_points`` buckets of return) a batch returns only what is best in it, ties
+    included. The moments of the universe, MOST_ASSETS assets at most, go to the tasks.
     """
-    means = annual_means(returns).agg(F.sort_array(F.collect_list(F.struct("ticker", "mean"))).alias("m"))
-    cov = covariance(returns).agg(F.sort_array(F.collect_list(F.struct("a", "b", "cov"))).alias("c"))
-    total = F.lit(steps)
-
-    def used(w):
-        return F.aggregate(w, F.lit(0), lambda acc, x: acc + x)
-
-    def extend(options, n):
-        """Append a weight to each partial portfolio, ``n`` times."""
-        grow = lambda w: F.transform(F.sequence(F.lit(0), total - used(w)), lambda x: F.concat(w, F.array(x)))
-        return F.aggregate(
-            F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-            options.cast("array<array<int>>"),
-            lambda acc, i: F.flatten(F.transform(acc, grow)),
-        )
-
-    size = F.size("m")
-    free = size - 1
-    half = F.floor(free / 2).cast("int")
-    staged = (
-        means.withColumns({"universe": F.lit("all"), "c": cov.scalar()})
-        .withColumn("head", F.explode(extend(F.array(F.array().cast("array<int>")), half)))
-        .repartition("head")
-        .withColumn("body", F.explode(extend(F.array(F.col("head")), free - half)))
-        .withColumn("units", F.concat("body", F.array(total - used(F.col("body")))))
-    )
-    w = F.transform("units", lambda x: x / F.lit(float(steps)))
-    ret = F.aggregate(F.zip_with("w", "m", lambda x, m: x * m["mean"]), F.lit(0.0), lambda acc, x: acc + x)
-    n = F.size("w")
-    var = F.aggregate(
-        F.transform("c", lambda c, k: F.get("w", F.floor(k / n).cast("int")) * F.get("w", k % n) * c["cov"]),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-    return (
-        staged.withColumn("w", w)
-        .withColumn("expected_return", ret)
-        .withColumn("volatility", F.sqrt(F.greatest(var, F.lit(0.0))))
-        .withColumn("sharpe_ratio", _sharpe(F.col("expected_return"), F.col("volatility"), rf))
-        .select(
-            "universe",
-            F.array_join(F.transform("units", lambda x: x.cast("string")), "/").alias("weights"),
-            "expected_return", "volatility", "sharpe_ratio",
-            F.array_min(F.transform("m", lambda m: m["mean"])).alias("low_return"),
-            F.array_max(F.transform("m", lambda m: m["mean"])).alias("high_return"),
-        )
-    )
+    spark = returns.sparkSession
+    if best not in (None, "volatility", "sharpe_ratio", "frontier"):
+        raise ValueError(f"best must be volatility, sharpe_ratio or frontier, got {best!r}")
+    held = annual_means(returns).orderBy("ticker").limit(MOST_ASSETS + 1).collect()
+    if len(held) > MOST_ASSETS:
+        raise ValueError(f"a weight grid takes at most {MOST_ASSETS} assets")
+    schema = "universe string, weights string, expected_return double, volatility double, sharpe_ratio double, low_return double, high_return double"
+    if not held:
+        return spark.createDataFrame([], schema)
+    at = {r["ticker"]: i for i, r in enumerate(held)}
+    cov = np.zeros((len(at), len(at)))
+    for r in covariance(returns).collect():
+        cov[at[r["a"]], at[r["b"]]] = r["cov"]
+    count = math.comb(steps + len(at) - 1, len(at) - 1)
+    if count > MOST_CANDIDATES:
+        raise ValueError(f"{count} portfolios; take fewer assets or steps")
+    numbers = spark.range(0, count, 1, max(spark.sparkContext.defaultParallelism, math.ceil(count / CANDIDATES_PER_TASK)))
+    return numbers.mapInArrow(_candidates(np.array([r["mean"] for r in held]), cov, steps, rf, best, n_points), schema)
 
 
 def _pick(candidates: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -169,7 +193,7 @@ def max_sharpe(candidates: DataFrame) -> DataFrame:
     return _pick(candidates, ["universe"], -F.round("sharpe_ratio", 9))
 
 
-def efficient_frontier(candidates: DataFrame, n_points: int = 40) -> DataFrame:
+def efficient_frontier(candidates: DataFrame, n_points: int = FRONTIER_POINTS) -> DataFrame:
     """Lowest-volatility candidate in each of ``n_points`` equal return buckets between the asset means."""
     low, high = F.col("low_return"), F.col("high_return")
     bucket = F.floor((F.col("expected_return") - low) / F.nullif(high - low, F.lit(0.0)) * n_points) + 1

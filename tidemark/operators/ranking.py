@@ -88,7 +88,7 @@ def order_bins(
     return Bins(number, sizes)
 
 
-def _ranged(df: DataFrame, keys: list[str], rows_per_bin: int) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], rows_per_bin: int) -> DataFrame:
     """``df`` dealt out by ranges of the keys, with the partition and the 1-based position in it, written so that both stay."""
     parts = max(1, math.ceil(df.count() / rows_per_bin))
     ids = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
@@ -96,20 +96,20 @@ def _ranged(df: DataFrame, keys: list[str], rows_per_bin: int) -> DataFrame:
     return materialize(ids.withColumns(place).drop("_id"))
 
 
-def _offsets(ranged: DataFrame, measure: Column) -> DataFrame:
+def _offsets(dealt: DataFrame, measure: Column) -> DataFrame:
     """(_part, _before): what the partitions before each one hold. The driver sees one number per partition."""
-    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").agg(measure.alias("n")).collect())
+    sizes = sorted(tuple(r) for r in dealt.groupBy("_part").agg(measure.alias("n")).collect())
     rows, total = [], 0
     for part, n in sizes:
         rows.append((part, total))
         total += n
-    return F.broadcast(ranged.sparkSession.createDataFrame(rows, "_part long, _before long"))
+    return F.broadcast(dealt.sparkSession.createDataFrame(rows, "_part long, _before long"))
 
 
 def global_row_number(df: DataFrame, keys: list[str], out: str = "rn", rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Exact ``row_number() over (order by keys)``; ``keys`` ascending, not null and unique together."""
-    ranged = _ranged(df, keys, rows_per_bin)
-    numbered = ranged.join(_offsets(ranged, F.count(F.lit(1))), "_part")
+    dealt = ranged(df, keys, rows_per_bin)
+    numbered = dealt.join(_offsets(dealt, F.count(F.lit(1))), "_part")
     return numbered.withColumn(out, F.col("_at") + F.col("_before")).select(*df.columns, out)
 
 
@@ -189,9 +189,9 @@ def cumulative_counts(df: DataFrame, key: str, rows_per_bin: int = ROWS_PER_BIN,
     Repeated values are aggregated first, so a value that fills a third of the table is one row here.
     """
     values = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[m.alias(a) for a, m in measures.items()])
-    ranged = _ranged(materialize(values), [key], rows_per_bin)
+    dealt = ranged(materialize(values), [key], rows_per_bin)
     running = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.withColumn("_own", F.coalesce(F.sum("n").over(running), F.lit(0))).join(_offsets(ranged, F.sum("n")), "_part")
+    before = dealt.withColumn("_own", F.coalesce(F.sum("n").over(running), F.lit(0))).join(_offsets(dealt, F.sum("n")), "_part")
     return before.withColumn("n_before", F.col("_own") + F.col("_before")).drop("_part", "_at", "_own", "_before")
 
 

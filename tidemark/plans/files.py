@@ -35,26 +35,32 @@ def csv_scan(spark, d):
 
 
 @R.query("s2_json_array_scan", """
-SELECT CAST(item_id AS INTEGER) AS id, text AS question, CAST(NULL AS VARCHAR) AS expected_source, item_id % 2 = 0 AS in_scope, CAST(NULL AS VARCHAR) AS note FROM benchmark""")
+SELECT CAST(item_id AS INTEGER) AS id, text AS question, CAST(NULL AS VARCHAR) AS expected_source, 'item' || item_id || '|' || length(text) AS keywords,
+       item_id % 2 = 0 AS in_scope, CAST(NULL AS VARCHAR) AS note FROM benchmark""")
 def json_array_scan(spark, d):
     """Benchmark items as question files of at most 50 questions, without the optional keys."""
     folder = new_folder(spark)
     item = F.struct(
-        F.col("item_id").alias("id"), F.col("text").alias("question"), F.array(F.lit("x")).alias("expected_keywords"),
+        F.col("item_id").alias("id"), F.col("text").alias("question"),
+        F.array(F.concat(F.lit("item"), F.col("item_id").cast("string")), F.length("text").cast("string")).alias("expected_keywords"),
         (F.col("item_id") % 2 == 0).alias("in_scope"),
     )
     files = views.table(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 50)).agg(F.to_json(F.collect_list(item)).alias("value"))
     files.select("value").write.option("maxRecordsPerFile", 1).text(folder)
-    return readers.read_json_array(spark, folder, schemas.RETRIEVAL_QUESTIONS).drop("expected_keywords")
+    read = readers.read_json_array(spark, folder, schemas.RETRIEVAL_QUESTIONS)
+    return read.withColumn("keywords", F.array_join("expected_keywords", "|")).drop("expected_keywords")
 
 
-@R.query("s3_markdown_folder", """SELECT '# Item ' || item_id || chr(10) || text || chr(10) AS body FROM benchmark""")
+@R.query("s3_markdown_folder", """
+SELECT '# Item ' || item_id || chr(10) || text || chr(10) AS body, TRUE AS named, COUNT(*) OVER () AS files FROM benchmark""")
 def markdown_folder(spark, d):
     folder = new_folder(spark)
     body = F.concat(F.lit("# Item "), F.col("item_id").cast("string"), F.lit("\n"), F.col("text"))
     files = views.table(spark, d, "benchmark").select(body.alias("value"))
     files.write.option("maxRecordsPerFile", 1).text(folder)
-    return readers.read_markdown_folder(spark, folder, "*.txt").select("body")
+    read = readers.read_markdown_folder(spark, folder, "*.txt")
+    names = read.agg(F.count_distinct("source_file")).scalar()
+    return read.select("body", F.col("source_file").endswith(".txt").alias("named"), names.alias("files"))
 
 
 @R.query("s4_chart_files", with_views("prices_v", "SELECT date, ticker, CAST(ROUND(CAST(price AS DECIMAL(28,9)), 4) AS DOUBLE) AS price FROM prices_v"))

@@ -230,8 +230,8 @@ def with_grid(body):
     return with_views("returns_v", body, cov_v=COV_SQL, ordered=ORDERED_SQL, grid=GRID_SQL, cand=CANDIDATES_SQL)
 
 
-def candidates(spark, d):
-    return portfolio.grid_portfolios(returns(spark, d), steps=10, rf=0.04)
+def candidates(spark, d, best):
+    return portfolio.grid_portfolios(returns(spark, d), steps=10, rf=0.04, best=best)
 
 
 STATS = ("expected_return", "volatility", "sharpe_ratio")
@@ -239,12 +239,12 @@ STATS = ("expected_return", "volatility", "sharpe_ratio")
 
 @R.query("a19_min_variance", with_grid(f"SELECT 'all' AS universe, {PICK} FROM cand ORDER BY ROUND(v, 9), weights LIMIT 1"))
 def min_variance(spark, d):
-    return round_all(portfolio.min_variance(candidates(spark, d)), *STATS)
+    return round_all(portfolio.min_variance(candidates(spark, d, "volatility")), *STATS)
 
 
 @R.query("a20_max_sharpe", with_grid(f"SELECT 'all' AS universe, {PICK} FROM cand ORDER BY ROUND(s, 9) DESC, weights LIMIT 1"))
 def max_sharpe(spark, d):
-    return round_all(portfolio.max_sharpe(candidates(spark, d)), *STATS)
+    return round_all(portfolio.max_sharpe(candidates(spark, d, "sharpe_ratio")), *STATS)
 
 
 @R.query("a21_efficient_frontier", with_grid(f"""
@@ -253,7 +253,7 @@ SELECT 'all' AS universe, CAST(bucket AS INTEGER) AS bucket, {PICK} FROM (
     SELECT *, greatest(least(floor((r - (SELECT MIN(mean) FROM ordered)) / (SELECT MAX(mean) - MIN(mean) FROM ordered) * 40) + 1, 40), 1) AS bucket FROM cand))
 WHERE rn = 1"""))
 def efficient_frontier(spark, d):
-    return round_all(portfolio.efficient_frontier(candidates(spark, d)), *STATS)
+    return round_all(portfolio.efficient_frontier(candidates(spark, d, "frontier")), *STATS)
 
 
 @R.query("a22_annualized_stats", with_views("returns_v", """

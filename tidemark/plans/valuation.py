@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bonds, curves, options
 from tidemark.functions.normal import chi2_1_upper_tail, norm_cdf, norm_pdf
+from tidemark.operators import interpolation
 from tidemark.plans import views
 from tidemark.plans.market import phi_sql
 from tidemark.plans.registry import Registry, round_all, rounded
@@ -191,21 +192,24 @@ def bootstrap(spark, d):
     return nodes.select("curve_id", "p.t", rounded("p.z").alias("z"))
 
 
-@R.query("n11_par_reprice", with_views("curve_quotes_v", "SELECT curve_id, t, 100e0 AS repriced FROM curve_quotes_v WHERE freq = 2 OR t > 1"))
+@R.query("n11_par_reprice", with_views("curve_quotes_v", "SELECT curve_id, t, 100e0 AS repriced FROM curve_quotes_v"))
 def par_reprice(spark, d):
-    """Every coupon quote, repriced on the zero nodes known when it was solved plus its own, is worth 100."""
+    """Every quote, repriced on the zero nodes known when it was solved plus its own, is worth 100: coupons, or the one payment of a short quote."""
     quotes = views.curve_quotes(spark, d)
     zero = curves.bootstrap_zero_curves(quotes, "curve_id")
-    joined = quotes.join(zero, "curve_id").where((F.col("freq") == 2) | (F.col("t") > 1))
+    joined = quotes.join(zero, "curve_id")
+    short = (F.col("freq") == 1) & (F.col("t") <= 1)
     known = F.filter("nodes", lambda p: p["t"] < F.col("t"))
     own = F.filter("nodes", lambda p: p["t"] == F.col("t"))
     coupon = F.col("par_yield") * 100.0 / F.col("freq")
     periods = F.round(F.col("t") * F.col("freq")).cast("int")
-    pv = F.aggregate(
-        F.transform(F.sequence(F.lit(1), periods - 1), lambda k: coupon * curves.discount_factor(known, k / F.col("freq"))),
+    earlier = F.when(periods > 1, F.sequence(F.lit(1), periods - 1)).otherwise(F.array().cast("array<int>"))
+    coupons = F.aggregate(
+        F.transform(earlier, lambda k: coupon * curves.discount_factor(known, k / F.col("freq"))),
         F.lit(0.0), lambda a, x: a + x,
     ) + (coupon + 100.0) * curves.discount_factor(own, F.col("t"))
-    return joined.select("curve_id", "t", rounded(pv).alias("repriced"))
+    once = (F.col("par_yield") * F.col("t") + 1.0) * 100.0 * curves.discount_factor(own, F.col("t"))
+    return joined.select("curve_id", "t", rounded(F.when(short, once).otherwise(coupons)).alias("repriced"))
 
 
 def line_flows(spark, d):
@@ -232,6 +236,13 @@ def interpolated_rate(spark, d):
     return flows.select("l_orderkey", "l_linenumber", "l_partkey", "curve_id", rounded("zero_rate").alias("zero_rate"))
 
 
+@R.query("j6_interpolated_rate_ranged", with_views("curve_quotes_v", "SELECT l_orderkey, l_linenumber, l_partkey, curve_id, ROUND(z, 6) AS zero_rate FROM rated", rated=RATED_SQL))
+def interpolated_rate_ranged(spark, d):
+    """The same rates when no curve is held whole: nodes and times dealt out in parts of 2000 rows."""
+    rated = interpolation.interpolated_rates(line_flows(spark, d), views.curve_quotes(spark, d), "curve_id", z="par_yield", out="zero_rate", rows_per_bin=2000)
+    return rated.select("l_orderkey", "l_linenumber", "l_partkey", "curve_id", rounded("zero_rate").alias("zero_rate"))
+
+
 @R.query("n12_discount_factor", with_views("curve_quotes_v", """
 SELECT l_orderkey, l_linenumber, l_partkey, ROUND(exp(-z * t), 6) AS discount_factor, ROUND(amount * exp(-z * t), 4) AS present_value FROM rated""", rated=RATED_SQL))
 def discount_factor(spark, d):
