@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tidemark.llm.common import Stored
 
 REVISIT_BYTES = 1000  # smaller payloads are always stored
-RECORDS_PER_FILE = 15_000  # an archive is read in one piece; this bounds it
+FILE_BYTES = 1 << 26  # of an archive, before compression and about; an archive is read in one piece
+HEAD_BYTES = 400  # of a record, about
 CRLF = "\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 DATE = "2024-01-01T00:00:00Z"
@@ -42,23 +43,29 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     A page that is there more than once gets numbered records. The page with the largest id of equal payloads of at least
     REVISIT_BYTES keeps the payload; ``refers_to`` is null for it and holds its record's id for the others.
     """
+    number = F.col(page_id).cast("string")
     rows = pages.select(
-        F.col(page_id).cast("string").alias("page_id"), F.col(page_id).alias("id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("payload")
+        F.when(number.isNull(), "null").otherwise(F.concat(F.lit("="), number)).alias("key"), F.col(page_id).alias("id"),
+        F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(html, F.lit("")).alias("payload"),
     )
-    rows = rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "url": F.regexp_replace("url", r"[\r\n]", "")})
-    copy = F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1
-    rows = rows.withColumn("copy", copy)
-    large = F.octet_length("payload") >= REVISIT_BYTES
+    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    # what becomes of a page is decided without its payload, and equal rows are one row until their records are made
+    same = ["key", "url", "digest"]
+    kinds = rows.groupBy(*same).agg(F.first("id").alias("id"), F.max(F.octet_length("payload")).alias("size"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("digest", "url")) - F.col("n")
+    kinds = kinds.withColumn("copy", before)
     # of a repeated page the first copy: the smallest number wins among equal ids
-    order = F.struct("id", (-F.col("copy")).alias("minus"))
-    keepers = rows.where(large).groupBy("digest").agg(F.max(order).alias("keeper"))
-    keepers = keepers.select("digest", F.col("keeper.id").alias("keeper_id"), (-F.col("keeper.minus")).alias("keeper_copy"))
-    joined = rows.join(keepers, "digest", "left")
-    same = F.col("id").eqNullSafe(F.col("keeper_id")) & (F.col("copy") == F.col("keeper_copy"))
-    name = lambda i, c: _urn(F.lit("response"), F.coalesce(F.col(i).cast("string"), F.lit("null")), F.col(c).cast("string"))
-    return joined.select(
-        "page_id", "url", "payload", "digest", "copy", name("id", "copy").alias("record_id"),
-        F.when(large & ~same, name("keeper_id", "keeper_copy")).alias("refers_to"),
+    best = F.max(F.struct("id", (-F.col("copy")).alias("minus"), "key"))
+    keepers = kinds.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(best.alias("keeper"))
+    name = lambda k, c: _urn(F.lit("response"), k, c.cast("string"))
+    kept = keepers.select("digest", name(F.col("keeper.key"), -F.col("keeper.minus")).alias("kept_id"))
+    payloads = rows.groupBy(*same).agg(F.first("payload").alias("payload"))
+    whole = payloads.join(kinds.join(kept, "digest", "left").select(*same, "copy", "n", "kept_id"), same)
+    every = F.explode(F.sequence(F.col("copy"), F.col("copy") + F.col("n") - 1)).alias("copy")
+    out = whole.select("key", "url", "payload", "digest", "kept_id", every).withColumn("record_id", name(F.col("key"), F.col("copy")))
+    return out.select(
+        F.when(F.col("key") != "null", F.substring("key", F.lit(2), F.length("key"))).alias("page_id"), "url", "payload", "digest", "copy", "record_id",
+        F.when(F.col("kept_id") != F.col("record_id"), F.col("kept_id")).alias("refers_to"),
     )
 
 
@@ -85,7 +92,14 @@ def warc_records(rows: DataFrame) -> DataFrame:
     )).alias("record"))
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def records_per_file(pages: DataFrame, html: str = "html", file_bytes: int = FILE_BYTES) -> int:
+    """How many records of the pages' mean size make a file of ``file_bytes``."""
+    sizes = pages.agg(F.sum(F.octet_length(html)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    mean = HEAD_BYTES + (sizes["bytes"] or 0) / max(3 * sizes["n"], 1)
+    return max(3, int(file_bytes / mean))
+
+
+def write_archives(records: DataFrame, path: str, records_per_file: int) -> None:
     """Gzipped archives: every record ends with two line ends, which is what separates lines here."""
     records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
@@ -191,7 +205,7 @@ def round_trip(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     spark = pages.sparkSession
     store = Stored(spark)
     path = path or f"{store.folder}/archives"
-    write_archives(warc_records(captures(pages, page_id, url, html)), path)
+    write_archives(warc_records(captures(pages, page_id, url, html)), path, records_per_file(pages, html))
     records = store.keep(read_records(spark, path))
     whole = assemble(records)
     page = F.col("metadata.fields")["pageId"].cast("long")
