@@ -4,6 +4,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, models, series
@@ -178,3 +181,25 @@ def test_reports(spark, tmp_path):
     sinks.write_evaluation(spark.createDataFrame([(1, None)], "n int, rate double"), spark.createDataFrame([(1,), (2,)], "id int"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/questions")).count() == 2
     assert spark.read.text(str(tmp_path / "r/summary")).first()[0] == '{"n":1,"rate":null}'
+
+
+def test_node_tables_give_the_models_predictions(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({
+        "id": np.arange(n), "tenure_days": rng.integers(1, 900, n).astype(float), "frequency": rng.integers(0, 9, n).astype(float), "monetary_sgd": rng.normal(50, 20, n),
+        "avg_basket_sgd": rng.normal(5, 2, n), "categories_purchased": rng.integers(0, 5, n).astype(float), "country": rng.choice(list("abcd"), n), "segment": rng.choice(list("xy"), n)})
+    pdf["churned"] = ((pdf["frequency"] < 3) ^ (pdf["country"] == "a")).astype(int)
+    df = spark.createDataFrame(pdf).withColumn("tenure_days", F.when(F.col("id") % 51 != 0, F.col("tenure_days")))
+    model = models.fit_churn(df.where("id % 3 > 0"), categorical=["country", "segment"], numTrees=7, maxDepth=5, minInstancesPerNode=3)
+    rows = model.transform(df).select("id", vector_to_array("features").alias("v"), vector_to_array("probability")[1].alias("p"))
+    nodes = models.node_table(model.stages[-1], str(tmp_path / "forest"))
+    assert nodes.where("categories is not null").count() > 0 and nodes.where("threshold is not null").count() > 0
+    both = rows.join(models.forest_probability(rows, nodes, "id", "v", 5), "id").toPandas()
+    assert len(both) == n and np.allclose(both["p"], both["probability"], atol=1e-12)
+    assembled = VectorAssembler(inputCols=["frequency", "monetary_sgd"], outputCol="features").transform(df)
+    boosted = GBTRegressor(featuresCol="features", labelCol="avg_basket_sgd", maxIter=6, maxDepth=3, seed=1).fit(assembled)
+    rows = boosted.transform(assembled).select("id", vector_to_array("features").alias("v"), F.col("prediction").alias("p"))
+    walked = models.boosted_prediction(rows, models.node_table(boosted, str(tmp_path / "boosted")), "id", "v", 3)
+    both = rows.join(walked, "id").toPandas()
+    assert len(both) == n and np.allclose(both["p"], both["prediction"], atol=1e-12)

@@ -14,7 +14,7 @@ from tidemark.operators import risk
 from tidemark.operators.ranking import ROWS_PER_BIN, global_row_number, order_statistics
 from tidemark.operators.retail import risk_band
 from tidemark.operators.series import FACTOR_COLUMNS, VOLATILITY_COLUMNS, chronological_split, momentum_signal
-from tidemark.session import materialize
+from tidemark.session import broadcast_if_small, materialize
 
 # Fixed values.
 NUMERIC = ["tenure_days", "frequency", "monetary_sgd", "avg_basket_sgd", "categories_purchased"]
@@ -165,3 +165,52 @@ def permutation_contributions(model: PipelineModel, df: DataFrame, features: lis
         scored = model.transform(swapped).withColumn(f"_d_{f}", F.col("_base") - F.col("prediction"))
         changed = scored.withColumn(f, F.col("_own")).drop("_own", "prediction", "features")
     return _summary(changed, {f: F.col(f"_d_{f}") for f in features})
+
+
+def node_table(model, folder: str) -> DataFrame:
+    """The nodes of a fitted forest or boosted model, as it saves them: tree, weight, node, feature, threshold, categories, left, right,
+    prediction, stats. Inner nodes have either a threshold (up to it goes left) or the categories that go left; leaves have no feature."""
+    spark = SparkSession.active()
+    model.write().save(folder)
+    weights = spark.read.parquet(f"{folder}/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    n, split = F.col("nodeData"), F.col("nodeData.split")
+    inner, listed = split["featureIndex"] >= 0, split["numCategories"] >= 0
+    values = split["leftCategoriesOrThreshold"]
+    nodes = spark.read.parquet(f"{folder}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), F.when(inner, split["featureIndex"]).alias("feature"),
+        F.when(inner & ~listed, F.get(values, F.lit(0))).alias("threshold"), F.when(inner & listed, values).alias("categories"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["prediction"].alias("prediction"), n["impurityStats"].alias("stats"),
+    )
+    return nodes.join(weights, "tree")
+
+
+def leaves_reached(rows: DataFrame, nodes: DataFrame, id_col: str, features: str, depth: int) -> DataFrame:
+    """(id, tree, node): the leaf of every tree that a row with an array of features ends in.
+
+    A row walks all trees at once, one level a join with the nodes. The nodes of a model are bounded by its size, 2 ** depth
+    a tree, and go to the rows while they are few; a missing number goes right.
+    """
+    trees = nodes.agg(F.max("tree")).first()[0] + 1
+    inner = broadcast_if_small(materialize(nodes.where("feature is not null").select("tree", "node", "feature", "threshold", "categories", "left", "right")))
+    at = rows.select(id_col, features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("node"))
+    value = F.get(features, F.col("feature"))
+    left = F.coalesce(F.array_contains("categories", value), (value <= F.col("threshold")) & ~F.isnan(value), F.lit(False))
+    following = F.when(F.col("feature").isNull(), F.col("node")).when(left, F.col("left")).otherwise(F.col("right"))
+    for _ in range(depth):
+        at = at.join(inner, ["tree", "node"], "left").select(id_col, features, "tree", following.alias("node"))
+    return at.select(id_col, "tree", "node")
+
+
+def forest_probability(rows: DataFrame, nodes: DataFrame, id_col: str, features: str, depth: int) -> DataFrame:
+    """(id, probability) of class 1: the mean over the trees of its share in the leaf."""
+    share = F.get("stats", F.lit(1)) / F.aggregate("stats", F.lit(0.0), lambda a, x: a + x)
+    leaves = broadcast_if_small(nodes.where("feature is null").select("tree", "node", share.alias("share")))
+    reached = leaves_reached(rows, nodes, id_col, features, depth).join(leaves, ["tree", "node"])
+    return reached.groupBy(id_col).agg(F.avg("share").alias("probability"))
+
+
+def boosted_prediction(rows: DataFrame, nodes: DataFrame, id_col: str, features: str, depth: int) -> DataFrame:
+    """(id, prediction): the weighted sum of the leaves' predictions."""
+    leaves = broadcast_if_small(nodes.where("feature is null").select("tree", "node", (F.col("weight") * F.col("prediction")).alias("part")))
+    reached = leaves_reached(rows, nodes, id_col, features, depth).join(leaves, ["tree", "node"])
+    return reached.groupBy(id_col).agg(F.sum("part").alias("prediction"))

@@ -108,7 +108,7 @@ def evaluation_report(spark, d):
     return per_question.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("churned") == 1).alias("hits"), total.alias("summary_total"))
 
 
-@R.query("s8_model_reload")
+@R.query("s8_model_reload", with_views("features_v", "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed FROM features_v"))
 def model_reload(spark, d):
     """Rows, and rows whose score changes after saving and loading the fitted pipeline (none should)."""
     folder = new_folder(spark)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, models, series
 from tidemark.plans import views
+from tidemark.plans.files import new_folder
 from tidemark.plans.market import factor_panel, with_factors
 from tidemark.plans.registry import Registry, round_all, rounded
 from tidemark.plans.views import MARKET, with_views
 from tidemark.session import materialize
 
 R = Registry()
+CUTOFF_SQL = "SELECT date FROM (SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)) WHERE i = CAST(floor(n * 0.7e0) AS BIGINT)"
 CATEGORICAL = ["country", "segment"]
 
 
@@ -120,6 +122,44 @@ def churn_scores(spark, d):
     return models.score_customers(model, features).select("customer_id", "churned", "churn_probability", "churn_risk_band")
 
 
+@R.query("m5_node_table_scores", with_views("features_v", "SELECT customer_id, TRUE AS same, TRUE AS banded FROM features_v"))
+def node_table_scores(spark, d):
+    """Every customer scored by walking the forest's node table: the same probability as the model's, and the band that goes with it."""
+    features, _, model = churn_run(spark, d)
+    depth = model.stages[-1].getOrDefault("maxDepth")
+    nodes = models.node_table(model.stages[-1], new_folder(spark))
+    vectors = materialize(model.transform(features).select(
+        "customer_id", vector_to_array("features").alias("features"), vector_to_array("probability")[1].alias("expected")))
+    walked = models.forest_probability(vectors, nodes, "customer_id", "features", depth)
+    scored = models.score_customers(model, features).select("customer_id", "churn_probability", "churn_risk_band")
+    p = F.col("churn_probability")
+    band = F.when(p <= 0.33, "Low").when(p <= 0.66, "Medium").otherwise("High")
+    return vectors.join(walked, "customer_id").join(scored, "customer_id").select(
+        "customer_id", (F.abs(F.col("probability") - F.col("expected")) < 1e-9).alias("same"), (F.col("churn_risk_band") == band).alias("banded"))
+
+
+@R.query("m4_importance_names", with_views("features_v", """
+SELECT feature, TRUE AS share FROM (SELECT unnest(['tenure_days', 'frequency', 'monetary_sgd', 'avg_basket_sgd', 'categories_purchased']) AS feature
+UNION SELECT 'country_' || country FROM features_v UNION SELECT 'segment_' || segment FROM features_v)"""))
+def importance_names(spark, d):
+    """The expanded features of the fitted forest, each with a share of an importance that sums to one."""
+    ranked = materialize(models.feature_importance(churn_run(spark, d)[2], categorical=CATEGORICAL))
+    total = ranked.agg(F.sum("importance")).scalar()
+    return ranked.select("feature", (F.col("importance").between(0, 1) & (F.abs(total - 1) < 1e-9)).alias("share"))
+
+
+@R.query("m10_node_table_predictions", with_factors("SELECT date, ticker, TRUE AS same FROM panel WHERE date >= (SELECT date FROM cutoff)", cutoff=CUTOFF_SQL))
+def node_table_predictions(spark, d):
+    """The boosted return model's later dates predicted by walking its node table."""
+    train, test = series.chronological_split(materialize(factor_panel(spark, d)))
+    model = models.fit_return_model(materialize(train))
+    key = F.concat_ws(":", F.col("date").cast("string"), F.col("ticker"))
+    rows = materialize(model.transform(test).select(key.alias("key"), "date", "ticker", vector_to_array("features").alias("features"), F.col("prediction").alias("expected")))
+    nodes = models.node_table(model.stages[-1], new_folder(spark))
+    walked = models.boosted_prediction(rows, nodes, "key", "features", model.stages[-1].getOrDefault("maxDepth"))
+    return rows.join(walked, "key").select("date", "ticker", (F.abs(F.col("prediction") - F.col("expected")) < 1e-9).alias("same"))
+
+
 @R.query("m10_return_model")
 def return_model(spark, d):
     train, test = series.chronological_split(materialize(factor_panel(spark, d)))
