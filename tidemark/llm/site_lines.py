@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import broadcast_if_small, materialize
+
 RATIO = 0.1
-LEAST_PAGES = 10  # a line on fewer pages of a site is no boilerplate, however small the site
-SALTS = 32  # a site's pages meet its list in so many groups
+LEAST_PAGES = 3  # a line on one or two pages repeats no more than copies and quotes do, however small the site
+PAGES_PER_TASK = 10_000  # pages of a site that meet its list in one group, about
 
 
 def host(url: Column) -> Column:
@@ -58,25 +60,29 @@ def drop_site_lines(
 
     Lines are compared without blanks at their ends, by a 64-bit hash. A text that loses nothing stays as it is; one that loses
     all its lines becomes empty. A null text stays null with no lines, but counts as a page of its site. Rows without a site are
-    one site. Repeated rows count as pages of their own, unless ``classes`` makes them one (see ``boilerplate``). Other columns stay; an empty table stays empty.
+    one site. Repeated rows count as pages of their own, unless ``classes`` makes them one (see ``boilerplate``). Other columns stay as
+    they are, whatever their names, before the two new ones; an empty table stays empty.
 
     A site's list is short: no more lines than a page's mean number of lines divided by the ratio. Pages meet it by site and a
-    salt, so the pages of a large site are spread.
+    salt; a site has a salt for every PAGES_PER_TASK pages.
     """
     key = F.coalesce(F.col(site) if isinstance(site, str) else site, F.lit(""))
-    keyed = pages.withColumns({"_site": key, "_text": F.col(text_column)})
-    found = boilerplate(keyed.select(F.col("_site").alias("site"), F.col("_text").alias("text")), ratio, least_pages, classes)
-    lists = found.groupBy("site").agg(F.collect_set("line").alias("_boilerplate"))
-    salted = lists.select(F.col("site").alias("_site"), "_boilerplate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.floor(F.rand(7) * SALTS).cast("int")  # any draw gives the same result
-    joined = keyed.withColumn("_salt", salt).join(salted, ["_site", "_salt"], "left")
-    lines = F.split("_text", "\n")
-    hits = F.array_intersect(_hashes(lines), F.coalesce("_boilerplate", F.array().cast("array<bigint>")))
-    marked = joined.withColumn("_hits", hits)
-    gone = lambda l: F.array_contains("_hits", F.xxhash64(F.trim(l))) & (F.trim(l) != "")
-    some = F.size("_hits") > 0
-    kept = F.when(some, F.array_join(F.filter(lines, lambda l: ~gone(l)), "\n")).otherwise(F.col("_text"))
+    rows = pages.select(key.alias("site"), F.col(f"`{text_column}`").alias("text"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in pages.columns if c != text_column]).alias("row"))
+    found = boilerplate(rows.select("site", "text"), ratio, least_pages, classes)
+    lists = found.groupBy("site").agg(F.collect_set("line").alias("list"))
+    large = rows.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_TASK).alias("salts")).where("salts > 1")
+    large = broadcast_if_small(materialize(large))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = lists.join(large, "site", "left").select("site", "list", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    salt = F.floor(F.rand(7) * salts)  # any draw gives the same result
+    joined = rows.join(large, "site", "left").select("site", "text", "row", salt.alias("salt")).join(salted, ["site", "salt"], "left")
+    lines = F.split("text", "\n")
+    hits = F.array_intersect(_hashes(lines), F.coalesce("list", F.array().cast("array<bigint>")))
+    marked = joined.select("text", "row", hits.alias("hits"))
+    gone = lambda l: F.array_contains("hits", F.xxhash64(F.trim(l))) & (F.trim(l) != "")
+    some = F.size("hits") > 0
+    kept = F.when(some, F.array_join(F.filter(lines, lambda l: ~gone(l)), "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda l: F.trim(l) != "")), F.lit(0)).cast("long")
     dropped = F.when(some, F.size(F.filter(lines, gone))).otherwise(0).cast("long")
-    others = [kept.alias(c) if c == text_column else F.col(f"`{c}`") for c in pages.columns]
-    return marked.select(*others, F.when(F.col("_text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
+    others = [kept.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in pages.columns]
+    return marked.select(*others, F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
