@@ -25,6 +25,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 144  # 24 bands of 6: a pair at 0.8 is missed with probability 0.0007
 BAND_ROWS = 6
+CHUNK = 1 << 19  # bytes of text that a task turns into shingles at a time
 LEADERS = 3  # of a bucket in a round; more make more pairs and fewer rounds
 
 
@@ -86,7 +87,7 @@ def signatures(n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray,
 def _bands(rows: int, k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             found = shingles(words_of(batch.column("text"), rolling), rolling, size)
             ranks = signatures(batch.num_rows, *found, k)
             full = np.flatnonzero(~np.isinf(ranks).any(axis=1))
@@ -104,7 +105,7 @@ def _bands(rows: int, k: int, size: int):
 def _similar(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             left = shingles(words_of(batch.column("text"), rolling), rolling, size)
             right = shingles(words_of(batch.column("other"), rolling), rolling, size)
             n = batch.num_rows
@@ -165,7 +166,7 @@ def _hooks(found: DataFrame) -> DataFrame:
 def _elements(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             doc, key, weight = shingles(words_of(batch.column("text"), rolling), rolling, size)
             total = np.bincount(doc, weight, batch.num_rows).astype(np.int64)
             row = np.repeat(np.arange(len(doc)), weight)
@@ -195,14 +196,20 @@ def overlapping(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     longest = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-6) + 1
     placed = store.keep(placed.where(F.col("place") <= longest).select("node", "label", "size", "element", "place"))
     share = similarity / (1 + similarity)
-    least = F.ceil(F.lit(share) * (F.col("size") + F.col("other_size")) - 1e-6)
-    less = placed.where(F.col("place") <= F.col("size") - F.ceil(F.lit(2 * share) * F.col("size") - 1e-6) + 1)
-    more = placed.select("element", *[F.col(c).alias(n) for c, n in (("node", "leader"), ("label", "leader_label"), ("size", "other_size"), ("place", "other_place"))])
-    met = less.join(more, "element").where(
-        (F.col("label") != F.col("leader_label")) & (F.struct("size", "node") < F.struct(F.col("other_size"), F.col("leader")))
-        & (F.col("size") - F.col("place") + 1 >= least) & (F.col("other_size") - F.col("other_place") + 1 >= least)
+    # the rows of an element's most frequent label don't meet each other: every other row meets them and its like
+    held = placed.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
+    fewer = placed.join(held, "element").where(F.col("label") != F.col("top")).drop("top")
+    named = {"node": "leader", "label": "leader_label", "size": "other_size", "place": "other_place"}
+    met = placed.join(fewer.withColumnsRenamed(named), "element").where(F.col("label") != F.col("leader_label"))
+    own, other = F.struct("size", "node", "label", "place"), F.struct(*[F.col(n).alias(c) for c, n in (("size", "other_size"), ("node", "leader"), ("label", "leader_label"), ("place", "other_place"))])
+    # the smaller one of a pair is looked for by fewer of its elements
+    pair = met.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"))
+    least = F.ceil(F.lit(share) * (F.col("a.size") + F.col("b.size")) - 1e-6)
+    pair = pair.where(
+        (F.col("a.place") <= F.col("a.size") - F.ceil(F.lit(2 * share) * F.col("a.size") - 1e-6) + 1)
+        & (F.col("a.size") - F.col("a.place") + 1 >= least) & (F.col("b.size") - F.col("b.place") + 1 >= least)
     )
-    return met.select("node", "leader", "label", "leader_label").distinct()
+    return pair.select(F.col("a.node").alias("node"), F.col("b.node").alias("leader"), F.col("a.label").alias("label"), F.col("b.label").alias("leader_label")).distinct()
 
 
 def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:

@@ -3,7 +3,8 @@
 An occurrence of an item of m characters with at most k edits keeps at least m - q + 1 - k q of the item's q-grams, and all of
 them lie on 2 k + 1 neighbouring diagonals (position in the document minus position in the item). So shared q-grams are counted
 in diagonal bands twice that wide, each overlapping half of the next; only bands that reach the bound are aligned, and only
-inside the band. The benchmark is a query set that is taken to the documents in blocks of bounded size.
+inside the band. The benchmark is a query set that is taken to the documents in blocks of bounded size. The longest q for which the
+lemma still asks an item for one shared q-gram is its length over its edits plus one; items have it up to Q, and each q its own index.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import Rolling, chunks, mix
 
-Q = 8
+Q = 8  # for items of 40 characters and more; shorter ones have what their edits allow
 EDIT_SHARE = 0.1  # edits allowed per character of the item
 BLOCK_CHARS = 4_000_000  # benchmark text that one pass over the documents carries
 FILTER_BITS = 21
@@ -31,16 +32,19 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def budget(size: int, edit_share: float = EDIT_SHARE) -> int:
+    return int(size * edit_share)
+
+
 class Index:
-    """q-grams of the items of a block: hash -> (item, position), with the edit budgets and bounds of the items."""
+    """q-grams of the items of a block that share a q: hash -> (item, position), with the edit budgets and bounds of the items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edit_share: float = EDIT_SHARE):
         self.q, self.rolling = q, Rolling()
-        self.items = [(i, t) for i, t in items if len(t) >= q]  # shorter ones have no q-gram
+        self.items = items
         self.points = [_points(t) for _, t in self.items]
         sizes = np.array([len(p) for p in self.points], np.int64)
-        # the largest budget for which the lemma still asks for a shared q-gram
-        self.edits = np.minimum((sizes * edit_share).astype(np.int64), (sizes - q) // q)
+        self.edits = np.array([budget(n, edit_share) for n in sizes.tolist()], np.int64)
         self.bound = sizes - q + 1 - self.edits * q
         self.sizes = sizes
         hashes = [self.hash(p) for p in self.points] or [np.zeros(0, np.uint64)]
@@ -95,6 +99,14 @@ class Index:
             yield i, low * w, (high + 2) * w - 1
 
 
+def indexes(items: list[tuple[int, str]], q: int = Q, edit_share: float = EDIT_SHARE) -> list[Index]:
+    """An index for every q that the items ask for."""
+    groups: dict[int, list[tuple[int, str]]] = {}
+    for i, text in items:
+        groups.setdefault(min(q, len(text) // (budget(len(text), edit_share) + 1)), []).append((i, text))
+    return [Index(group, own, edit_share) for own, group in sorted(groups.items())]
+
+
 def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
     """Fewest edits of ``pattern`` against a stretch of ``text`` on diagonals low to high, and that stretch's end; None above ``most``."""
     m, n, wide = len(pattern), len(text), high - low + 1
@@ -119,14 +131,14 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
 
 def _search(items: list[tuple[int, str]], q: int, edit_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, q, edit_share)
+        every = indexes(items, q, edit_share)
         for batch in chunks(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = np.array([len(t) + 1 for t in texts])
             begin = np.cumsum(sizes) - sizes
             points = _points("\0".join(texts))
             rows, found = [], []
-            for i, low, high in index.regions(points):
+            for index, i, low, high in ((x, *region) for x in every for region in x.regions(points)):
                 m, k = int(index.sizes[i]), int(index.edits[i])
                 # documents that the band runs through; a run of bands may touch two
                 for row in range(max(0, int(np.searchsorted(begin, low, "right")) - 1), int(np.searchsorted(begin, high + m, "right"))):
@@ -160,8 +172,8 @@ def leaks(
     """One row (doc_id, item_id, edits, start, end, text_hash) per document and benchmark item found in it, at its best place.
 
     A document holds an item if some stretch of its normalised text is within ``edit_share`` edits per item character. Start and
-    end are characters of the normalised text. Null and empty texts on either side match nothing, as do items shorter than q.
-    Equal items are found under each of their ids; repeated rows are searched and reported once per distinct row. Extra columns
+    end are characters of the normalised text. Null and empty texts on either side match nothing; an item under ten characters is
+    found as it is, in whatever word it stands. Equal items are found under each of their ids; repeated rows are searched and reported once per distinct row. Extra columns
     are ignored. With an empty table on either side the result is empty.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), normalised(F.col(item_text)).alias("text")).where("text <> ''").distinct()

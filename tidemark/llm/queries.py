@@ -62,7 +62,7 @@ def relative_lz_query(spark, d):
     return relative_lz.duplicate_spans(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@R.query("op6_rule_ledger", """
+RULES_SQL = """
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
@@ -74,7 +74,10 @@ m AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)"""
+
+
+@R.query("op6_rule_ledger", RULES_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept,
        CAST((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
@@ -88,11 +91,24 @@ def rule_ledger_query(spark, d):
     )
 
 
+@R.query("rule_ablation", RULES_SQL + """,
+bad AS (
+  SELECT n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeated_words, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS duplicate_lines FROM f),
+each AS (
+  SELECT unnest(['few_words', 'repeated_words', 'symbols', 'duplicate_lines']) AS rule, unnest([few_words, repeated_words, symbols, duplicate_lines]) AS failed,
+         few_words::INT + repeated_words::INT + symbols::INT + duplicate_lines::INT AS n FROM bad)
+SELECT rule, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE failed AND n = 1) AS only_this, count(*) FILTER (WHERE n = 0 OR (failed AND n = 1)) AS kept_without
+FROM each GROUP BY rule""")
+def rule_ablation_query(spark, d):
+    """What each rule of the first policy rejects, alone and with the others."""
+    return rule_ledger.ablation(rule_ledger.ledger(table(spark, d, "documents")), "v1")
+
+
 @R.query("op7_site_lines", """
 WITH t AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS site, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages),
 l AS (SELECT page_id, site, line, pos FROM (SELECT page_id, site, string_split(text, chr(10)) AS ls FROM t), unnest(ls) WITH ORDINALITY AS u(line, pos)),
 d AS (SELECT site, trim(line) AS line, count(DISTINCT page_id) AS holding FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
-boiler AS (SELECT site, line FROM d JOIN (SELECT site, count(*) AS total FROM t GROUP BY site) USING (site) WHERE holding >= 10 AND holding > 0.1 * total),
+boiler AS (SELECT site, line FROM d JOIN (SELECT site, count(*) AS total FROM t GROUP BY site) USING (site) WHERE holding >= 3 AND holding > 0.1 * total),
 m AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN boiler b ON l.site = b.site AND trim(l.line) = b.line)
 SELECT page_id, site, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text,
        count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
