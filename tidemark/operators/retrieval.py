@@ -40,6 +40,7 @@ METRICS = ("squared_l2", "unit_l2", "dot")
 HASH_DIMS = 1 << 16
 QUERY_VALUES_LIMIT = 1 << 22  # floats of query vectors that one broadcast may hold, 32 MB
 SHARD_ROWS = 50_000
+PRODUCTS = 1 << 22  # of a corpus entry and a query that are held at a time
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie and the id decides
 
 
@@ -107,7 +108,15 @@ class _Queries:
             squares = np.bincount(rows, values * values, minlength=len(column))
             spot = np.minimum(np.searchsorted(self.dims, indices), max(len(self.dims) - 1, 0))
             known = self.dims[spot] == indices if len(self.dims) else np.zeros(len(indices), bool)
-            np.add.at(dots, rows[known], values[known, None] * self.by_dim[spot[known]])
+            rows, spot, values = rows[known], spot[known], values[known]
+            # products of some rows at a time, summed by row; the entries of a row lie together
+            begin = np.flatnonzero(np.diff(rows, prepend=-1))
+            at = 0
+            while at < len(begin):
+                to = max(at + 1, int(np.searchsorted(begin, begin[at] + PRODUCTS // max(len(self.ids), 1))))
+                part = slice(begin[at], begin[to] if to < len(begin) else len(rows))
+                dots[rows[begin[at:to]]] = np.add.reduceat(values[part, None] * self.by_dim[spot[part]], begin[at:to] - begin[at], axis=0)
+                at = to
         else:
             dots, squares = data @ self.by_dim, (data * data).sum(axis=1)
         if self.metric == "dot":

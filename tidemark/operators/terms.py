@@ -34,7 +34,8 @@ def _walked(texts: DataFrame, known: DataFrame, fields: list[str], text: str, ou
     first: dict[str, int] = {}
     for i, row in enumerate(rows):
         first.setdefault(row[at], i)
-    anywhere = first.pop("", len(rows))
+    none = len(rows)
+    anywhere = first.pop("", none)
     held = texts.sparkSession.sparkContext.broadcast(list(first.items()))
 
     @pandas_udf("long")
@@ -48,9 +49,9 @@ def _walked(texts: DataFrame, known: DataFrame, fields: list[str], text: str, ou
         def smallest(line):
             if line is None:
                 return None
-            best = min((i for _, i in automaton.iter(line)), default=len(rows)) if len(automaton) else len(rows)
+            best = min((i for _, i in automaton.iter(line)), default=none) if len(automaton) else none
             best = min(best, anywhere)
-            return best if best < len(rows) else None
+            return best if best < none else None
 
         for lines in batches:
             yield pd.Series([smallest(x) for x in lines], dtype="Int64")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
-BROADCAST_ROWS = 500_000  # rows of a few numbers each: tens of megabytes
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 # Adaptive execution picks partition counts and splits skewed joins at run time.
 DEFAULTS = {
@@ -54,9 +56,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcasting when it has at most ``limit`` rows; a larger one is left to a shuffled join.
+def _row_bytes(df: DataFrame) -> Column:
+    """About how much memory a row takes: eight bytes a number, and the text of anything else."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        simple = isinstance(field.dataType, (NumericType, BooleanType, DateType, TimestampType))
+        width = width + (F.lit(8) if simple else F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0)) + 16)
+    return width.cast("long")
 
-    The count stops at the limit. Meant for narrow, already written tables, where counting is cheap.
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; the count stops at the limit."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcasting when it is small; a larger one is left to a shuffled join.
+
+    Meant for narrow, already written tables, where counting is cheap.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
