@@ -235,8 +235,12 @@ def test_ablation_is_consistent(docs):
 def test_site_lines(spark, monkeypatch):
     rows = [(i, "a", f"unique {i}\nshared menu\n  shared menu \nrare {i % 6}") for i in range(40)] + [(100 + i, "b", f"page {i}\nshared menu") for i in range(5)]
     rows += [(200, "a", None), (201, "a", ""), (202, None, "shared menu"), (203, "a", "shared menu"), (300, "c", "two pages\nshared menu"), (301, "c", "shared menu")]
-    monkeypatch.setattr(site_lines, "PAGES_PER_TASK", 7)  # so that sites have salts
-    got = {r["doc_id"]: r for r in site_lines.drop_site_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), ratio=0.2).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sent = site_lines.drop_site_lines(df, ratio=0.2).collect()
+    monkeypatch.setattr(site_lines, "LISTS", 0)  # so that pages and lists are shuffled
+    monkeypatch.setattr(site_lines, "PAGES_PER_TASK", 7)  # and sites have salts
+    got = {r["doc_id"]: r for r in site_lines.drop_site_lines(df, ratio=0.2).collect()}
+    assert sorted(map(str, sent)) == sorted(map(str, got.values()))
     assert got[300]["text"] == "two pages\nshared menu" and got[301]["n_dropped"] == 0
     assert got[3]["text"] == "unique 3\nrare 3" and (got[3]["n_lines"], got[3]["n_dropped"]) == (4, 2)
     assert got[101]["text"] == "page 1" and got[202]["text"] == "shared menu" and got[203]["text"] == ""
@@ -499,3 +503,21 @@ def test_partial_quotes_and_mail_without_threads(spark):
     parents = lambda out: {r["position"]: r["parent"] for r in out.collect()}
     assert parents(quotation_links.conversations(mail)) == {0: None, 1: 0, 2: None, 3: None, 4: None, 5: None}
     assert parents(quotation_links.conversations(mail, None)) == {0: None, 1: 0, 2: 0, 3: 0, 4: None, 5: 2}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, docs, clashing, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([(1, "no id here")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    names = docs.columns
+    extra = [c for c in clashing.columns if c not in names]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+        plain, more = stage(spark, docs, path), stage(spark, clashing, path)
+        if name == "packing":
+            assert multiset(plain.drop("sequence_id", "offset")) == multiset(more.drop("sequence_id", "offset"))
+        else:
+            assert plain.columns == names and more.columns == clashing.columns
+            assert multiset(plain) == multiset(more.select(*names)) and multiset(more.select(*extra).distinct()) == {("extra",) * len(extra): 1}
+    # nulls and repeated rows: one row of each null id and text, and of each class
+    first = corpus_pipeline.near_duplicates(spark, docs, path).collect()
+    assert sum(r["text"] is None for r in first) == 1 and len({(r["doc_id"], r["text"]) for r in first}) == len(first)

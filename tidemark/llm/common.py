@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import materialize, shared_folder
 
-CHUNK_BYTES = 1 << 21  # text held as numpy arrays at a time; a longer document makes a chunk of its own
+BATCH_ROWS = 1000  # of an Arrow batch while intermediate tables are made
+CHUNK_BYTES = 1 << 20  # text held as numpy arrays at a time; a longer document makes a chunk of its own
 GOLDEN = 0x9E3779B97F4A7C15
 ODD = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 
@@ -23,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs that start inside hand texts to Python in batches of few rows: a batch lies in memory whole on both sides."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 class Stored:
     """Intermediate tables as Parquet in the shared folder: columns can be pruned and lost executors lose nothing."""
 
@@ -33,7 +50,8 @@ class Stored:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.tables)}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
         return self.tables[-1][0]
 
@@ -125,18 +143,30 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return free memory to the system. A Python worker outlives its task and would keep what the task needed at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text, one row at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = byte_view(batch.column(column))[1][1:]
-        row = 0
-        while row < batch.num_rows:
-            done = ends[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, done + limit, side="right")))
-            yield batch.slice(row, stop - row)
-            row = stop
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = byte_view(batch.column(column))[1][1:]
+            row = 0
+            while row < batch.num_rows:
+                done = ends[row - 1] if row else 0
+                stop = max(row + 1, int(np.searchsorted(ends, done + limit, side="right")))
+                yield batch.slice(row, stop - row)
+                row = stop
+            give_back()
+    finally:
+        give_back()
 
 
 def words_of(texts: pa.Array, rolling: Rolling) -> Words:

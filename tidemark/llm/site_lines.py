@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.session import broadcast_if_small, materialize
+from tidemark.session import broadcast_if_small, is_small, materialize
 
 RATIO = 0.1
 LEAST_PAGES = 3  # a line on one or two pages repeats no more than copies and quotes do, however small the site
+LISTS = 500_000  # sites whose lists may go to all tasks, as far as their bytes allow
 PAGES_PER_TASK = 10_000  # pages of a site that meet its list in one group, about
 
 
@@ -63,19 +64,22 @@ def drop_site_lines(
     one site. Repeated rows count as pages of their own, unless ``classes`` makes them one (see ``boilerplate``). Other columns stay as
     they are, whatever their names, before the two new ones; an empty table stays empty.
 
-    A site's list is short: no more lines than a page's mean number of lines divided by the ratio. Pages meet it by site and a
-    salt; a site has a salt for every PAGES_PER_TASK pages.
+    A site's list is short: no more lines than a page's mean number of lines divided by the ratio. While all lists are small they go to
+    the pages, which are not shuffled. Else pages meet them by site and a salt; a site has a salt for every PAGES_PER_TASK pages.
     """
     key = F.coalesce(F.col(site) if isinstance(site, str) else site, F.lit(""))
     rows = pages.select(key.alias("site"), F.col(f"`{text_column}`").alias("text"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in pages.columns if c != text_column]).alias("row"))
     found = boilerplate(rows.select("site", "text"), ratio, least_pages, classes)
-    lists = found.groupBy("site").agg(F.collect_set("line").alias("list"))
-    large = rows.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_TASK).alias("salts")).where("salts > 1")
-    large = broadcast_if_small(materialize(large))
-    salts = F.coalesce("salts", F.lit(1))
-    salted = lists.join(large, "site", "left").select("site", "list", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    salt = F.floor(F.rand(7) * salts)  # any draw gives the same result
-    joined = rows.join(large, "site", "left").select("site", "text", "row", salt.alias("salt")).join(salted, ["site", "salt"], "left")
+    lists = materialize(found.groupBy("site").agg(F.collect_set("line").alias("list")))
+    if is_small(lists, LISTS):
+        joined = rows.join(F.broadcast(lists), "site", "left")
+    else:
+        large = rows.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_TASK).alias("salts")).where("salts > 1")
+        large = broadcast_if_small(materialize(large))
+        salts = F.coalesce("salts", F.lit(1))
+        salted = lists.join(large, "site", "left").select("site", "list", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+        salt = F.floor(F.rand(7) * salts)  # any draw gives the same result
+        joined = rows.join(large, "site", "left").select("site", "text", "row", salt.alias("salt")).join(salted, ["site", "salt"], "left")
     lines = F.split("text", "\n")
     hits = F.array_intersect(_hashes(lines), F.coalesce("list", F.array().cast("array<bigint>")))
     marked = joined.select("text", "row", hits.alias("hits"))

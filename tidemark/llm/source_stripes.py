@@ -22,7 +22,7 @@ MIN_DOCUMENTS = 30
 SMOOTHING = 5
 TOP_TERMS = 50
 MOST_ENTRIES = 100_000  # (term, source) counts a task holds: about 50 MB
-BLOCK_CELLS = 1 << 20  # terms times sources in one block
+BLOCK_CELLS = 1 << 16  # terms times sources in one block
 SOURCES_A_TILE = 256  # sources whose divergences one task works out
 STRIPE = "lang string, term string, documents long, sources array<struct<source: string, n: long>>"
 
