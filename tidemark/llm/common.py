@@ -151,6 +151,18 @@ def give_back() -> None:
         trim(0)
 
 
+def frugal(run):
+    """``run`` over batches, with its memory given back once it is through and its arrays are gone."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text, one row at least."""
     try:

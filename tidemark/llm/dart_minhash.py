@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import GOLDEN, Rolling, Stored, chunks, components, mix, words_of
+from tidemark.llm.common import GOLDEN, Rolling, Stored, chunks, components, frugal, mix, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -85,6 +85,7 @@ def signatures(n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray,
 
 
 def _bands(rows: int, k: int, size: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in chunks(batches, CHUNK):
@@ -103,6 +104,7 @@ def _bands(rows: int, k: int, size: int):
 
 
 def _similar(size: int, names: list[str]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in chunks(batches, CHUNK):
@@ -164,6 +166,7 @@ def _hooks(found: DataFrame) -> DataFrame:
 
 
 def _elements(size: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in chunks(batches, CHUNK):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import SPACE, Stored, byte_view, chunks
+from tidemark.llm.common import SPACE, Stored, byte_view, chunks, frugal
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,6 +87,7 @@ class TextIds:
 
 
 def _tokenize(path: str, capacity: int, end_id: int, names: list[str]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -259,6 +260,7 @@ def places(runs: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
 def _assign(place: dict[str, np.ndarray], names: list[str]):
     keys = (place["length"].astype(np.uint64) << np.uint64(48)) | place["rank"].astype(np.uint64)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy().astype(np.uint64) for c in ("length", "rank"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import byte_view, chunks
+from tidemark.llm.common import byte_view, chunks, frugal
 
 ORDER = 3
 TRAIN_BYTES = 4_000_000  # of training text per language, at most, on average over the hash that picks the documents
@@ -176,6 +176,7 @@ def train(rows: DataFrame, train_bytes: int = TRAIN_BYTES, min_context: int = MI
 
 
 def _score(parts, names: list[str]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*parts.value)
         langs = np.array(m.langs, object)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import Rolling, chunks, mix
+from tidemark.llm.common import Rolling, chunks, frugal, mix
 
 Q = 8  # for items of 40 characters and more; shorter ones have what their edits allow
 EDIT_SHARE = 0.1  # edits allowed per character of the item
@@ -130,6 +130,7 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
 
 
 def _search(items: list[tuple[int, str]], q: int, edit_share: float):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = indexes(items, q, edit_share)
         for batch in chunks(batches):
