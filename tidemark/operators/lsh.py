@@ -27,6 +27,7 @@ FIT_ROWS = 4000  # rows of the corpus that the sizes are fitted on
 FIT_QUERIES = 200  # of these
 TARGET_RECALL = 0.95
 PAIRS = 1 << 18  # pairs of vectors scored at a time
+PAIR_VALUES = 1 << 21  # numbers of such pairs on each side, 16 MB
 PIECE_ROWS = 20_000  # of a bucket in one task
 
 
@@ -112,8 +113,13 @@ class _Running:
         return pa.RecordBatch.from_pydict({"query_id": self.query, "corpus_id": self.ident, "score": self.score})
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(((a - b) ** 2).sum(axis=1), SCORE_DIGITS) + 0.0
+def _squared(a: np.ndarray, row: np.ndarray, b: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Squared distances of a[row] and b[spot], some pairs at a time."""
+    out, step = np.zeros(len(row)), max(1, PAIR_VALUES // max(a.shape[1], 1))
+    for at in range(0, len(row), step):
+        gap = a[row[at : at + step]] - b[spot[at : at + step]]
+        out[at : at + step] = (gap * gap).sum(axis=1)
+    return np.round(out, SCORE_DIGITS) + 0.0
 
 
 def _shipped(ids: np.ndarray, vectors: np.ndarray, hashing: Hashing, k: int):
@@ -138,7 +144,7 @@ def _shipped(ids: np.ndarray, vectors: np.ndarray, hashing: Hashing, k: int):
                     spot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[row]
                     met.append(row * len(ids) + order[spot, t])
                 row, q = np.divmod(np.unique(np.concatenate(met)), len(ids))
-                best.add(ids[q], ident[row], _squared(x[row], vectors[q]))
+                best.add(ids[q], ident[row], _squared(x, row, vectors, q))
         yield best.batch()
 
     return scan
@@ -185,7 +191,7 @@ def _bucket_join(queries: DataFrame, corpus: DataFrame, hashing: Hashing, k: int
             for at in range(0, len(q), step):
                 part = np.arange(at, min(at + step, len(q)))
                 row, spot = np.repeat(part, len(x)), np.tile(np.arange(len(x)), len(part))
-                best.add(ids[row], ident[spot], _squared(x[spot], q[row]))
+                best.add(ids[row], ident[spot], _squared(x, spot, q, row))
         return pa.Table.from_batches([best.batch()])
 
     dealt = asked.select(*place, "id", "v").groupBy(*place).cogroup(held.select(*place, "id", "v").groupBy(*place))
