@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,50 @@ def test_first_term_against_plain_version(spark, limit):
         got = [(r["id"], r["route"]) for r in routing.term_routes(df, known, term_chars=limit).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert routing.term_routes(df, known.limit(0), term_chars=limit).where("route is not null").count() == 0
+
+
+def test_postings_of_repeated_ids_in_many_segments(spark, tmp_path):
+    """Texts under one id are one passage, and neither segments nor turns change a result."""
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{min(int(rng.expovariate(0.05)), 99)}" for _ in range(n))
+    texts = [(i % 70, line(rng.randint(1, 30))) for i in range(100)]
+    asked = spark.createDataFrame([(i, line(rng.randint(1, 8))) for i in range(30)], "query_id long, question string")
+    schema, found = "chunk_id long, chunk_text string", []
+    for name, rows_, segment, turn in (("few", texts, 10_000, 10_000), ("many", texts[::-1], 40, 20)):
+        index = postings.PostingIndex.build(spark.createDataFrame(rows_, schema).repartition(3), str(tmp_path / name), segment_postings=segment)
+        found.append(sorted(map(tuple, index.search(asked, 5, asked_words=turn).collect())))
+        held = index.read("lists").select("term", F.explode("postings").alias("p"))
+        assert held.groupBy("term", "p.id").count().where("count > 1").isEmpty()
+    assert index.read("lists").select("segment").distinct().count() > 5
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_many_questions_share_an_answer(spark):
+    """The passages of one answer are gathered once, not once per question."""
+    passages = spark.createDataFrame([(1, "T", "s", "holiday words"), (2, "T", "s", "other")], "chunk_id long, doc_title string, section string, chunk_text string")
+    asked = spark.createDataFrame([(i, "holiday rules" if i % 2 else "nothing alike") for i in range(40)], "query_id long, question string")
+    matches = spark.createDataFrame([(i, c, r, 0.5) for i in range(39) for r, c in ((1, 1), (2, 2))], "query_id long, chunk_id long, rank int, score double")
+    each, answers = retrieval.grounded_matches(asked, matches, passages)
+    assert answers.count() == 1 and each.count() == 40
+    got = {r["query_id"]: r for r in retrieval.answer_questions(asked, matches, passages).collect()}
+    assert len(got) == 40 and [got[i]["grounded"] for i in (0, 1, 39)] == [False, True, False]
+    assert "holiday words" in got[1]["answer"] and got[1]["citations"] == ["T > s", "T > s"] and got[0]["answer"] == got[39]["answer"] == retrieval.NOT_FOUND
+    assert got[39]["best_distance"] is None and got[0]["best_distance"] == 0.5 and got[0]["citations"] == []
+
+
+def test_scores_are_held_some_rows_at_a_time(monkeypatch):
+    """Neither search holds all pairs of a batch, and the cuts change nothing."""
+    rng = np.random.default_rng(1)
+    x, q, sizes = rng.normal(0, 1, (50, 4)), rng.normal(0, 1, (7, 4)), []
+    monkeypatch.setattr(retrieval, "SCORES", 21)
+    block = retrieval._Queries(np.arange(7), [list(v) for v in q], False, "squared_l2")
+    plain = retrieval._Best(7, 3)
+    plain.add(block.scores(pa.array([list(v) for v in x])), np.arange(50))
+    best, add = retrieval._Best(7, 3), retrieval._Best.add
+    monkeypatch.setattr(retrieval._Best, "add", lambda self, scores, ids: (sizes.append(scores.size), add(self, scores, ids))[1])
+    best.scan(block, pa.array([list(v) for v in x]), np.arange(50))
+    order = lambda b: [sorted(zip(s, i)) for s, i in b.kept]
+    assert order(best) == order(plain) and max(sizes) <= 21
+    monkeypatch.setattr(lsh, "PAIR_VALUES", 8)
+    row, spot = np.repeat(np.arange(50), 7), np.tile(np.arange(7), 50)
+    assert np.allclose(lsh._squared(x, row, q, spot), ((x[row] - q[spot]) ** 2).sum(axis=1), atol=1e-8)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from tidemark.functions.text import citation, lexically_grounded, significant_words, strip
-from tidemark.session import broadcast_if_small
+from tidemark.session import broadcast_if_small, materialize
 
 # Fixed values.
 TOP_K = 4
@@ -41,6 +41,7 @@ HASH_DIMS = 1 << 16
 QUERY_VALUES_LIMIT = 1 << 22  # floats of query vectors that one broadcast may hold, 32 MB
 SHARD_ROWS = 50_000
 PRODUCTS = 1 << 22  # of a corpus entry and a query that are held at a time
+SCORES = 1 << 21  # of corpus rows and queries that a task holds at a time, 16 MB
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie and the id decides
 
 
@@ -147,6 +148,12 @@ class _Best:
         self.k = k
         self.kept = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in range(n_queries)]
 
+    def scan(self, block: _Queries, vectors: pa.Array, ids: np.ndarray) -> None:
+        """Compare corpus rows with the queries, as many rows at a time as SCORES allows."""
+        step = max(1, SCORES // max(len(block.ids), 1))
+        for at in range(0, len(ids), step):
+            self.add(block.scores(vectors.slice(at, step)), ids[at : at + step])
+
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         for q in range(scores.shape[1]):
             column = scores[:, q]
@@ -204,7 +211,7 @@ def top_k(
             best = _Best(len(block.ids), k)
             for batch in batches:
                 if batch.num_rows:
-                    best.add(block.scores(batch.column("v")), batch.column("corpus_id").to_numpy())
+                    best.scan(block, batch.column("v"), batch.column("corpus_id").to_numpy())
             yield pa.RecordBatch.from_pydict(best.rows(block.ids))
 
         partial = c.mapInArrow(scan, schema)
@@ -236,7 +243,7 @@ def _blocked(q, c, k, metric, sparse, n_blocks, n_shards, schema) -> DataFrame:
         vectors = [_plain(v, sparse) for v in queries.column("v").to_pylist()]
         prepared = _Queries(queries.column("query_id").to_numpy(), vectors, sparse, metric)
         best = _Best(len(prepared.ids), k)
-        best.add(prepared.scores(rows.column("v")), rows.column("corpus_id").to_numpy())
+        best.scan(prepared, rows.column("v"), rows.column("corpus_id").to_numpy())
         return pa.table(best.rows(prepared.ids))
 
     return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(multiply, schema)
@@ -257,6 +264,46 @@ def passage_words(title: str = "doc_title", section: str = "section", text: str
     return significant_words(F.concat_ws(" ", title, section, text))
 
 
+def grounded_matches(
+    questions: DataFrame, matches: DataFrame, passages: DataFrame, query_id: str = "query_id", corpus_id: str = "chunk_id",
+) -> tuple[DataFrame, DataFrame]:
+    """The questions with ``best_distance``, ``grounded`` and ``answer_id``, and the answers (answer_id, citations, answer).
+
+    Questions with the same matches at the same scores share an answer, so its passages are gathered once, however many
+    questions quote them. The matches are few and narrow, so while they fit they are sent to the passages, which are then read
+    without a shuffle.
+    """
+    lists = matches.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", "score", F.col(corpus_id).alias("id")))).alias("_list"))
+    lists = materialize(lists.withColumn("answer_id", F.md5(F.to_json("_list"))))
+    wanted = lists.groupBy("answer_id").agg(F.first("_list").alias("_list")).select("answer_id", F.explode("_list").alias("m"))
+    wanted = materialize(wanted.select("answer_id", "m.rank", "m.score", F.col("m.id").alias(corpus_id)))
+    item = F.struct("rank", "score", citation(F.col("doc_title"), F.col("section")).alias("cite"), "chunk_text", "_words")
+    top = F.col("_top")
+    quote = lambda m: F.concat(F.lit("**"), m["cite"], F.lit("**\n"), strip(m["chunk_text"]), F.lit("\n"))
+    found = (
+        passages.join(broadcast_if_small(wanted), corpus_id)
+        .withColumn("_words", F.when(F.col("rank") == 1, passage_words()))
+        .groupBy("answer_id")
+        .agg(F.sort_array(F.collect_list(item)).alias("_top"))
+    )
+    found = materialize(found.select(
+        "answer_id", F.array_min(F.transform(top, lambda m: m["score"])).alias("best_distance"), F.get(top, F.lit(0))["_words"].alias("_words"),
+        F.transform(top, lambda m: m["cite"]).alias("citations"), F.concat_ws("\n", F.lit(ANSWER_HEAD), F.transform(F.slice(top, 1, QUOTED), quote)).alias("answer"),
+    ))
+    grounded = F.coalesce((F.col("best_distance") <= MAX_DISTANCE) & lexically_grounded(significant_words(F.col("question")), F.col("_words")), F.lit(False))
+    asked = questions.join(lists.select(query_id, "answer_id"), query_id, "left").join(broadcast_if_small(found.drop("citations", "answer")), "answer_id", "left")
+    asked = asked.withColumn("grounded", grounded).select(*questions.columns, "best_distance", "grounded", "answer_id")
+    return asked, found.select("answer_id", "citations", "answer")
+
+
+def answer_columns() -> dict[str, Column]:
+    """``citations`` and ``answer`` of a question beside its answer's: empty and the not-found text where it is not grounded."""
+    return {
+        "citations": F.when(F.col("grounded"), F.col("citations")).otherwise(F.array().cast("array<string>")),
+        "answer": F.when(F.col("grounded"), F.col("answer")).otherwise(NOT_FOUND),
+    }
+
+
 def answer_questions(
     questions: DataFrame,
     matches: DataFrame,
@@ -267,31 +314,11 @@ def answer_questions(
     """Extractive answers with citations, or the not-found text where either gate fails.
 
     ``questions`` has ``question``; ``matches`` comes from :func:`top_k`; ``passages`` has ``doc_title``, ``section``
-    and ``chunk_text``. A question gathers at most k passages. The matches are few and narrow, so while they
-    fit they are sent to the passages, which are then read without a shuffle.
+    and ``chunk_text``. See :func:`grounded_matches`.
     """
-    item = F.struct("rank", "score", citation(F.col("doc_title"), F.col("section")).alias("cite"), "chunk_text", "_words")
-    found = (
-        passages.join(broadcast_if_small(matches), corpus_id)
-        .withColumn("_words", F.when(F.col("rank") == 1, passage_words()))
-        .groupBy(query_id)
-        .agg(F.sort_array(F.collect_list(item)).alias("_top"))
-    )
-    top = F.col("_top")
-    quote = lambda m: F.concat(F.lit("**"), m["cite"], F.lit("**\n"), strip(m["chunk_text"]), F.lit("\n"))
-    quoted = F.concat_ws("\n", F.lit(ANSWER_HEAD), F.transform(F.slice(top, 1, QUOTED), quote))
-    best = F.array_min(F.transform(top, lambda m: m["score"]))
-    grounded = F.coalesce(
-        (best <= MAX_DISTANCE) & lexically_grounded(significant_words(F.col("question")), F.get(top, F.lit(0))["_words"]), F.lit(False)
-    )
-    return (
-        questions.join(found, query_id, "left")
-        .withColumn("best_distance", best)
-        .withColumn("grounded", grounded)
-        .withColumn("citations", F.when(F.col("grounded"), F.transform(top, lambda m: m["cite"])).otherwise(F.array().cast("array<string>")))
-        .withColumn("answer", F.when(F.col("grounded"), quoted).otherwise(NOT_FOUND))
-        .drop("_top")
-    )
+    asked, answers = grounded_matches(questions, matches, passages, query_id, corpus_id)
+    whole = asked.join(broadcast_if_small(answers), "answer_id", "left").withColumns(answer_columns())
+    return whole.select(*questions.columns, "best_distance", "grounded", "citations", "answer")
 
 
 def answer_from_notes(questions: DataFrame, matches: DataFrame, notes: DataFrame, query_id: str = "query_id", corpus_id: str = "note_id") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import contains_any, customer_id, percent, plain_number
 from tidemark.operators.retail import lookup_country_kpis, lookup_customers, top_drivers
+from tidemark.operators.retrieval import answer_columns
 from tidemark.operators.terms import TERM_CHARS, first_term
+from tidemark.session import broadcast_if_small
 
 # Fixed values.
 CUSTOMER_TOOL = "get_customer_churn_risk"
@@ -154,21 +156,46 @@ def dispatch(
 
 def dispatch_all(
     routed: DataFrame, scored: DataFrame, importance: DataFrame, metrics: DataFrame, policy_answers: DataFrame | None = None,
-    question_id: str = "question_id", id_col: str = "customer_id",
+    question_id: str = "question_id", id_col: str = "customer_id", policy_texts: DataFrame | None = None,
 ) -> DataFrame:
     """Answer every call of the questions from :func:`all_routes`: fan out to one row per call, dispatch, fan in.
 
     ``tool_calls`` holds the trace in the order of the calls and ``answer`` their answers, one below the other. Question ids are unique.
+    With ``policy_texts`` (answer_id, citations, answer) the ``policy_answers`` have ``answer_id`` and ``grounded`` alone: the texts,
+    which many questions may share, then join after the calls are gathered and are neither shuffled nor collected per question.
     """
+    late = policy_answers is not None and policy_texts is not None
     rest = [c for c in routed.columns if c not in (question_id, "calls")]
     fanned = routed.select(question_id, *rest, F.posexplode_outer("calls").alias("_step", "_call"))
     fanned = fanned.select(question_id, *rest, "_step", F.col("_call.tool").alias("tool"), F.col("_call.tool_input").alias("tool_input"))
-    done = dispatch(fanned, scored, importance, metrics, policy_answers, question_id, id_col)
+    done = dispatch(fanned, scored, importance, metrics, None if late else policy_answers, question_id, id_col)
+    if late:
+        call = F.struct(F.col("tool").alias("tool"), F.create_map(F.lit("question"), F.col("tool_input")).alias("input"), F.lit(None).cast("string").alias("output"))
+        policy = fanned.where(F.col("tool") == POLICY_TOOL)
+        done = done.unionByName(policy.select(*fanned.columns, F.array(call).alias("tool_calls"), F.lit(None).cast("string").alias("answer")))
     step = F.struct("_step", F.col("tool_calls").alias("trace"), F.col("answer").alias("said"))
     # four steps at most; the map input of a call can't be ordered, the step number alone is
     ordered = F.array_sort(F.collect_list(step), lambda a, b: F.coalesce(a["_step"] - b["_step"], F.lit(0)))
     whole = done.groupBy(question_id).agg(*[F.first(c).alias(c) for c in rest], ordered.alias("_steps"))
+    if late:
+        whole = _with_policy(whole, policy_answers.select(question_id, "answer_id", "grounded"), policy_texts, question_id)
     return whole.select(
         question_id, *rest, F.flatten(F.transform("_steps", lambda s: s["trace"])).alias("tool_calls"),
         F.array_join(F.transform("_steps", lambda s: s["said"]), "\n\n").alias("answer"),
     )
+
+
+def _with_policy(whole: DataFrame, policy_answers: DataFrame, texts: DataFrame, question_id: str) -> DataFrame:
+    """The answer texts put into the policy steps of the gathered calls."""
+    known = whole.join(policy_answers, question_id, "left").join(broadcast_if_small(texts), "answer_id", "left")
+    said = {"citations": answer_columns()["citations"], "answer": F.coalesce(F.when(F.col("grounded").isNotNull(), answer_columns()["answer"]), F.lit(""))}
+    said["citations"] = F.when(F.col("grounded").isNotNull(), said["citations"])
+    output = F.to_json(F.struct("answer", "grounded", "citations"))
+    named = known.withColumns(said).withColumn("_output", output)
+    mine = lambda s: F.get(s["trace"], F.lit(0))["tool"] == POLICY_TOOL
+
+    def filled(s):
+        trace = F.transform(s["trace"], lambda c: F.struct(c["tool"].alias("tool"), c["input"].alias("input"), F.col("_output").alias("output")))
+        return F.when(F.coalesce(mine(s), F.lit(False)), F.struct(s["_step"].alias("_step"), trace.alias("trace"), F.col("answer").alias("said"))).otherwise(s)
+
+    return named.withColumn("_steps", F.transform("_steps", filled)).select(*whole.columns)

@@ -518,8 +518,8 @@ def dispatched(spark, d):
     asked = questions.where(F.exists("calls", lambda c: c["tool"] == routing.POLICY_TOOL)).select("question_id", "question")
     index, passages = document_index(spark, d)
     matches = materialize(index.search(asked, query_id="question_id"))
-    policy = retrieval.answer_questions(asked, matches, passages, "question_id")
-    return routing.dispatch_all(questions, scores, views.importance(scores), views.model_metrics(scores), policy)
+    policy, texts = retrieval.grounded_matches(asked, matches, passages, "question_id")
+    return routing.dispatch_all(questions, scores, views.importance(scores), views.model_metrics(scores), policy, policy_texts=texts)
 
 
 @R.query("f12_answer_text", with_routed_answers("SELECT question_id, answer FROM said"))
