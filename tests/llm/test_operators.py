@@ -521,3 +521,15 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, docs, clashing, tmp_
     # nulls and repeated rows: one row of each null id and text, and of each class
     first = corpus_pipeline.near_duplicates(spark, docs, path).collect()
     assert sum(r["text"] is None for r in first) == 1 and len({(r["doc_id"], r["text"]) for r in first}) == len(first)
+
+
+def test_string_ranges_count_all_rows(spark, monkeypatch):
+    """Cuts lie at exact shares of all rows, not of a sample."""
+    monkeypatch.setattr(hilbert, "SAMPLE_ROWS", 16, raising=False)
+    values = [f"{i * i % 997:03d}" for i in range(800)] + [None] * 100
+    steps = [i / 8 for i in range(1, 8)]
+    rows = spark.createDataFrame([(v,) for v in values], "lang string").repartition(4)
+    known = sorted(v for v in values if v is not None)
+    assert hilbert.string_cuts(rows, "lang", steps) == [known[int(s * len(known))] for s in steps]
+    assert hilbert.string_cuts(rows.where("lang is null"), "lang", steps) == []
+    assert hilbert.string_cuts(rows.where("lang = '001'").limit(1), "lang", steps) == ["001"] * 7

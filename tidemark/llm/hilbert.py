@@ -10,27 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import Stored
+from tidemark.operators.ranking import cumulative_counts
 
 BITS = 3
 SHARDS = 16
 ROWS_PER_PART = 100_000  # rows of one cell that one task ranks
 QUANTILE_ACCURACY = 10_000
-SAMPLE_ROWS = 50_000  # from which the ranges of a string dimension are taken; they decide only how even the ranges are
 
 
 def string_cuts(rows: DataFrame, column: str, steps: list[float]) -> list[str]:
-    """Values of the column at the given shares of a sample of about SAMPLE_ROWS rows; whole values, so that common beginnings don't matter."""
-    values = rows.select(F.col(f"`{column}`").alias("v"))
-    n = values.count()
-    if n > SAMPLE_ROWS:
-        values = values.sample(SAMPLE_ROWS / n, seed=5)
-    counted = sorted(tuple(r) for r in values.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect())
-    total, passed, cuts = sum(n for _, n in counted), 0, []
-    for value, n in counted:
-        passed += n
-        while len(cuts) < len(steps) and passed > steps[len(cuts)] * total:
-            cuts.append(value)
-    return cuts
+    """Values of the column at the given shares of all its rows, without nulls; whole values, so that common beginnings don't matter. The
+    driver sees one row per share."""
+    values = rows.select(F.col(f"`{column}`").alias("v")).where("v is not null")
+    total = values.count()
+    shares = F.array(*[F.lit(s * total) for s in steps])
+    upto = F.col("n_before") + F.col("n")
+    held = cumulative_counts(values, "v").select("v", F.explode(F.filter(shares, lambda s: (F.col("n_before") <= s) & (upto > s))).alias("s"))
+    return [r["v"] for r in sorted(held.collect(), key=lambda r: r["s"])]
 
 
 def curve_index(coordinates: list[Column], bits: int = BITS) -> tuple[Column, Column]:
