@@ -296,11 +296,11 @@ def grounded_matches(
     return asked, found.select("answer_id", "citations", "answer")
 
 
-def answer_columns() -> dict[str, Column]:
-    """``citations`` and ``answer`` of a question beside its answer's: empty and the not-found text where it is not grounded."""
+def answer_columns(grounded: Column, citations: Column, answer: Column) -> dict[str, Column]:
+    """``citations`` and ``answer`` of a question from its answer's: empty and the not-found text where it is not grounded."""
     return {
-        "citations": F.when(F.col("grounded"), F.col("citations")).otherwise(F.array().cast("array<string>")),
-        "answer": F.when(F.col("grounded"), F.col("answer")).otherwise(NOT_FOUND),
+        "citations": F.when(grounded, citations).otherwise(F.array().cast("array<string>")),
+        "answer": F.when(grounded, answer).otherwise(NOT_FOUND),
     }
 
 
@@ -317,7 +317,7 @@ def answer_questions(
     and ``chunk_text``. See :func:`grounded_matches`.
     """
     asked, answers = grounded_matches(questions, matches, passages, query_id, corpus_id)
-    whole = asked.join(broadcast_if_small(answers), "answer_id", "left").withColumns(answer_columns())
+    whole = asked.join(broadcast_if_small(answers), "answer_id", "left").withColumns(answer_columns(F.col("grounded"), F.col("citations"), F.col("answer")))
     return whole.select(*questions.columns, "best_distance", "grounded", "citations", "answer")
 
 

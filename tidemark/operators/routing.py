@@ -171,31 +171,33 @@ def dispatch_all(
     done = dispatch(fanned, scored, importance, metrics, None if late else policy_answers, question_id, id_col)
     if late:
         call = F.struct(F.col("tool").alias("tool"), F.create_map(F.lit("question"), F.col("tool_input")).alias("input"), F.lit(None).cast("string").alias("output"))
-        policy = fanned.where(F.col("tool") == POLICY_TOOL)
-        done = done.unionByName(policy.select(*fanned.columns, F.array(call).alias("tool_calls"), F.lit(None).cast("string").alias("answer")))
-    step = F.struct("_step", F.col("tool_calls").alias("trace"), F.col("answer").alias("said"))
+        policy = fanned.where(F.col("tool") == POLICY_TOOL).join(policy_answers.select(question_id, "answer_id", "grounded"), question_id, "left")
+        policy = policy.select(*fanned.columns, F.array(call).alias("tool_calls"), F.lit(None).cast("string").alias("answer"), "answer_id", "grounded")
+        done = done.withColumns({"answer_id": F.lit(None).cast("string"), "grounded": F.lit(None).cast("boolean")}).unionByName(policy)
+    step = F.struct("_step", F.col("tool_calls").alias("trace"), F.col("answer").alias("said"), *["grounded"] * late)
     # four steps at most; the map input of a call can't be ordered, the step number alone is
     ordered = F.array_sort(F.collect_list(step), lambda a, b: F.coalesce(a["_step"] - b["_step"], F.lit(0)))
-    whole = done.groupBy(question_id).agg(*[F.first(c).alias(c) for c in rest], ordered.alias("_steps"))
+    kept = [F.first("answer_id", ignorenulls=True).alias("answer_id")] * late
+    whole = done.groupBy(question_id).agg(*[F.first(c).alias(c) for c in rest], ordered.alias("_steps"), *kept)
     if late:
-        whole = _with_policy(whole, policy_answers.select(question_id, "answer_id", "grounded"), policy_texts, question_id)
+        whole = _with_policy(whole, policy_texts)
     return whole.select(
         question_id, *rest, F.flatten(F.transform("_steps", lambda s: s["trace"])).alias("tool_calls"),
         F.array_join(F.transform("_steps", lambda s: s["said"]), "\n\n").alias("answer"),
     )
 
 
-def _with_policy(whole: DataFrame, policy_answers: DataFrame, texts: DataFrame, question_id: str) -> DataFrame:
+def _with_policy(whole: DataFrame, texts: DataFrame) -> DataFrame:
     """The answer texts put into the policy steps of the gathered calls."""
-    known = whole.join(policy_answers, question_id, "left").join(broadcast_if_small(texts), "answer_id", "left")
-    said = {"citations": answer_columns()["citations"], "answer": F.coalesce(F.when(F.col("grounded").isNotNull(), answer_columns()["answer"]), F.lit(""))}
-    said["citations"] = F.when(F.col("grounded").isNotNull(), said["citations"])
-    output = F.to_json(F.struct("answer", "grounded", "citations"))
-    named = known.withColumns(said).withColumn("_output", output)
-    mine = lambda s: F.get(s["trace"], F.lit(0))["tool"] == POLICY_TOOL
+    known = whole.join(broadcast_if_small(texts.select("answer_id", F.col("answer").alias("_text"), F.col("citations").alias("_cites"))), "answer_id", "left")
 
     def filled(s):
-        trace = F.transform(s["trace"], lambda c: F.struct(c["tool"].alias("tool"), c["input"].alias("input"), F.col("_output").alias("output")))
-        return F.when(F.coalesce(mine(s), F.lit(False)), F.struct(s["_step"].alias("_step"), trace.alias("trace"), F.col("answer").alias("said"))).otherwise(s)
-
-    return named.withColumn("_steps", F.transform("_steps", filled)).select(*whole.columns)
+        of = answer_columns(s["grounded"], F.col("_cites"), F.col("_text"))
+        said = F.coalesce(F.when(s["grounded"].isNotNull(), of["answer"]), F.lit(""))
+        cites = F.when(s["grounded"].isNotNull(), of["citations"])
+        output = F.to_json(F.struct(said.alias("answer"), s["grounded"].alias("grounded"), cites.alias("citations")))
+        trace = F.transform(s["trace"], lambda c: F.struct(c["tool"].alias("tool"), c["input"].alias("input"), output.alias("output")))
+        mine = F.coalesce(F.get(s["trace"], F.lit(0))["tool"] == POLICY_TOOL, F.lit(False))
+        return F.when(mine, F.struct(s["_step"].alias("_step"), trace.alias("trace"), said.alias("said"), s["grounded"].alias("grounded"))).otherwise(s)
+
+    return known.withColumn("_steps", F.transform("_steps", filled)).drop("answer_id", "_text", "_cites")
