@@ -114,6 +114,28 @@ def test_first_term_against_plain_version(spark, limit):
     assert routing.term_routes(df, known.limit(0), term_chars=limit).where("route is not null").count() == 0
 
 
+def test_a_large_dictionary_meets_parts_of_texts(spark, monkeypatch):
+    """Long terms, terms that share their beginning and texts of several parts; a part gives each stretch once, and only if a term may have it."""
+    monkeypatch.setattr(terms, "PART_CHARS", 2000)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdé😀") for _ in range(n))
+    long = [word(200) for _ in range(4)]
+    dictionary = [(rng.randint(0, 3), f"r{i}", t) for i, t in enumerate([*(word(rng.randint(3, 6)) for _ in range(60)), *long, *(x[:150] for x in long), long[0][:140] + "zz"])]
+    texts = [(i, word(rng.randint(0, 40)) + (long[i % 4][: rng.choice((100, 140, 150, 200))] if i % 3 == 0 else "") + word(5)) for i in range(150)]
+    known = spark.createDataFrame(dictionary, "priority int, route string, term string")
+    want = {i: min((r for r in dictionary if r[2] in t), default=(None, None))[1] for i, t in texts}
+    df = spark.createDataFrame(texts, "id long, question string")
+    assert {r["id"]: r["route"] for r in routing.term_routes(df, known, term_chars=0).collect()} == want
+    marked = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(500)], "piece long")
+    bits, mask = terms._marks(marked)
+    assert len(bits) * 8 == mask + 1 and 500 < sum(x.bit_count() for x in bits) <= 500 * terms.PROBES
+    part = pa.table({"line": ["abcabcabc", "abc"]})
+    shared = type("Held", (), {"value": b"\xff" * 8192})
+    assert terms._hits([3], shared, (1 << 16) - 1)((pa.scalar(7),), part).num_rows == 3  # abc, bca, cab
+    nothing = type("Held", (), {"value": bytes(8192)})
+    assert terms._hits([3], nothing, (1 << 16) - 1)((pa.scalar(7),), part).num_rows == 0
+
+
 def test_postings_of_repeated_ids_in_many_segments(spark, tmp_path):
     """Texts under one id are one passage, and neither segments nor turns change a result."""
     rng = random.Random(3)
