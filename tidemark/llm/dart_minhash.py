@@ -165,6 +165,12 @@ def _hooks(found: DataFrame) -> DataFrame:
     return hook.join(further, F.col("to.label") == F.col("via"), "left").select("label", to["weight"].alias("to_weight"), to["label"].alias("to"))
 
 
+def _renamed(names: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups (node, label, weight) of the nodes after a round: one row per node, however many buckets it is in."""
+    named = names.join(_hooks(found), "label", "left")
+    return named.select("node", F.coalesce("to", "label").alias("label"), F.coalesce("to_weight", "weight").alias("weight"))
+
+
 def _elements(size: int):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +235,7 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
     shared = store.keep(bands.join(groups, "band").distinct())
     wanted = store.keep(shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")))
     texts = store.keep(texts.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    names = wanted.select("node", F.col("node").alias("label"), F.col("shared").alias("weight"))
     members = store.keep(led(shared.join(wanted, "node").withColumns({"label": F.col("node"), "weight": F.col("shared")})))
     links = None
     while not members.isEmpty():
@@ -243,9 +250,9 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
             break
         edges = found.select(F.col("label").alias("a"), F.col("leader_label").alias("b"))
         links = edges if links is None else links.union(edges)
-        rest = members.where("not exists(leaders, l -> l.node = node)").select("band", "node", "shared", "label", "weight").join(_hooks(found), "label", "left")
-        members = store.keep(led(rest.select(
-            "band", "node", "shared", F.coalesce("to", "label").alias("label"), F.coalesce("to_weight", "weight").alias("weight"))))
+        names = store.keep(_renamed(names, found))
+        rest = members.where("not exists(leaders, l -> l.node = node)").select("band", "node", "shared")
+        members = store.keep(led(rest.join(names, "node")))
     return None if links is None else components(links)
 
 
