@@ -215,3 +215,17 @@ def test_interpolation_on_curves_of_any_size(spark, rows_per_bin):
             assert r["rate"] == pytest.approx(np.interp(r["t"], curves_[r["c"]], rates[r["c"]]), abs=1e-12)
         else:
             assert r["rate"] is None
+
+
+def test_small_parts_are_cut_inside_a_task(spark, monkeypatch):
+    """Parts of few rows make no tasks of their own, and a curve goes on over parts and tasks."""
+    asked = []
+    monkeypatch.setattr(interpolation, "TASK_ROWS", 100)
+    monkeypatch.setattr(interpolation, "ranged", lambda df, keys, rows, f=interpolation.ranged: asked.append(rows) or f(df, keys, rows))
+    t = [0.0, 40.0, 90.0, 300.0]
+    z = [0.01, 0.05, 0.02, 0.04]
+    points = spark.createDataFrame([(1, *x) for x in zip(t, z)], "c int, t double, z double")
+    flows = spark.createDataFrame([(1, float(i) - 20) for i in range(400)], "c int, t double").repartition(3)
+    got = interpolation.interpolated_rates(flows, points, "c", rows_per_bin=7).collect()
+    assert len(got) == 400 and all(r["rate"] == pytest.approx(np.interp(r["t"], t, z), abs=1e-12) for r in got)
+    assert asked == [100]

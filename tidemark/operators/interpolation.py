@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.ranking import ROWS_PER_BIN, ranged
+from tidemark.operators.ranking import ROW_BITS, ROWS_PER_BIN, ranged
 from tidemark.session import broadcast_if_small, materialize
 
+TASK_ROWS = 200_000  # that a task deals out; smaller parts are cut inside it
+
 
 def interpolated_rates(flows: DataFrame, points: DataFrame, key: str, t: str = "t", z: str = "z", out: str = "rate", rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """``flows`` (key, t, ...) with the rate of their curve at their time: linear between nodes, flat beyond both ends.
@@ -17,9 +19,11 @@ def interpolated_rates(flows: DataFrame, points: DataFrame, key: str, t: str = "
     largest rate counts; flows without a curve, without a time or on a curve without nodes have no rate.
     """
     nodes = points.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"), F.col(z).cast("double").alias("z"))
-    times = flows.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("z")).distinct()
+    times = flows.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"), F.lit(None).cast("double").alias("z"))
     both = nodes.union(times).where("key is not null and t is not null").groupBy("key", "t").agg(F.max("z").alias("z"))
-    dealt = ranged(materialize(both), ["key", "t"], rows_per_bin)
+    dealt = ranged(materialize(both), ["key", "t"], max(rows_per_bin, TASK_ROWS))
+    cut = F.floor((F.col("_at") - 1) / rows_per_bin)  # parts of fewer rows than a task's are stretches of its order
+    dealt = dealt.select("key", "t", "z", (F.shiftleft("_part", ROW_BITS - 1) + cut).alias("_part"))
     node = F.when(F.col("z").isNotNull(), F.struct("t", "z"))
     part = Window.partitionBy("_part", "key").orderBy("t")
     near = dealt.select(
