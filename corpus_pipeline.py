@@ -23,7 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same decision; a tie between languages goes to the first by name."""
     scored = ppm_language.identify(docs, whole_rows=True)
     known = scored.where((F.col("lang_pred") != ppm_language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
-    return known.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    out = known.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    return Stored(spark).keep(out)  # whole rows pass through Python, in small batches while they are stored
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     rows = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("row"))
     out = site_lines.drop_site_lines(rows, "source", classes=classes).where((F.col("n_lines") > F.col("n_dropped")) | (F.col("n_dropped") == 0))
-    return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return Stored(spark).keep(out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +82,8 @@ STAGES = [
     ("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("packing", packing),
 ]
 
+STORED = ("language_id", "line_dedup")  # stages that store their result themselves
+
 # SQL can't express the language model, the signatures and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -88,8 +91,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = Stored(spark)
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        if name not in STORED and i < len(STAGES) - 1:
             docs = store.keep(docs)
     return docs

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import materialize, shared_folder
 
-BATCH_ROWS = 1000  # of an Arrow batch while intermediate tables are made
+BATCH_ROWS = 250  # of an Arrow batch, and of a batch that the Parquet reader fills, while intermediate tables are made
+BLOCK_BYTES = 16 << 20  # of a row group of an intermediate table: a writer holds one, a reader the columns it wants of one
 CHUNK_BYTES = 1 << 20  # text held as numpy arrays at a time; a longer document makes a chunk of its own
 GOLDEN = 0x9E3779B97F4A7C15
 ODD = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
@@ -27,17 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+READER_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Jobs that start inside hand texts to Python in batches of few rows: a batch lies in memory whole on both sides."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    """Jobs that start inside read texts and hand them to Python in batches of few rows: a batch lies in memory whole, on both sides."""
+    before = {key: spark.conf.get(key) for key in (ARROW_ROWS, READER_ROWS)}
+    for key, value in before.items():
+        spark.conf.set(key, str(min(int(value), rows) if int(value) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class Stored:
@@ -51,7 +55,7 @@ class Stored:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.tables)}"
         with small_batches(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
         self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
         return self.tables[-1][0]
 
