@@ -533,3 +533,22 @@ def test_string_ranges_count_all_rows(spark, monkeypatch):
     assert hilbert.string_cuts(rows, "lang", steps) == [known[int(s * len(known))] for s in steps]
     assert hilbert.string_cuts(rows.where("lang is null"), "lang", steps) == []
     assert hilbert.string_cuts(rows.where("lang = '001'").limit(1), "lang", steps) == ["001"] * 7
+
+
+def test_groups_are_renamed_once_per_node(spark):
+    """The step that names groups anew sees a row per node, not one per bucket that the node is in."""
+    names = spark.createDataFrame([(1, 1, 5), (2, 2, 4), (3, 2, 4), (4, 4, 1)], "node long, label long, weight long")
+    found = spark.createDataFrame([(2, 4, 1, 5)], "label long, weight long, leader_label long, leader_weight long")
+    assert multiset(dart_minhash._renamed(names, found)) == multiset(spark.createDataFrame([(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 4, 1)], names.schema))
+
+
+def test_stored_tables_are_made_in_small_pieces(spark, docs):
+    from tidemark.llm import common
+
+    keys = (common.ARROW_ROWS, common.READER_ROWS)
+    before = [spark.conf.get(k) for k in keys]
+    with common.small_batches(spark):
+        assert [int(spark.conf.get(k)) for k in keys] == [common.BATCH_ROWS] * 2
+    assert [spark.conf.get(k) for k in keys] == before
+    stored = corpus_pipeline.language(spark, docs, "")
+    assert stored.inputFiles() and multiset(stored) == multiset(spark.read.parquet(*stored.inputFiles()))
