@@ -542,6 +542,18 @@ def test_groups_are_renamed_once_per_node(spark):
     assert multiset(dart_minhash._renamed(names, found)) == multiset(spark.createDataFrame([(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 4, 1)], names.schema))
 
 
+def test_leaders_of_many_buckets_are_met_once(spark):
+    """A node that shares all its buckets with the same leaders makes a row for each of them, not for each bucket."""
+    rows = [(band, node, 24, node, 24) for band in range(24) for node in range(40)]
+    members = dart_minhash.led(spark.createDataFrame(rows, "band long, node long, shared long, label long, weight long"))
+    met = dart_minhash._meetings(members)
+    plan = met._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().index("Generate") < plan.toString().index("Aggregate")  # above it, so later
+    got = multiset(met.select("node", "leader"))
+    assert got == {(n, l): 1 for n in range(40) for l in (37, 38, 39) if n != l}
+    assert multiset(met.select("label", "weight", "leader_label", "leader_weight").distinct()) == {(n, 24, l, 24): 1 for n in range(40) for l in (37, 38, 39) if n != l}
+
+
 def test_stored_tables_are_made_in_small_pieces(spark, docs):
     from tidemark.llm import common
 

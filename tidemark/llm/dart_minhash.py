@@ -148,11 +148,13 @@ def led(members: DataFrame) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """(node, leader, label, weight, leader_label, leader_weight), once for each node and leader of other groups that share a bucket."""
-    met = members.select("node", "label", "weight", F.explode("leaders").alias("top")).where("label <> top.label")
-    met = met.select("node", "label", "weight", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label"), F.col("top.weight").alias("leader_weight"))
-    rest = ("label", "weight", "leader_label", "leader_weight")
-    return met.groupBy("node", "leader").agg(*[F.first(c).alias(c) for c in rest])
+    """(node, leader, label, weight, leader_label, leader_weight), once for each node and leader of other groups that share a bucket.
+
+    The buckets of a node have mostly the same leaders, so their lists, LEADERS of each of its bands, become one per node before a row is made of each."""
+    others = F.filter("leaders", lambda top: top["label"] != F.col("label"))
+    met = members.select("node", "label", "weight", others.alias("leaders")).groupBy("node", "label", "weight")
+    met = met.agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders")).select("node", "label", "weight", F.explode("leaders").alias("top"))
+    return met.select("node", F.col("top.node").alias("leader"), "label", "weight", F.col("top.label").alias("leader_label"), F.col("top.weight").alias("leader_weight"))
 
 
 def _hooks(found: DataFrame) -> DataFrame:
