@@ -30,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; a document with no other line is nothing but boilerplate and
     goes. n_chars follows the text. Exact and near copies count as one document, so copies alone make no line boilerplate and a
-    group of them is left to near_dedup. Null and empty texts stay as they are; documents without a source are one source."""
-    found = dart_minhash.near_duplicate_classes(docs).where("text_hash is not null")
+    group of them is left to near_dedup; no Python finds them. Null and empty texts stay as they are; documents without a source are one source."""
+    found = dart_minhash.near_duplicate_classes(docs, native=True).where("text_hash is not null")
     classes = Stored(spark).keep(found.groupBy("text_hash").agg(F.min("class_id").alias("class")))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     rows = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("row"))

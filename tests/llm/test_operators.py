@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
-    dart_minhash, grouped_packing, hilbert, ppm_language, qgram_lemma, quotation_links, relative_lz, rule_ledger, site_lines, warc_transactions,
+    dart_minhash, grouped_packing, hilbert, ppm_language, qgram_lemma, quotation_links, relative_lz, rule_ledger, site_lines, sql_shingles, warc_transactions,
 )
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -554,6 +554,35 @@ def test_leaders_of_many_buckets_are_met_once(spark):
     assert multiset(met.select("label", "weight", "leader_label", "leader_weight").distinct()) == {(n, 24, l, 24): 1 for n in range(40) for l in (37, 38, 39) if n != l}
 
 
+def test_native_elements_and_similarity(spark):
+    """Against brute force: repeated shingles, short texts, blanks of all kinds, texts without words."""
+    rng = random.Random(31)
+    made = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["", " \t\n", "a", "\va b\f c\r\n", "a b c d e", "ä\u00a0ö b c d e f"]
+    rows = [(i, a, b) for i, (a, b) in enumerate((rng.choice(made), rng.choice(made)) for _ in range(200))] + [(200 + i, t, t) for i, t in enumerate(made)]
+    bag = lambda t: (lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter())([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w])
+    want = {i: (sum(bag(a).values()), sum((bag(a) & bag(b)).values()) / max(sum((bag(a) | bag(b)).values()), 1)) for i, a, b in rows}
+    found = sql_shingles.elements(F.col("a"), 5)
+    got = spark.createDataFrame(rows, "i long, a string, b string").select(
+        "i", F.size(found).alias("n"), F.size(F.array_distinct(found)).alias("distinct"), sql_shingles.similarity(F.col("a"), F.col("b"), 5).alias("similarity")).collect()
+    assert {r["i"]: (r["n"], r["similarity"]) for r in got} == want and all(r["n"] == r["distinct"] for r in got)
+
+
+def test_native_search_finds_the_same_classes(docs, corpus):
+    columns = ("doc_id", "class_id", "is_first", "text_hash")
+    found = dart_minhash.near_duplicate_classes(docs, native=True)
+    assert multiset(found.select(*columns)) == multiset(dart_minhash.near_duplicate_classes(docs).select(*columns))
+
+
+def test_line_stage_runs_no_python(spark, docs, monkeypatch):
+    """The stage line_dedup is made of DataFrame functions, its search for copies too."""
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    want = multiset(corpus_pipeline.lines(spark, docs, ""))
+    monkeypatch.setattr(type(docs), "mapInArrow", refused)
+    assert multiset(corpus_pipeline.lines(spark, docs, "")) == want
+
+
 def test_stored_tables_are_made_in_small_pieces(spark, docs):
     from tidemark.llm import common
 

@@ -9,6 +9,8 @@ limit are thrown: about k (ln k + 4) for a document of any length; where a coord
 
 Documents that share a whole band are candidates. Copies of a text are one node. In a bucket every member is compared with a
 few leaders at a time; what is left when that finds nothing more is compared by an exact shingle join; see ``linked``.
+
+With ``native`` the same search runs on DataFrame functions only: plain MinHash of the shingles' occurrences takes the place of the darts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.llm import sql_shingles
 from tidemark.llm.common import GOLDEN, Rolling, Stored, chunks, components, frugal, mix, words_of
 
 SHINGLE = 5
@@ -124,12 +127,14 @@ def _similar(size: int, names: list[str]):
     return run
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, native: bool = False) -> DataFrame:
     """Adds the exact weighted Jaccard similarity to the pairs (node, leader, any other longs)."""
     other = texts.select(F.col("node").alias("leader"), F.col("text").alias("other"))
     names = pairs.columns
     # a leader of many pairs is a hot key, split in a join of Spark's own; the nodes deal the pairs evenly to the Python tasks
     sides = pairs.join(other, "leader").join(texts, "node").select(*names, "text", "other")
+    if native:
+        return sides.select(*names, sql_shingles.similarity(F.col("text"), F.col("other"), shingle).alias("similarity"))
     return sides.mapInArrow(_similar(shingle, names), ", ".join(f"{c} long" for c in names) + ", similarity double")
 
 
@@ -191,16 +196,16 @@ def _elements(size: int):
     return run
 
 
-def overlapping(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def overlapping(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, native: bool = False) -> DataFrame:
     """(node, leader, label, leader_label): every pair of nodes (node, label) of different labels that can reach the similarity.
 
     Two texts of a and b shingles at the similarity t share o = t / (1 + t) (a + b) of them at least, so they meet among the
     a - o + 1 rarest of the one and the b - o + 1 rarest of the other. What a template gives to texts that are too far apart by it
     alone lies behind these, so such texts do not meet through it.
     """
-    counted = nodes.join(texts, "node").mapInArrow(_elements(shingle), "node long, label long, size long, element long")
+    held = nodes.join(texts, "node")
     store = Stored(texts.sparkSession)
-    counted = store.keep(counted)
+    counted = store.keep(sql_shingles.element_rows(held, shingle) if native else held.mapInArrow(_elements(shingle), "node long, label long, size long, element long"))
     several = counted.groupBy("element").agg(F.count(F.lit(1)).alias("holders"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("holders", "element"))
     placed = counted.join(several, "element").withColumn("place", place).where("holders > 1")
@@ -223,7 +228,7 @@ def overlapping(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     return pair.select(F.col("a.node").alias("node"), F.col("b.node").alias("leader"), F.col("a.label").alias("label"), F.col("b.label").alias("leader_label")).distinct()
 
 
-def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame | None:
+def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, native: bool = False) -> DataFrame | None:
     """(node, label): components of the similarity links among the members of shared bands; None where nothing is linked.
 
     A round compares in each bucket LEADERS leaders with all members of other groups, so a bucket of n copies gives a few n pairs
@@ -241,11 +246,11 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
     members = store.keep(led(shared.join(wanted, "node").withColumns({"label": F.col("node"), "weight": F.col("shared")})))
     links = None
     while not members.isEmpty():
-        close = similarities(_meetings(members), texts, shingle).where(F.col("similarity") >= similarity)
+        close = similarities(_meetings(members), texts, shingle, native).where(F.col("similarity") >= similarity)
         found = store.keep(close.select("label", "weight", "leader_label", "leader_weight"))
         if found.isEmpty():
             left = members.select("node", "label").distinct()
-            close = similarities(overlapping(left, texts, similarity, shingle), texts, shingle).where(F.col("similarity") >= similarity)
+            close = similarities(overlapping(left, texts, similarity, shingle, native), texts, shingle, native).where(F.col("similarity") >= similarity)
             edges = store.keep(close.select(F.col("label").alias("a"), F.col("leader_label").alias("b")))
             if not edges.isEmpty():
                 links = edges if links is None else links.union(edges)
@@ -260,21 +265,22 @@ def linked(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, s
 
 def near_duplicate_classes(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY,
-    shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = BAND_ROWS,
+    shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = BAND_ROWS, native: bool = False,
 ) -> DataFrame:
     """One row (doc_id, class_id, is_first, text_hash) per input row.
 
     class_id is the smallest id of the class; is_first marks the rows that hold it. Classes are the components of the similarity
     graph. A null text is alone in its class; equal texts, the empty text too, are one class. Texts without words have no
     shingles and match only their copies. Texts are told apart by a 64-bit hash. Repeated rows each give a row; null ids come
-    after all others. Extra columns are ignored. An empty table gives an empty result.
+    after all others. Extra columns are ignored. An empty table gives an empty result. With ``native``, which has bands of its own, no Python
+    runs on the executors.
     """
     spark = documents.sparkSession
     every = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     every = every.withColumn("node", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     texts = every.where("text is not null").select("node", "text")
-    bands = Stored(spark).keep(band_rows(texts, shingle, coordinates, rows))
-    labels = linked(bands, texts, similarity, shingle)
+    bands = Stored(spark).keep(sql_shingles.band_rows(texts, shingle) if native else band_rows(texts, shingle, coordinates, rows))
+    labels = linked(bands, texts, similarity, shingle, native)
     ids = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
     if labels is not None:
         named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
